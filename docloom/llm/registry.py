@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, licenses, quality_rules, secrets
+from docloom.llm import decontam, licenses, packing, quality_rules, secrets, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_decontamination": decontam.op2_decontamination,
+        "op6_token_files": token_files.op6_token_files,
         "op8_secret_scan": secrets.op8_secret_scan,
+        "op9_packing": packing.op9_packing,
         "op10_license_scan": licenses.op10_license_scan,
     }
 
