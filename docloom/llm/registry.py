@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, licenses, packing, quality_rules, secrets, token_files
+from docloom.llm import decontam, html_text, licenses, packing, quality_model, quality_rules, secrets, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_decontamination": decontam.op2_decontamination,
+        "op3_html_text": html_text.op3_html_text,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_quality_model": quality_model.op5_quality_model,
         "op6_token_files": token_files.op6_token_files,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_packing": packing.op9_packing,
