@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,3 +44,17 @@ def count_chars(text: Column, chars: str) -> Column:
     for c in chars:
         n = n + (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))))
     return n.cast("long")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one where the session names none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/docloom-shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read from there: later stages neither repeat nor depend on its plan."""
+    path = shared_path(frame.sparkSession, name)
+    schema = frame.schema
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, html_text, licenses, packing, quality_model, quality_rules, secrets, token_files, toxicity
+from docloom.llm import decontam, html_text, licenses, near_duplicates, packing, quality_model, quality_rules, secrets, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_quality_model": quality_model.op5_quality_model,
         "op6_token_files": token_files.op6_token_files,
+        "op7_near_duplicates": near_duplicates.op7_near_duplicates,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_packing": packing.op9_packing,
         "op10_license_scan": licenses.op10_license_scan,

@@ -25,7 +25,6 @@ from __future__ import annotations
 import itertools
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docloom.llm.common import table
+from docloom.llm.common import shared_path, table
 
 MAGIC = b"DLT1"
 FOOTER = struct.Struct("<IQIBB")
@@ -230,17 +229,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return segments.select("part", "first", "payload").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a temporary one where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/docloom-shared"
-    return f"{base.rstrip('/')}/tokens-{uuid.uuid4().hex}"
-
-
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark)
+    path = shared_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_tokens(spark, path)
