@@ -26,6 +26,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SAMPLE_ROWS = 256
+SAMPLE_BYTES = 65_536
 FEW = 32  # up to so many repeated windows are looked up in a plain list
 
 
@@ -140,11 +141,13 @@ def base_failed() -> Column:
 def quality_rules(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Counts, base verdict and cascade verdict for each document.
 
-    The sample that orders the cascade is at most ``sample_rows`` rows, thinned from the partitions that Spark reads
-    first; it only sets the order.
+    The sample that orders the cascade is at most ``sample_rows`` texts of at most ``SAMPLE_BYTES`` bytes, thinned from
+    the partitions that Spark reads first; it only sets the order.
     """
     rules = default_rules()
-    sample = measure(documents.select("doc_id", "text").sample(0.2, 11).limit(sample_rows))
+    short = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = short.sample(0.2, 11).take(sample_rows)  # reads one partition after another, and stops when it has enough
+    sample = measure(documents.sparkSession.createDataFrame(rows, "doc_id long, text string"))
     ordered = [x["rule"] for x in plan_order(sample, rules)]
     judged = apply_rules(measure(documents.select("doc_id", "text")), ordered).withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
