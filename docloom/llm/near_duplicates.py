@@ -11,7 +11,8 @@
 5. Rest. A bucket of three or more members that still holds different components may hide links between members
    other than its smallest. In small buckets the pairs across components are confirmed directly. In larger ones, each
    member is indexed under its rarest shingles, so many that two sets at the threshold must share one of them (prefix
-   filter), and only members that share one are compared. No pair at the threshold is left out, whatever the size.
+   filter), and only members that share one early enough to reach the threshold are compared (positional filter). No
+   pair at the threshold is left out, whatever the size.
    The links found join the earlier ones and the components are computed again.
 
 Only counts come to the driver. Ids, links and components are written to the shared folder between the steps, from
@@ -37,7 +38,7 @@ from docloom.llm.common import stored, table
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
-SMALL_BUCKET = 32
+SMALL_BUCKET = 8
 BROADCAST_IDS = 1_000_000
 BLOCK = 8192
 SIGNATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
@@ -233,12 +234,18 @@ def _rest_pairs(members: DataFrame, found: DataFrame, documents: DataFrame) -> D
     rare = (
         ranked.groupBy("id", "n")
         .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("all"))
-        .select("id", F.explode(F.slice("all", F.lit(1), prefix.cast("int"))).alias("s"))
+        .select("id", "n", F.posexplode(F.slice("all", F.lit(1), prefix.cast("int"))).alias("place", "s"))
         .where("s.times > 1")
-        .select("id", F.col("s.shingle").alias("shingle"))
+        .select("id", "n", "place", F.col("s.shingle").alias("shingle"))
     )
-    of = large.select("id", "component").distinct()
-    return small.union(pairs(rare.join(of, "id"), ["shingle"])).distinct()
+    # at their first common shingle two sets cannot share more than what follows it in the shorter rest
+    reach = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    enough = (100 + PERCENT) * reach >= PERCENT * (F.col("na") + F.col("nb"))
+    indexed = rare.join(large.select("id", "component").distinct(), "id")
+    x = indexed.select("shingle", *[F.col(c).alias(f"{k}a") for c, k in (("n", "n"), ("place", "p"), ("component", "c"))], F.col("id").alias("a"))
+    y = indexed.select("shingle", *[F.col(c).alias(f"{k}b") for c, k in (("n", "n"), ("place", "p"), ("component", "c"))], F.col("id").alias("b"))
+    near = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("ca") < F.col("cb")) & enough).select("a", "b")
+    return small.union(near).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
