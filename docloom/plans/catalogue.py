@@ -1,9 +1,13 @@
-"""The engine's queries and their SQL."""
+"""All queries of the engine and their SQL."""
+
+from docloom.operators import catalog, evaluation, ingest, quality, retrieval  # noqa: F401  they register their queries
+from docloom.plans.registry import QUERIES, SQL
+from docloom.streaming import ingest as stream_ingest  # noqa: F401
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
