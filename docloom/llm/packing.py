@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import table
-from docloom.llm.token_files import WordEncoder
+from docloom.llm.token_files import WordEncoder, encoder_of
 
 SEQUENCE = 1024
 END_ID = 0
@@ -54,29 +54,25 @@ class SpacedEncoder(WordEncoder):
     other white space, with runs of it or with some at either end are encoded whole.
     """
 
+    folds = False
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.odd(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return super().encode(text)
-
-    def odd(self, text: str) -> bool:
         # split() cuts at runs of any white space; with single spaces and line feeds inside the text alone, the counts agree
-        return len(text.split()) != text.count(" ") + text.count("\n") + 1 or "<|" in text
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "<|" in text:
+            return self.whole(text)
+        return super().encode(text)
 
     def pieces(self, text: str) -> list[str]:
         first, *rest = text.replace("\n", " \n").split(" ")
         return ["\r" + first, *rest]
 
-    def source(self, piece: str) -> str:
+    def source(self, piece: str) -> tuple[str, str, str]:
         """A first piece has no space before it, and one after a line feed has the line feed."""
         if piece[0] == "\r":
-            return piece[1:]
-        return piece if piece[0] == "\n" else " " + piece
-
-    def warm(self, texts) -> None:
-        super().warm(t for t in texts if t and not self.odd(t))
+            return "", "", piece[1:]
+        return ("\n", "", piece[1:]) if piece[0] == "\n" else ("", "\u0120", piece)
 
 
 def sentence_ends(tokenizer) -> np.ndarray:
@@ -95,15 +91,19 @@ def choose_cuts(total: int, cheap: np.ndarray, costs: np.ndarray, last: bool, si
     last: the stream ends at ``total``, whose window may be short; otherwise the cut positions end at the best one
     within the last window, and what follows is left over.
     """
-    cost = dict(zip(cheap.tolist(), costs.tolist(), strict=True))
-    grid = np.arange(size, total, size, dtype=np.int64)
-    places = np.unique(np.concatenate([cheap, cheap + size, grid, grid + size // 2, [total]]))
-    places = places[(places > 0) & (places <= total)].tolist()
+    cost = np.full(total + 1, broken)
+    cost[cheap] = costs
+    marked = np.zeros(total + 1, bool)  # the places of the programme
+    marked[cheap] = marked[:: size // 2] = marked[total] = True
+    later = cheap + size
+    marked[later[later <= total]] = True
+    marked[0] = False
+    found = np.flatnonzero(marked)
+    places = found.tolist()
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     came: dict[int, int] = {}
     key_of: dict[int, float] = {0: 0.0}
-    get = cost.get
-    for j in places:
+    for j, at in zip(places, cost[found].tolist(), strict=True):
         reach = j - size
         while queue[0][1] < reach:
             queue.popleft()
@@ -111,7 +111,7 @@ def choose_cuts(total: int, cheap: np.ndarray, costs: np.ndarray, last: bool, si
         came[j] = i
         # f(j) = f(i) + pad + cut with pad = size - (j - i), so j's own key f(j) + j is i's key + size + cut
         n = j - i
-        new = key + (n if j == total and last and n & (n - 1) == 0 else size) + get(j, broken)
+        new = key + (n if j == total and last and n & (n - 1) == 0 else size) + at
         key_of[j] = new
         while queue and queue[-1][0] >= new:
             queue.pop()
@@ -181,7 +181,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     """The pieces of all documents: where each lies in its document and in its sequence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = SpacedEncoder(tokenizer)
+        encoder = encoder_of(SpacedEncoder, tokenizer)
         packer = Packer(sentence_ends(encoder.tokenizer))
         packer.sequence = TaskContext.get().partitionId() << 36
         end = struct.pack("<I", end_id)
@@ -194,7 +194,6 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
 
         for batch in batches:
             texts = batch["text"].tolist()
-            encoder.warm(texts)
             rows: list[tuple] = []
             for doc_id, null_id, text in zip(batch["doc_id"].tolist(), batch["null_id"].tolist(), texts, strict=True):
                 ids = np.frombuffer(encoder.encode(text) + end, "<u4")

@@ -26,7 +26,8 @@ import itertools
 import os
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,54 +44,103 @@ MAGIC = b"DLT1"
 FOOTER = struct.Struct("<IQIBB")
 BLOCK = 1 << 16
 SEGMENT = 1 << 20
-CACHE = 400_000
+CACHE = 250_000
 END_ID = 1
 SEGMENTS = "part int, seq int, first long, n_docs int, n_ids long, payload binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and up, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
+
+
+BYTE_LETTERS = _byte_letters()
+#: Marks that both tokenizers cut off the end of a word as one piece. The apostrophe isn't one: it may begin a contraction.
+MARKS = ".,;:!?&%$*#|()"
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, by a tokenizer that drops white space between words."""
+    """Ids of whole texts as little-endian uint32 bytes, by a tokenizer that drops white space between words.
+
+    A piece that is a word of Latin-1 letters with marks behind it goes to the model in its parts, without the passes
+    that would find them again; all other pieces go through the whole tokenizer. Both give the tokenizer's own ids.
+    """
+
+    lead = ""
+    folds = True  # the tokenizer lower-cases
 
     def __init__(self, path: str, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The text cut where the tokenizer cuts anyway: at spaces and line feeds, which it drops."""
         return text.replace("\n", " ").split(" ")
 
-    def source(self, piece: str) -> str:
-        return piece
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(dict.fromkeys(pieces))
-        made = self.tokenizer.encode_batch_fast([self.source(p) for p in new], add_special_tokens=False)
-        for p, e in zip(new, made, strict=True):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+    def source(self, piece: str) -> tuple[str, str, str]:
+        """What a piece stands for: text before it that is a piece of its own, what leads the word, and the word."""
+        return "", "", piece
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, lead: str, word: str) -> bytes:
+        key = lead + word
+        if (found := self.words.get(key)) is None:
+            if len(self.words) >= self.limit:
+                self.words.clear()
+            if word.isalpha() and word.isascii():
+                mapped = lead + word
+            elif word.isalpha() and max(word) < "\u0100":
+                mapped = lead + word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            else:
+                mapped = None
+            if mapped is None:
+                found = self.whole((" " if lead else "") + word)
+            else:
+                found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            self.words[key] = found
+        return found
+
+    def make(self, piece: str) -> bytes:
+        before, lead, word = self.source(piece)
+        base = word.rstrip(MARKS)
+        if not base.isalpha() or max(base) >= "\u0100":
+            return self.whole(before + (" " if lead else "") + word)
+        made = self.word(lead, base.lower() if self.folds else base)
+        if len(base) < len(word):
+            made += self.word("", word[len(base) :])
+        return self.whole(before) + made if before else made
 
     def encode(self, text: str) -> bytes:
         pieces = self.pieces(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            self.learn(pieces)
-            return b"".join(map(self.known.__getitem__, pieces))
-
-    def warm(self, texts: Iterable[str]) -> None:
-        """Learns the new pieces of many texts by one call."""
-        new: set[str] = set()
-        for t in texts:
-            new.update(p for p in self.pieces(t) if p not in self.known)
-            if len(new) > self.limit // 4:
-                self.learn(new)
-                new.clear()
-        if new:
-            self.learn(new)
+        known = self.known
+        made = list(map(known.get, pieces))
+        if None in made:
+            if len(known) >= self.limit:
+                known.clear()
+            for i, p in enumerate(pieces):
+                if made[i] is None:
+                    if p not in known:
+                        known[p] = self.make(p)
+                    made[i] = known[p]
+        return b"".join(made)
+
+
+_ENCODERS: dict[tuple, WordEncoder] = {}
+
+
+def encoder_of(kind: type[WordEncoder], path: str) -> WordEncoder:
+    """The worker's encoder, which keeps what it knows from one task to the next."""
+    if (kind, path) not in _ENCODERS:
+        _ENCODERS[kind, path] = kind(path)
+    return _ENCODERS[kind, path]
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -152,7 +202,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, seq, first = WordEncoder(tokenizer), TaskContext.get().partitionId(), itertools.count(), 0
+        encoder, part, seq, first = encoder_of(WordEncoder, tokenizer), TaskContext.get().partitionId(), itertools.count(), 0
         end = struct.pack("<I", end_id)
         doc_ids: list[int | None] = []
         lengths: list[int] = []
@@ -165,7 +215,6 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
         for batch in batches:
             texts = batch["text"].tolist()
-            encoder.warm(texts)
             for doc_id, null_id, text in zip(batch["doc_id"].tolist(), batch["null_id"].tolist(), texts, strict=True):
                 made = encoder.encode(text) + end
                 doc_ids.append(None if null_id else int(doc_id))
