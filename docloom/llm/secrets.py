@@ -10,7 +10,8 @@ end) that hold a digit and a letter and don't overlap a base span. Each one's en
 
 * chi-squared uniformity of the alphabet. Under uniform draws the statistic per character tends to (A - 1) / n; under
   prose it tends to A * sum(q^2) - 1 with letter frequencies q. z_chi is the distance from prose, in deviations.
-* runs of one character class (lower, upper, digit): prose changes class rarely, random strings at every second step.
+* runs of one character class (lower, upper, digit): prose changes class rarely, random strings at every second step;
+  separators as in paths change nothing.
 * serial correlation of neighbouring code points, which must be that of an unordered sequence.
 
 The first two give one p-value against "this is prose" (Stouffer), and the candidates of a text pass a weighted
@@ -132,7 +133,7 @@ def battery(token: Column) -> Column:
         changes = let(
             kind,
             lambda k: F.aggregate(
-                F.sequence(F.lit(1), F.size(k) - 1), F.lit(0.0), lambda s, i: s + F.when(k[i] != k[i - 1], 1.0).otherwise(0.0)
+                F.sequence(F.lit(1), F.size(k) - 1), F.lit(0.0), lambda s, i: s + F.when((k[i] != k[i - 1]) & (k[i] < 3) & (k[i - 1] < 3), 1.0).otherwise(0.0)
             ),
         )
         z_runs = (changes - PROSE_CHANGE * (n - 1)) / F.sqrt(PROSE_CHANGE * (1 - PROSE_CHANGE) * (n - 1))
