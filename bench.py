@@ -10,9 +10,9 @@ from docloom.plans import catalogue
 from docloom.session import local_session
 
 HEADLINE = [
-    "bm25_topk", "bm25_filtered", "dense_topk", "rrf_fusion", "merge_docs", "keyword_boost", "cliff_cut", "rerank_topn", "context_build",
-    "list_documents", "prune_versions", "manifest_diff", "upsert_latest", "clean_lines", "repeated_lines", "content_hash_ids",
-    "quote_location_unique", "rank_metrics", "paired_compare", "token_f1", "recursive_split", "doc_simhash", "near_dup_pairs",
+    "bm25_topk", "bm25_filtered", "dense_topk", "rrf_fusion", "list_documents", "prune_versions", "manifest_diff", "upsert_latest",
+    "clean_lines", "repeated_lines", "content_hash_ids", "quote_location_unique", "rank_metrics", "paired_compare", "token_f1",
+    "recursive_split",
 ]
 
 
