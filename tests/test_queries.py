@@ -1,6 +1,7 @@
 """Registered queries against their SQL in DuckDB, on the smallest data."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from docloom.plans import catalogue
@@ -19,7 +20,7 @@ def db():
 
 def canonical(frame, columns):
     def text(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return "null"
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
