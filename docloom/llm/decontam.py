@@ -95,7 +95,7 @@ def window_hits(documents: DataFrame, benchmark: DataFrame, max_windows: int = M
     grams = item_windows(benchmark).select("gram", "len")
     small = grams.limit(max_windows + 1).collect()
     base = documents.select(
-        "doc_id", F.xxhash64("text").alias("fp"), F.col("text"), ngram_words(F.lower("text")).alias("_w")
+        "doc_id", F.xxhash64("text").alias("fp"), ngram_words(lower_ascii(F.col("text"))).alias("_w")
     )
     if len(small) > max_windows:
         lengths = [r["len"] for r in grams.select("len").distinct().collect()]
@@ -107,13 +107,13 @@ def window_hits(documents: DataFrame, benchmark: DataFrame, max_windows: int = M
         }
 
     def near(w: Column) -> Column:
-        """Whether an aligned anchor of the text is known. Here all letters are lower-cased, which only adds candidates."""
+        """Whether an aligned anchor of the text is known."""
         found = F.lit(False)
         for n, (known, _) in keys.items():
             q, step = anchor_of(n)
             if known is None:
                 return F.lit(True)
-            found = found | F.exists(starts(w, n, 1) if n < q else starts(w, q, step), lambda i: _member(hash_at(w, i, q), known))
+            found = found | F.exists(starts(w, q, step), lambda i: _member(hash_at(w, i, q), known))
         return found
 
     def hits(w: Column) -> Column:
@@ -135,7 +135,7 @@ def window_hits(documents: DataFrame, benchmark: DataFrame, max_windows: int = M
         F.col("_w"),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.when(near(w), let(ngram_words(lower_ascii(F.col("text"))), hits)).otherwise(none).alias("hits"),
+            F.when(near(w), hits(w)).otherwise(none).alias("hits"),
         ),
     )
     return base.select("doc_id", "fp", scanned.alias("s")).select(
