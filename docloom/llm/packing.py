@@ -59,8 +59,11 @@ class SpacedEncoder(WordEncoder):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        # split() cuts at runs of any white space; with single spaces and line feeds inside the text alone, the counts agree
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "<|" in text:
+        # no pair of spaces and line feeds, nor one at either end: every piece below then holds a character
+        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "<|")) or text[0].isspace() or text[-1].isspace():
+            return self.whole(text)
+        # split() cuts at runs of any white space; without other kinds of it the counts agree
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
             return self.whole(text)
         return super().encode(text)
 

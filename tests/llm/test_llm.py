@@ -63,6 +63,10 @@ def test_decontamination(spark, odd):
         by = {r.doc_id: r for r in got}
         assert by[10].n_hit == 45 and sorted(by[10]["items"]) == ["1"]
         assert by[4].n_hit == 1 and by[4].contaminated and by[1].n_words == 0 and not by[1].contaminated
+    capitals = " ".join(f"ÉTÉ{x}" for x in WORDS[:13])  # A-Z alone are lower-cased
+    both = spark.createDataFrame([(1, f"x {capitals} y"), (2, capitals.lower())], "doc_id long, text string")
+    item = spark.createDataFrame([(1, capitals)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.decontaminate(both, item).collect()} == {1: 13, 2: 0}
     none = decontam.decontaminate(odd, bench.limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == odd.count()
     assert decontam.decontaminate(empty(spark), bench).count() == 0
@@ -133,6 +137,17 @@ def test_token_files(spark, odd, rows, tmp_path):
     assert token_files.read_tokens(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("kind, name", [(token_files.WordEncoder, "word_bpe_49k.json"), (packing.SpacedEncoder, "byte_bpe_50k.json")])
+def test_encoders_equal_tokenizer(kind, name):
+    encoder = kind(public_tokenizers.path(name))
+    rng = np.random.default_rng(11)
+    letters = list("ab cA'sÉé.,!?\n\t 1\xa0\u0301ßµ日🙂-_()ªt\x1c\u2028")
+    texts = ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(5000)]
+    for text in ["", " ", "\n", "x\xa0y  z", "a\x1cb \nc", "it's IT'S we'LL", "don't.\n\nBut", "<|endoftext|> a", *texts]:
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want, repr(text)
+
+
 def test_packing(spark, odd, rows):
     name = "byte_bpe_50k.json"
     got = packing.pack(odd, public_tokenizers.path(name)).toPandas()
