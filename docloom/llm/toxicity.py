@@ -10,9 +10,12 @@ Scoring. Word beginnings of three to twelve letters, and whole words, are candid
 toxic texts is significantly above that of the others are kept, and a ridge logistic regression over their presence and the
 logarithms of their counts gives the probability.
 
-Language model, stems and weights are fitted on the driver from at most ``PER_CLASS`` labelled texts of each class of
-at most ``MAX_BYTES`` bytes (documented bound; see samples.py). Scoring is done row by row over whole texts, with a
-bounded memory of restored stretches.
+The language model counts the character 4-grams of all documents, labelled or not, by a Spark aggregation over a gram
+space of ``SYMBOLS`` to the power of ``ORDER``: the end of a word, a to z, and all other letters by the remainder of
+their code point, which tells the letters of one alphabet apart but not all of those of large scripts. Stems and weights
+alone are fitted on the driver from at most ``PER_CLASS`` labelled texts of each class of at most ``MAX_BYTES`` bytes
+(documented bound; see samples.py). Scoring is done row by row over whole texts, with a bounded memory of restored
+stretches.
 
 Edge cases: null and empty texts score as a text without any stem; without labels of both classes every score is the
 share of label 1 (0 without any); repeated rows score alike; an empty table gives an empty result; other columns are
@@ -24,10 +27,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +49,8 @@ MAX_STEMS = 300
 TELLING = 8  # texts, and this share of the toxic ones
 TELLING_SHARE = 0.05
 REMEMBERED = 50_000
+SYMBOLS = 64
+CHUNK = 1 << 20  # characters whose grams are counted at a time
 
 #: Letters that a character may stand for. Fixed values.
 LOOKS_LIKE = {
@@ -61,29 +68,84 @@ REPEATED = re.compile(r"(.)\1\1")
 TOKEN_REST = re.compile(r"\S*")
 
 
+@cache
+def _symbol_of() -> np.ndarray:
+    """The symbol of each code point; 0 for what is no letter and so ends a word."""
+    out = np.zeros(0x110000, np.uint8)
+    codes = [i for i in range(0x110000) if (c := chr(i)).isalnum() and not c.isdecimal()]
+    out[codes] = [symbol(chr(i)) for i in codes]
+    return out
+
+
+def symbol(char: str) -> int:
+    return 0 if char == " " else ord(char) - 96 if "a" <= char <= "z" else 27 + ord(char) % (SYMBOLS - 27)
+
+
+def add_grams(text: str, total: np.ndarray) -> None:
+    """Adds to total the grams of the words of a lower-cased text, each word behind ORDER - 1 ends and before one."""
+    codes = np.frombuffer((" " * ORDER + text + " ").encode("utf-32-le", "replace"), np.uint32)
+    for lo in range(ORDER, len(codes), CHUNK):
+        s = _symbol_of()[codes[lo - ORDER + 1 : lo + CHUNK]].astype(np.int32)
+        key, before = s[ORDER - 1 :].copy(), None
+        for k in range(1, ORDER):  # what lies behind an end is another word
+            now = s[ORDER - 1 - k : len(s) - k] * (1 if before is None else before > 0)
+            if before is None:
+                inside = (key > 0) | (now > 0)
+            key += now << 6 * k
+            before = now
+        found, n = np.unique(key[inside], return_counts=True)
+        total[found] += n
+
+
+def grams_of(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of the texts in ascending order, and how often each one occurs."""
+    total = np.zeros(SYMBOLS**ORDER, np.int64)
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK:
+            add_grams("\n".join(held).lower(), total)
+            held, size = [], 0
+    add_grams("\n".join(held).lower(), total)
+    found = np.flatnonzero(total)
+    return found, total[found]
+
+
 class CharModel:
     """Interpolated character n-grams of words, each word between a space and a space."""
 
-    def __init__(self, words: Counter):
-        self.grams: dict[str, Counter] = defaultdict(Counter)
-        for word, n in words.items():
-            padded = " " * (ORDER - 1) + word + " "
-            for i in range(ORDER - 1, len(padded)):
-                for k in range(ORDER):
-                    self.grams[padded[i - k : i]][padded[i]] += n
-        self.totals = {c: (sum(v.values()), len(v)) for c, v in self.grams.items()}
-        self.size = max(1, len(self.grams.get("", ())))
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        """grams: ascending, without repetition; the shorter ones are their ends."""
+        self.grams, self.counts, self.totals, self.kinds = [], [], [], []
+        for k in range(ORDER):
+            size = SYMBOLS ** (k + 1)
+            n = np.bincount(grams % size, counts, size)
+            found = np.flatnonzero(n)
+            self.grams.append(found.astype(np.int32))
+            self.counts.append(n[found])
+            self.totals.append(np.bincount(found // SYMBOLS, n[found], size // SYMBOLS))
+            self.kinds.append(np.bincount(found // SYMBOLS, minlength=size // SYMBOLS).astype(np.int32))
+        self.size = max(1, len(self.grams[0]))
         self.known: dict[tuple[str, str], float] = {}
 
+    def count(self, k: int, key: int) -> float:
+        at = int(np.searchsorted(self.grams[k], key))
+        return float(self.counts[k][at]) if at < len(self.grams[k]) and self.grams[k][at] == key else 0.0
+
     def logp(self, context: str, char: str) -> float:
         if (found := self.known.get((context, char))) is None:
             p = 1 / (self.size + 50)
+            c = 0
             for k in range(ORDER):
-                c = context[len(context) - k :]
-                if c not in self.totals:
+                if k:
+                    c += symbol(context[-k]) * SYMBOLS ** (k - 1)
+                total, kinds = float(self.totals[k][c]), int(self.kinds[k][c])
+                if not kinds:
                     break
-                total, kinds = self.totals[c]
-                p = (self.grams[c][char] if char in self.grams[c] else 0) / (total + kinds) + p * kinds / (total + kinds)
+                p = self.count(k, c * SYMBOLS + symbol(char)) / (total + kinds) + p * kinds / (total + kinds)
+            if len(self.known) >= 4 * REMEMBERED:
+                self.known.clear()
             found = self.known[context, char] = math.log(p)
         return found
 
@@ -172,15 +234,15 @@ def _g2(dp: int, dn: int, p: int, n: int) -> float:
 
 
 class ToxicityModel:
-    def __init__(self, texts: list[tuple[str, int]]):
+    def __init__(self, texts: list[tuple[str, int]], grams: tuple[np.ndarray, np.ndarray] | None = None):
+        """texts: the labelled ones; grams: those of all documents with their counts, of the labelled texts where not given."""
         self.remembered: dict[str, str] = {}
         labels = [y for _, y in texts]
         self.constant = None if len(set(labels)) == 2 else float(np.mean(labels)) if labels else 0.0
         if self.constant is not None:
             return
         lowered = [t.lower() for t, _ in texts]
-        words = Counter(w for t in lowered for w in WORD.findall(t))
-        self.model = CharModel(words)
+        self.model = CharModel(*(grams or grams_of(lowered)))
         self.stems = self._choose(lowered, labels)
         self.pattern = self._compile()
         alone = self._telling(lowered, labels)  # each of these words is to be enough by itself
@@ -283,8 +345,23 @@ def held_out(remainder: int, of: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == remainder, F.lit(False))
 
 
+def count_grams(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all texts in ascending order, and their counts; at most SYMBOLS ** ORDER rows come to the driver."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, counts = grams_of(t for b in batches for t in b.column(0).to_pylist() if t)
+        for lo in range(0, len(found), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + CHUNK], pa.int64()) for x in (found, counts)], ["gram", "n"])
+
+    of_parts = documents.select("text").mapInArrow(part, "gram long, n long")
+    counted = of_parts.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    grams, n = (counted.column(c).to_numpy() for c in ("gram", "n"))
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return ToxicityModel(labelled_texts(documents, labels, "toxic", ~held_out(1, 3), PER_CLASS, MAX_BYTES))
+    return ToxicityModel(labelled_texts(documents, labels, "toxic", ~held_out(1, 3), PER_CLASS, MAX_BYTES), count_grams(documents))
 
 
 def with_score(documents: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:

@@ -99,6 +99,33 @@ def test_toxicity(spark, odd):
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)).all()
 
 
+def brute_grams(texts):
+    out = {}
+    for t in texts:
+        for w in toxicity.WORD.findall((t or "").lower()):
+            s = [0, 0, 0, *map(toxicity.symbol, w), 0]
+            for i in range(3, len(s)):
+                key = ((s[i - 3] * 64 + s[i - 2]) * 64 + s[i - 1]) * 64 + s[i]
+                out[key] = out.get(key, 0) + 1
+    return out
+
+
+def test_toxicity_grams_of_all(spark, odd, rows, monkeypatch):
+    """Texts without labels and long ones count in the language model, whatever the sample holds."""
+    extra = [(100 + i, f"voilà größe привет 漢字 x{i} it's _under_ ²") for i in range(50)]
+    frame = odd.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).repartition(5)
+    want = brute_grams([t for _, t in rows + extra])
+    grams, counts = toxicity.count_grams(frame)
+    assert dict(zip(grams.tolist(), counts.tolist())) == want and (np.diff(grams) > 0).all()
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    grams, counts = toxicity.grams_of([t for _, t in extra])
+    assert dict(zip(grams.tolist(), counts.tolist())) == brute_grams([t for _, t in extra])
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.fit(frame, labels).model.counts[0].sum() == sum(want.values())
+    grams, counts = toxicity.count_grams(empty(spark))
+    assert len(grams) == len(counts) == 0
+
+
 def test_quality_model(spark, odd):
     texts = [("THE WORD!! IS OF!! " * 30, 0)] * 20 + [("the quiet word is of another place. " * 20, 1)] * 20
     net = quality_model.ByteNet().fit(texts)
