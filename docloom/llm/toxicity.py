@@ -61,10 +61,14 @@ SUBSTITUTED, SECOND_DROPPED, REPEAT_DROPPED, DROPPED_SEPARATOR, DROPPED_MARK, KE
 
 LETTER = r"[^\W\d_]"
 WORD = re.compile(rf"{LETTER}+")
-LOOKALIKE = re.compile(rf"[0-9@$!|€+(<*#](?={LETTER})")
-SPACED = re.compile(rf"(?<!\S){LETTER}(?:[ .\-_*/]{{1,2}}{LETTER}){{2,}}(?!\w)")
-SPACED_HINT = re.compile(rf"[ .\-_*/]{LETTER}[ .\-_*/]{{1,2}}{LETTER}(?!\w)")
+MARK = r"[0-9@$!|€+(<*#]"
+LOOKALIKE = re.compile(rf"{MARK}(?={LETTER})|(?<={LETTER}){MARK}")
+ONE = rf"(?:{LETTER}|{MARK})"
+SPACED = re.compile(rf"(?<!\w){ONE}(?:[ .\-_*/]{{1,2}}{ONE}){{2,}}(?!\w)")
+SPACED_HINT = re.compile(rf"[ .\-_*/]{ONE}[ .\-_*/]{{1,2}}{ONE}(?!\w)")
 REPEATED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
+REPEATS = re.compile(r"(.)\1+")
 TOKEN_REST = re.compile(r"\S*")
 
 
@@ -197,9 +201,11 @@ def restore(stretch: str, model: CharModel) -> str:
     return "".join(reversed(out)).strip()
 
 
-def stretches(text: str) -> list[str]:
-    """The suspicious stretches of a lower-cased text."""
-    found = [m[0] for m in SPACED.finditer(text)] if SPACED_HINT.search(text) else []
+def stretches(text: str, doubled: re.Pattern | None = None) -> list[str]:
+    """The suspicious stretches of a lower-cased text. doubled: the words to open at letters that stand there twice."""
+    found = [m[0] for m in SPACED.finditer(text) if WORD.search(m[0])] if SPACED_HINT.search(text) else []
+    if doubled:
+        found += [w for w in doubled.findall(text) if DOUBLED.search(w) and not REPEATED.search(w)]
     for pattern in (LOOKALIKE, REPEATED):
         done = -1
         for m in pattern.finditer(text):
@@ -211,13 +217,13 @@ def stretches(text: str) -> list[str]:
     return found
 
 
-def _trie(words: list[str]) -> str:
-    """A pattern that matches any of the words, the longest first, branching letter by letter."""
+def _trie(words: list[str], more: str = "") -> str:
+    """A pattern that matches any of the words, the longest first, branching letter by letter; more: behind each letter."""
     by_first: dict[str, list[str]] = defaultdict(list)
     for w in words:
         if w:
             by_first[w[0]].append(w[1:])
-    parts = [re.escape(c) + _trie(rest) for c, rest in sorted(by_first.items())]
+    parts = [re.escape(c) + more + _trie(rest, more) for c, rest in sorted(by_first.items())]
     inner = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")" if parts else ""
     return f"(?:{inner})?" if "" in words and inner else inner
 
@@ -286,6 +292,10 @@ class ToxicityModel:
         self.of_word: dict[str, list[int]] = {}
         bare = sorted({s.rstrip("$") for s in self.stems})
         least = [s for k, s in enumerate(bare) if not k or not any(s.startswith(b) for b in bare[:k])]
+        # a word that drops some of its doubled letters can begin with a stem only if both do so without any doubled letter
+        single = sorted({REPEATS.sub(r"\1", s) for s in least})
+        single = [s for k, s in enumerate(single) if not k or not any(s.startswith(b) for b in single[:k])]
+        self.doubled = re.compile(rf"\b{_trie(single, '+')}{LETTER}*") if least else None
         return re.compile(rf"\b{_trie(least)}{LETTER}*") if least else None
 
     def places(self, word: str) -> list[int]:
@@ -308,8 +318,9 @@ class ToxicityModel:
         if self.pattern is None:
             return out
         found = self.pattern.findall(lowered)
-        if odd := stretches(lowered):
-            found = found + [s for x in odd if (r := self.restored(x)) != x for s in self.pattern.findall(r)]
+        for x in stretches(lowered, self.doubled):
+            if (r := self.restored(x)) != x and (hidden := self.pattern.findall(r)):
+                found += (Counter(hidden) - Counter(self.pattern.findall(x))).elements()
         for s in found:
             for i in self.places(s):
                 out[i] += 1

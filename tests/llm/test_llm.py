@@ -99,6 +99,16 @@ def test_toxicity(spark, odd):
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)).all()
 
 
+def test_toxicity_devices():
+    texts = [(f"plain words about thing {i} and of it", 0) for i in range(60)] + [(f"you idiot thing {i} and moron, loser or stupid trass of it", 1) for i in range(60)]
+    model = toxicity.ToxicityModel(texts)
+    hidden = ["i d 1 o t", "1 d 1 0 t", "m 0 r 0 n", "m.0.r.0.n", "l-0-s-e-r", "iddiioott", "tra$$", "s t u p 1 d", "(i d i o t)", "(1d10t)", "mm0roonn"]
+    for x in hidden:
+        assert model.score(f"the thing {x} of it") >= 0.7, x
+    for x in ("1 2 3 4", "3.1.4", "a letter, a book and a wall!", "i d o a thing"):
+        assert model.score(f"plain thing {x} of it") < 0.5, x
+
+
 def brute_grams(texts):
     out = {}
     for t in texts:
