@@ -35,7 +35,7 @@ from docloom.llm.common import let, table
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
-RANDOM = r"(?<![\p{L}0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ["assign", "access", "hex", "random"]
 OPEN, CLOSE, OTHER = "", "", ""

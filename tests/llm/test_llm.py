@@ -278,6 +278,15 @@ def test_secrets(spark, odd):
     assert all([(s.start, s.kind, s.end) for s in r.base] == brute_spans(r.text) for r in secrets.scan(docs).collect())
 
 
+def test_secrets_behind_other_characters(spark):
+    run = "Zq8fK2mX9vB4nT7wJ3pL6sD1gH5r"
+    texts = [f"sessionid={run}", f"AWS_KEY={run} x", f"https://x.org/a?sig={run}", f"鍵{run}", f"clé{run}", f"ключ={run}=="]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in secrets.scan(frame).collect():
+        assert [(s.start, s.match.rstrip("=")) for s in r["all"]] == [(r.text.index(run), run)], r.text
+    assert all(run not in r.text for r in secrets.redact(frame).collect())
+
+
 def test_licenses(spark, odd):
     texts = [(1, "Foo. Released under the MIT License. All rights reserved."), (2, "MIT License"), (3, None)]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
