@@ -5,6 +5,11 @@ one space) and mapped to the identifier of a known licence sentence. The sequenc
 then matched against ordered licence rules; a rule names the sentences that must follow one another, other known
 sentences may stand between them.
 
+Cuts fall at line ends and behind ``. ! ? ; :``, so wrapped texts and marks inside a sentence leave several pieces of it.
+A known sentence is therefore one piece or several that follow one another (the longest such run, from left to right),
+whatever marks, blank lines or comment leaders stand between them. OP10_SQL knows single pieces only: the two differ
+where a known sentence is wrapped or cut.
+
 The maps are small fixed values that stay in the plan, so each row is handled by itself in DataFrame functions: no
 join, no shuffle, no Python worker. A text none of whose known sentences' anchor phrases occurs is not cut at all.
 
@@ -77,6 +82,9 @@ RULES = [
 #: Every known sentence holds one of these, in lower case and as it is written, before normalisation.
 ANCHORS = ["licens", "rights", "permi", "conditions", "warranty", "redistribut", "obtain a copy", "domain"]
 
+#: Comment leaders that are words; the others go with the normalisation.
+LEADERS = r"\|(?:dnl|rem|c) "
+
 ENDS = r"[.!?;:]+(\s+|$)|[\r\n]+"
 
 
@@ -92,7 +100,11 @@ def _normal(sentence: Column) -> Column:
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     cut = F.split(F.regexp_replace(text, ENDS, "\n"), "\n")
-    known = F.filter(F.transform(cut, _normal), lambda s: s.isin([x for xs in SENTENCES.values() for x in xs]))
+    pieces = F.array_join(F.filter(F.transform(cut, _normal), lambda s: s != ""), "|")
+    joined = F.regexp_replace(F.concat(F.lit("|"), pieces, F.lit("|")), LEADERS, "|")
+    longest = sorted((x for xs in SENTENCES.values() for x in xs), key=lambda x: (-len(x), x))
+    runs = "|".join(x.replace(" ", "[ |]") for x in longest)
+    known = F.transform(F.regexp_extract_all(joined, F.lit(rf"\|({runs})(?=\|)"), F.lit(1)), lambda s: F.replace(s, F.lit("|"), F.lit(" ")))
 
     def name(s: Column) -> Column:
         out = F.lit(None).cast("string")

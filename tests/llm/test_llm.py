@@ -298,6 +298,54 @@ def test_licenses(spark, odd):
     assert all(any(a in s for a in licenses.ANCHORS) for v in licenses.SENTENCES.values() for s in v)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+REF = """This project is licensed
+under the MIT License."""
+
+
+def test_genuine_license_headers(spark):
+    headers = [(MIT, "MIT"), (GPL, "GPL-3.0"), (BSD, "BSD"), (MPL, "MPL-2.0"), (APACHE, "Apache-2.0"), (REF, "MIT")]
+    texts = []
+    for t, name in headers:
+        texts += [(t, name), (" ".join(t.split()), name), (t.replace("\n", "\r\n"), name)]
+        texts += [("".join(f"{c}{x}\n" for x in t.split("\n")), name) for c in (" * ", "// ", "# ", "dnl ", ";; ")]
+    frame = spark.createDataFrame([(i, f"Some words before.\n\n{t}\n\nWords behind.") for i, (t, _) in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(frame).collect()}
+    assert got == {i: [name] for i, (_, name) in enumerate(texts)}
+    within = spark.createDataFrame([(1, "It is not\nreleased under the MIT License as such"), (2, "released under the\nWords.\nMIT License")], "doc_id int, text string")
+    assert all(r.licenses == [] for r in licenses.scan_licenses(within).collect())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
