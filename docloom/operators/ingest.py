@@ -151,6 +151,11 @@ def hamming_links(hashed: DataFrame, distance: int = 3) -> DataFrame:
     return x.join(y, "band").where((F.col("id_a") < F.col("id_b")) & near).select("id_a", "id_b", "ids_a", "ids_b").distinct()
 
 
+def fingerprint_members(hashed: DataFrame) -> DataFrame:
+    """doc_id, id, ids: for each document the smallest id among those with its fingerprint, and how many these are."""
+    return hashed.join(hashed.groupBy("simhash").agg(F.min("doc_id").alias("id"), F.count("*").alias("ids")), "simhash").select("doc_id", "id", "ids")
+
+
 def paragraphs_once(text: str, least: int = 40, distance: int = 3) -> str:
     """Drops paragraphs whose SimHash is near that of a *kept* earlier one; short paragraphs stay."""
     kept: list[str] = []
@@ -205,7 +210,11 @@ def q_simhash(spark, sf_dir):
 
 @query("near_dup_pairs")
 def q_near_pairs(spark, sf_dir):
-    return hamming_links(with_simhash(table(spark, sf_dir, "documents")).select("doc_id", "simhash"))
+    """Pairs of near fingerprints by their smallest ids; where ``same``, a row for each document (id_b) with that of its own (id_a)."""
+    hashed = with_simhash(table(spark, sf_dir, "documents")).select("doc_id", "simhash")
+    ids = F.col("ids")
+    members = fingerprint_members(hashed).select(F.col("id").alias("id_a"), F.col("doc_id").alias("id_b"), ids.alias("ids_a"), ids.alias("ids_b"), F.lit(True).alias("same"))
+    return hamming_links(hashed).withColumn("same", F.lit(False)).unionByName(members)
 
 
 @query("dedup_first_wins", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")

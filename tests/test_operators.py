@@ -69,3 +69,10 @@ def test_stream_commits_once(spark, tmp_path):
         stream_documents(spark, f"{tmp_path}/in", rows.schema, *where).awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(where[0]).collect()) == [1, 4]
     assert sorted(r.error for r in spark.read.parquet(where[1]).collect()) == ["no id", "no text"]
+
+
+def test_members_of_fingerprints(spark, tmp_path):
+    rows = [(1, "the same text here"), (2, "another one of these"), (3, "the same text here"), (4, "the same text here"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = ingest.q_near_pairs(spark, str(tmp_path)).where("same").collect()
+    assert {(r.id_b, r.id_a, r.ids_a) for r in got} == {(1, 1, 3), (2, 2, 1), (3, 1, 3), (4, 1, 3), (5, 5, 1)} and len(got) == 5
