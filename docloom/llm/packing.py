@@ -1,22 +1,24 @@
 """Packing documents into training sequences by an order-preserving dynamic programme.
 
-Each partition's documents form one stream of ids, in the order in which they are read. Cuts of the stream are chosen
-so that windows of at most ``SEQUENCE`` ids waste little padding and break few sentences: a cut at the end of a
-document or after a sentence is cheap, a cut elsewhere costs ``BREAK``. With f(j) the least cost of a packing that ends
-at position j,
+Each partition's documents form one stream of ids, in the order in which they are read. The stream is cut into windows
+of at most ``SEQUENCE`` ids. A window costs its padding and ``START``; a cut costs nothing behind a document,
+``SENTENCE_CUT`` behind a sentence and ``BREAK`` inside one, all in pad ids. With f(j) the least cost of a packing that
+ends at position j,
 
-    f(j) = cut(j) + min over i in [j - SEQUENCE, j) of f(i) + pad(j - i),    pad(n) = SEQUENCE - n
+    f(j) = cut(j) + START + min over i in [j - SEQUENCE, j) of f(i) + pad(j - i),    pad(n) = SEQUENCE - n,
 
-and f(i) - i decides which i is best for a given j, so the minimum over the sliding range comes from a monotone queue
-and each position enters and leaves it once. Positions are the document and sentence ends, and for each of them the
-point exactly one full window later, so a full window is always on offer and no stretch is without a cut.
+so i with the least f(i) + i is best for j, and the minimum over the sliding range comes from a monotone queue that each
+place enters and leaves once. Of the positions inside sentences only those one full window behind the head of the queue
+can matter: while the head stays the same, all of them have the same f(j) + j, and the last one stays in reach longest.
+So the programme visits the ends of documents and sentences and these places, and is exact all the same.
 
-The stream is packed in stretches of a bounded length; the last windows of a stretch are carried over to the next one,
-and only the last window of a partition is ever left short. Nothing is shuffled, and a lost task packs its partition
-again with the same result.
+A window whose length is a smaller power of two needs no padding. Such windows are offered between ends of documents or
+sentences; cutting inside a sentence for one never is.
 
-A window shorter than ``SEQUENCE`` is padded to it, unless its length is a power of two, which stays as it is; pad(n)
-then is 0, for which the stretch's last window is the only frequent case.
+The stream is packed in stretches of a bounded length. All best ways to the places of a stretch's last window come from
+one cut before it, up to which the packing of the whole stream is settled; what follows is carried over to the next
+stretch. Only the last window of a partition is left short without need. Nothing is shuffled, and a lost task packs its
+partition again with the same result.
 
 Edge cases: null and empty texts are a document of the end id alone; a document longer than a window is cut into
 pieces; rows of equal id are documents of their own; an empty table gives an empty result; other columns are ignored.
@@ -24,10 +26,11 @@ pieces; rows of equal id are documents of their own; an empty table gives an emp
 
 from __future__ import annotations
 
-import struct
+import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -37,93 +40,89 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import table
-from docloom.llm.token_files import WordEncoder, encoder_of
+from docloom.llm.token_files import BYTE_LETTERS, PieceEncoder, encoder_of
 
 SEQUENCE = 1024
 END_ID = 0
-SENTENCE_CUT = 1.0
-BREAK = 6.0
-STRETCH = 1 << 18
+SENTENCE_CUT, BREAK, START = 1.0, 48.0, 12.0
+STRETCH = 1 << 17
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Marks behind which a sentence ends if white space follows, with closing ones behind them; and marks that need none.
+MARKED, ALONE = re.compile("[.!?\u2026][\"')\\]\u201d\u2019]*$"), re.compile("[\n\u3002\uff01\uff1f]$")
 
 
-class SpacedEncoder(WordEncoder):
-    """As WordEncoder, for a byte-level tokenizer that keeps white space and joins one space to the word after it.
+class SentenceEnds:
+    """Behind which ids of a document a sentence ends."""
 
-    Between two characters that aren't white space, a single space or line feed always starts a new piece. Texts with
-    other white space, with runs of it or with some at either end are encoded whole.
-    """
-
-    folds = False
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        # no pair of spaces and line feeds, nor one at either end: every piece below then holds a character
-        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "<|")) or text[0].isspace() or text[-1].isspace():
-            return self.whole(text)
-        # split() cuts at runs of any white space; without other kinds of it the counts agree
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return self.whole(text)
-        return super().encode(text)
-
-    def pieces(self, text: str) -> list[str]:
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return ["\r" + first, *rest]
+    def __init__(self, tokenizer):
+        self.marked, self.alone, self.spaced = np.zeros((3, tokenizer.get_vocab_size()), bool)
+        bytes_of = {c: b for b, c in BYTE_LETTERS.items()}
+        for token, i in tokenizer.get_vocab().items():
+            text = bytes(bytes_of.get(c, 63) for c in token).decode("utf-8", "replace")
+            self.marked[i], self.alone[i] = bool(MARKED.search(text)), bool(ALONE.search(text))
+            self.spaced[i] = text[:1].isspace()
 
-    def source(self, piece: str) -> tuple[str, str, str]:
-        """A first piece has no space before it, and one after a line feed has the line feed."""
-        if piece[0] == "\r":
-            return "", "", piece[1:]
-        return ("\n", "", piece[1:]) if piece[0] == "\n" else ("", "\u0120", piece)
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        """Ascending positions in (0, len(ids))."""
+        return 1 + np.flatnonzero(self.alone[ids[:-1]] | (self.marked[ids[:-1]] & self.spaced[ids[1:]]))
 
 
-def sentence_ends(tokenizer) -> np.ndarray:
-    """For each id, whether its token ends a sentence: its last character is one of . ! ? or a line feed."""
-    marks = tuple(".!?Ċ")  # the byte-level alphabet writes a line feed as U+010A
-    found = np.zeros(tokenizer.get_vocab_size(), bool)
-    for token, i in tokenizer.get_vocab().items():
-        found[i] = token.endswith(marks)
-    return found
-
-
-def choose_cuts(total: int, cheap: np.ndarray, costs: np.ndarray, last: bool, size: int = SEQUENCE, broken: float = BREAK) -> list[int]:
+def choose_cuts(total: int, cheap: np.ndarray, costs: np.ndarray, last: bool, size: int = SEQUENCE) -> list[int]:
     """Cut positions in (0, total] of the cheapest packing of a stream of ``total`` ids.
 
-    cheap: ascending positions in (0, total] at which a cut costs ``costs``; other positions cost ``broken``.
-    last: the stream ends at ``total``, whose window may be short; otherwise the cut positions end at the best one
-    within the last window, and what follows is left over.
+    cheap: ascending positions in (0, total] at which a cut costs ``costs``, the last of them ``total``; at others it
+    costs ``BREAK``. last: the stream ends at ``total``; otherwise the cuts end at the last cheap place through which the
+    cheapest packing goes whatever follows, or at ``total`` if there is none.
     """
-    cost = np.full(total + 1, broken)
-    cost[cheap] = costs
-    marked = np.zeros(total + 1, bool)  # the places of the programme
-    marked[cheap] = marked[:: size // 2] = marked[total] = True
-    later = cheap + size
-    marked[later[later <= total]] = True
-    marked[0] = False
-    found = np.flatnonzero(marked)
-    places = found.tolist()
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # f(i) + i and i, both ascending
     came: dict[int, int] = {}
-    key_of: dict[int, float] = {0: 0.0}
-    for j, at in zip(places, cost[found].tolist(), strict=True):
-        reach = j - size
-        while queue[0][1] < reach:
-            queue.popleft()
+    at: dict[int, float] = {0: 0.0}  # f of the cheap places
+    full = size + START
+    short, pairs = _shorter_windows(total, cheap, size), 0
+    short.append((total + 1, 0))
+
+    def break_at(place: int) -> None:
+        key, came[place] = queue[0]
+        queue.append((key + full + BREAK, place))  # the last of all: no key of the queue is as large
+
+    for j, cost in zip(cheap.tolist(), costs.tolist(), strict=True):
+        if queue[0][1] + size < j:
+            gone = [queue.popleft()]
+            while queue and queue[0][1] + size < j:
+                gone.append(queue.popleft())
+            # places inside sentences behind a head that leaves are not needed if j has a smaller key than any of them
+            if not queue or queue[0][0] + cost > gone[0][0] + BREAK:
+                queue.extendleft(reversed(gone))
+                while (place := queue[0][1] + size) < j:
+                    if place not in came:
+                        while queue[-1][0] >= queue[0][0] + full + BREAK:
+                            queue.pop()
+                        break_at(place)
+                    queue.popleft()
         key, i = queue[0]
-        came[j] = i
-        # f(j) = f(i) + pad + cut with pad = size - (j - i), so j's own key f(j) + j is i's key + size + cut
-        n = j - i
-        new = key + (n if j == total and last and n & (n - 1) == 0 else size) + at
-        key_of[j] = new
-        while queue and queue[-1][0] >= new:
+        value = key - j + full + cost
+        while short[pairs][0] <= j:
+            before = short[pairs][0] - short[pairs][1]
+            if (other := at[before] + START + cost) < value:
+                value, i = other, before
+            pairs += 1
+        at[j], came[j] = value, i
+        key = value + j
+        while queue and queue[-1][0] >= key:
             queue.pop()
-        queue.append((new, j))
+        queue.append((key, j))
     end = total
-    if not last:
-        tail = [j for j in places[-4 * size :] if j > total - size] or [total]
-        pace = key_of[places[-1]] / total
-        end = min(tail, key=lambda j: (key_of[j] - j * pace, j))
+    if not last:  # from the places of the last window back to the one that all of them come from
+        heap = sorted(-j for j in came if j > total - size)
+        live = set(heap)
+        while len(heap) > 1:
+            if (i := -came[-heappop(heap)]) not in live:
+                live.add(i)
+                heappush(heap, i)
+        end = -heap[0]
+        while end not in at:
+            end = came[end]
+        end = end or total
     cuts = []
     while end:
         cuts.append(end)
@@ -131,17 +130,32 @@ def choose_cuts(total: int, cheap: np.ndarray, costs: np.ndarray, last: bool, si
     return cuts[::-1]
 
 
+def _shorter_windows(total: int, cheap: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """End and length of the windows between cheap places, or the begin and one, that a smaller power of two is long."""
+    marked = np.zeros(total + 1, bool)
+    marked[cheap] = marked[0] = True
+    found = []
+    for k in range(1, size.bit_length()):
+        n = size >> k
+        ends = cheap[cheap >= n]
+        ends = ends[marked[ends - n]]
+        found.append(np.stack([ends, np.full(len(ends), n)], axis=1))
+    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    return [*map(tuple, pairs[np.argsort(pairs[:, 0], kind="stable")].tolist())]
+
+
 class Packer:
     """Packs a stream of documents; ``add`` and ``finish`` give the pieces that are settled."""
 
-    def __init__(self, ends: np.ndarray, size: int = SEQUENCE, stretch: int = STRETCH):
+    def __init__(self, ends: Callable[[np.ndarray], np.ndarray], size: int = SEQUENCE, stretch: int = STRETCH):
         self.ends, self.size, self.stretch = ends, size, stretch
-        self.docs: list[tuple[object, int, np.ndarray, int]] = []  # id, ids before these in the document, ids, all its ids
+        #: Of each held document: its id, ids before these, ids, all its ids, and the sentence ends among these.
+        self.docs: list[tuple[object, int, np.ndarray, int, np.ndarray]] = []
         self.held = 0
         self.sequence = 0
 
     def add(self, doc_id, ids: np.ndarray) -> list[tuple]:
-        self.docs.append((doc_id, 0, ids, len(ids)))
+        self.docs.append((doc_id, 0, ids, len(ids), self.ends(ids)))
         self.held += len(ids)
         return self.pack(False) if self.held >= self.stretch else []
 
@@ -149,23 +163,23 @@ class Packer:
         return self.pack(True) if self.held else []
 
     def pack(self, last: bool) -> list[tuple]:
-        ids = np.concatenate([d[2] for d in self.docs])
         doc_ends = np.cumsum([len(d[2]) for d in self.docs])
-        cost = np.full(len(ids) + 1, np.inf)
-        cost[1:][self.ends[ids]] = SENTENCE_CUT
+        total = int(doc_ends[-1])
+        cost = np.full(total + 1, np.inf)
+        cost[np.concatenate([d[4] + end - len(d[2]) for d, end in zip(self.docs, doc_ends, strict=True)])] = SENTENCE_CUT
         cost[doc_ends] = 0.0
         cheap = np.flatnonzero(np.isfinite(cost))
-        cuts = choose_cuts(len(ids), cheap, cost[cheap], last, self.size)
+        cuts = choose_cuts(total, cheap, cost[cheap], last, self.size)
         out, d, doc_start = [], 0, 0
         begin = 0
         for end in cuts:
             at = begin
             while at < end:
-                doc_id, before, own, total = self.docs[d]
+                doc_id, before, own, whole, _ = self.docs[d]
                 stop = min(end, doc_start + len(own))
                 piece = own[at - doc_start : stop - doc_start]
-                crc = zlib.crc32(np.ascontiguousarray(piece, "<u4").tobytes())
-                out.append((doc_id, before + at - doc_start, len(piece), crc, total, self.sequence, at - begin))
+                crc = zlib.crc32(piece.tobytes())
+                out.append((doc_id, before + at - doc_start, len(piece), crc, whole, self.sequence, at - begin))
                 at = stop
                 if stop == doc_start + len(own):
                     doc_start += len(own)
@@ -174,9 +188,10 @@ class Packer:
             begin = end
         rest = self.docs[d:]
         if rest and begin > doc_start:
-            doc_id, before, own, total = rest[0]
-            rest[0] = (doc_id, before + begin - doc_start, own[begin - doc_start :], total)
-        self.docs, self.held = rest, len(ids) - begin
+            doc_id, before, own, whole, ends = rest[0]
+            gone = begin - doc_start
+            rest[0] = (doc_id, before + gone, own[gone:], whole, ends[ends > gone] - gone)
+        self.docs, self.held = rest, total - begin
         return out
 
 
@@ -184,10 +199,9 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     """The pieces of all documents: where each lies in its document and in its sequence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(SpacedEncoder, tokenizer)
-        packer = Packer(sentence_ends(encoder.tokenizer))
+        encoder = encoder_of(PieceEncoder, tokenizer)
+        packer = Packer(SentenceEnds(encoder.tokenizer))
         packer.sequence = TaskContext.get().partitionId() << 36
-        end = struct.pack("<I", end_id)
         names = [x.split()[0] for x in PIECES.split(", ")]
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -196,10 +210,9 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
             return out
 
         for batch in batches:
-            texts = batch["text"].tolist()
             rows: list[tuple] = []
-            for doc_id, null_id, text in zip(batch["doc_id"].tolist(), batch["null_id"].tolist(), texts, strict=True):
-                ids = np.frombuffer(encoder.encode(text) + end, "<u4")
+            made = encoder.encode_all(batch["text"], end_id)
+            for doc_id, null_id, ids in zip(batch["doc_id"].tolist(), batch["null_id"].tolist(), made, strict=True):
                 rows += packer.add(None if null_id else int(doc_id), ids)
                 if len(rows) > 20_000:
                     yield frame(rows)

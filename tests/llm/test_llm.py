@@ -174,15 +174,26 @@ def test_token_files(spark, odd, rows, tmp_path):
     assert token_files.read_tokens(spark, path).count() == 0
 
 
-@pytest.mark.parametrize("kind, name", [(token_files.WordEncoder, "word_bpe_49k.json"), (packing.SpacedEncoder, "byte_bpe_50k.json")])
-def test_encoders_equal_tokenizer(kind, name):
+@pytest.mark.parametrize("kind, name", [(token_files.WordEncoder, "word_bpe_49k.json"), (token_files.PieceEncoder, "byte_bpe_50k.json")])
+def test_encoders_equal_tokenizer(kind, name, monkeypatch):
     encoder = kind(public_tokenizers.path(name))
     rng = np.random.default_rng(11)
     letters = list("ab cA'sÉé.,!?\n\t 1\xa0\u0301ßµ日🙂-_()ªt\x1c\u2028")
+    letters = letters + list("ab cA'sÉé.,!? \n1ß日ごЖ한—“…。ŉǅ") * 4  # mostly such that texts are cut into pieces
     texts = ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(5000)]
     for text in ["", " ", "\n", "x\xa0y  z", "a\x1cb \nc", "it's IT'S we'LL", "don't.\n\nBut", "<|endoftext|> a", *texts]:
         want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want, repr(text)
+        assert encoder.encode(text, 7).tolist() == [*want, 7], repr(text)
+    assert sum(not token_files.UNSURE.search(t) for t in texts) > 1000
+    monkeypatch.setattr(token_files, "CHUNK", 60)  # texts together, long texts in parts, and a table that is often full
+    small = kind(public_tokenizers.path(name), 40)
+    longer = [*texts, *(" ".join(texts[i : i + 9]) for i in range(0, 900, 9)), "x" * 300, "", "it's " * 50]
+    for text, ids in zip(longer, small.encode_all(longer, 7), strict=True):
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 7], repr(text)
+    sure = [c for c in map(chr, range(0x10000)) if not token_files.UNSURE.search(c)]
+    for c in sure:
+        text = f"a{c}1 {c}{c}.{c} x"
+        assert encoder.encode(text, 7).tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 7], repr(c)
 
 
 def test_packing(spark, odd, rows):
@@ -198,20 +209,51 @@ def test_packing(spark, odd, rows):
     assert packing.pack(empty(spark), public_tokenizers.path(name)).count() == 0
 
 
-def test_cuts_are_cheapest():
+def brute_cost(total, cost, size):
+    """The least cost of a packing, over all positions, and the cost of a window and the cut behind it."""
+
+    def pay(i, j):
+        n = j - i
+        free = n & (n - 1) == 0 and (i == 0 or i in cost) and j in cost
+        return packing.START + cost.get(j, packing.BREAK) + (0 if free else size - n)
+
+    best = [0.0] + [np.inf] * total
+    for j in range(1, total + 1):
+        best[j] = min(best[i] + pay(i, j) for i in range(max(0, j - size), j))
+    return best[total], pay
+
+
+@pytest.mark.parametrize("broken, start", [(48.0, 12.0), (6.0, 1.0), (2.0, 0.5)])
+def test_cuts_are_cheapest(monkeypatch, broken, start):
+    monkeypatch.setattr(packing, "BREAK", broken)
+    monkeypatch.setattr(packing, "START", start)
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        total, size = 60, 16
-        cheap = np.unique(rng.integers(1, total, 8))
+    for n in range(200):
+        total, size = int(rng.integers(1, 150)), 16
+        cheap = np.unique(np.append(rng.integers(1, total + 1, int(rng.integers(0, 30))), total))
         costs = rng.integers(0, 2, len(cheap)).astype(float)
-        cuts = packing.choose_cuts(total, cheap, costs, True, size, 6.0)
-        cost = dict(zip(cheap.tolist(), costs.tolist()))
-        pay = lambda i, j: (0 if j == total and (j - i) & (j - i - 1) == 0 else size - (j - i)) + cost.get(j, 6.0)
-        best = [0.0] + [np.inf] * total
-        for j in range(1, total + 1):
-            best[j] = min(best[i] + pay(i, j) for i in range(max(0, j - size), j))
-        spent = sum(pay(i, j) for i, j in zip([0, *cuts], cuts))
-        assert cuts[-1] == total and all(0 < j - i <= size for i, j in zip([0, *cuts], cuts)) and spent <= best[total] + 2 * 6.0
+        cuts = packing.choose_cuts(total, cheap, costs, True, size)
+        best, pay = brute_cost(total, dict(zip(cheap.tolist(), costs.tolist())), size)
+        assert cuts[-1] == total and all(0 < j - i <= size for i, j in zip([0, *cuts], cuts))
+        assert sum(pay(i, j) for i, j in zip([0, *cuts], cuts)) == best, n
+
+
+def test_stretches_are_cheapest():
+    """Packing in stretches costs as little as packing the whole stream at once."""
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(2, 30, int(n)), 0).astype("<u4") for n in rng.integers(0, 60, 60)]
+    ends = lambda ids: 1 + np.flatnonzero(ids[:-1] == 5)
+    packer = packing.Packer(ends, 16, 200)
+    pieces = [p for i, d in enumerate(docs) for p in packer.add(i, d)] + packer.finish()
+    cost, at = {}, 0
+    for d in docs:
+        cost |= {at + int(e): packing.SENTENCE_CUT for e in ends(d)} | {at + len(d): 0.0}
+        at += len(d)
+    best, pay = brute_cost(at, cost, 16)
+    lengths = pd.DataFrame(pieces).groupby(5)[2].sum().cumsum().tolist()
+    assert lengths[-1] == at and sum(pay(i, j) for i, j in zip([0, *lengths], lengths)) == best
+    for i, start, length, crc, whole, _, _ in pieces:
+        assert crc == zlib.crc32(docs[i][start : start + length].tobytes()) and whole == len(docs[i])
 
 
 def brute_components(rows):
