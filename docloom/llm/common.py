@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -47,14 +48,49 @@ def count_chars(text: Column, chars: str) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/docloom-shared"
+    """A new path in the folder that driver and executors share, which ``spark.checkpoint.dir`` names.
+
+    Only a session whose driver does all the work itself (tests) may leave that unset; it gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/docloom-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables in the shared folder that the steps of one operator write for each other."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+        self.kept: list[DataFrame] = []
+
+    def stored(self, frame: DataFrame, name: str) -> DataFrame:
+        """The frame written to the shared folder and read from there: later steps neither repeat nor depend on its plan."""
+        path = shared_path(self.spark, name)
+        schema = frame.schema
+        frame.write.parquet(path)
+        made = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(made)] = path
+        self.kept.append(made)
+        return made
+
+    def clear(self, *needed: DataFrame) -> None:
+        """Deletes all tables but those that are still needed."""
+        stay = {id(x) for x in needed}
+        for key in [k for k in self.paths if k not in stay]:
+            delete_path(self.spark, self.paths.pop(key))
+        self.kept = [x for x in self.kept if id(x) in stay]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read from there: later stages neither repeat nor depend on its plan."""
-    path = shared_path(frame.sparkSession, name)
-    schema = frame.schema
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(schema).parquet(path)
+    """The frame written to the shared folder and read from there, for as long as that folder lasts."""
+    return Scratch(frame.sparkSession).stored(frame, name)

@@ -16,7 +16,8 @@
    The links found join the earlier ones and the components are computed again.
 
 Only counts come to the driver. Ids, links and components are written to the shared folder between the steps, from
-where a lost task reads them again; the ids of a step are broadcast when a count shows at most ``BROADCAST_IDS``.
+where a lost task reads them again, and deleted behind the last step that needs them; the ids of a step are broadcast
+when a count shows at most ``BROADCAST_IDS``.
 
 Edge cases: texts without words and null texts have an empty set and are linked with nothing, not even each other;
 texts of one to four words have one shingle; ids are expected to be unique, but where rows share one, each is classed
@@ -33,13 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored, table
+from docloom.llm.common import Scratch, table
 
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 SMALL_BUCKET = 8
 BROADCAST_IDS = 1_000_000
+SPREAD = 64  # pairs of one center in a task
 BLOCK = 8192
 SIGNATURES = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
@@ -155,9 +157,13 @@ def _among(frame: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFram
     return frame.join(ids, frame[column] == ids["id"], "left_semi")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have at least the threshold's similarity."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+def confirmed(pairs: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have at least the threshold's similarity.
+
+    salt: a column of pairs that deals the pairs of one b, which may be as many as a bucket has members, over several
+    tasks; the set of b is sent once for each of its salts that occurs.
+    """
+    ids = scratch.stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = _among(documents.select("doc_id", "text").where("doc_id is not null"), ids).mapInPandas(
         _set_rows, "doc_id long, shingles array<long>"
     )
@@ -166,26 +172,32 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(left, "a")
-        .join(right, "b")
+        .join(pairs.select("b", "salt").distinct().join(right, "b"), ["b", "salt"])
         .where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both))
         .select("a", "b")
         .distinct()
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id and component (smallest id reachable) of every id in the edges (a, b), by alternating star steps."""
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """id and component (smallest id reachable) of every id in the edges (a, b), by alternating star steps.
+
+    The minima of a step are written before they are joined to the edges, so that both sides of the join are plain
+    exchanges, of which adaptive execution splits the tasks of a root with very many edges.
+    """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first())
 
-    current = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    own = Scratch(scratch.spark)
+    current = own.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = state(current)
     while before[0]:
         both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = own.stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = own.stored(large, "large")
+        low = own.stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = (
             large.join(low, "a")
             .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -193,26 +205,32 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        current = stored(small, "edges")
+        current = own.stored(small, "edges")
+        own.clear(current)
         now = state(current)
         if now == before:
             break
         before = now
-    return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-        current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    found = scratch.stored(
+        current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
+            current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+        ),
+        "components",
     )
+    own.clear()
+    return found
 
 
-def _rest_pairs(members: DataFrame, found: DataFrame, documents: DataFrame) -> DataFrame | None:
+def _rest_pairs(members: DataFrame, found: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Pairs of different components that share a bucket and that the stars did not compare; None if there are none.
 
     members: key, id, center, size of the buckets of three or more.
     """
     own = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = stored(
+    mixed = scratch.stored(
         own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed"
     )
-    open_ = stored(own.join(mixed, "key", "left_semi").where("id <> center").select("key", "id", "size", "component"), "open")
+    open_ = scratch.stored(own.join(mixed, "key", "left_semi").where("id <> center").select("key", "id", "size", "component"), "open")
     if open_.isEmpty():
         return None
 
@@ -225,10 +243,10 @@ def _rest_pairs(members: DataFrame, found: DataFrame, documents: DataFrame) -> D
     large = open_.where(F.col("size") > SMALL_BUCKET)
     if large.isEmpty():
         return small
-    ids = stored(large.select("id").distinct(), "ids")
-    sets = stored(_among(documents.select("doc_id", "text").where("doc_id is not null"), ids).mapInPandas(_set_rows, "doc_id long, shingles array<long>"), "sets")
+    ids = scratch.stored(large.select("id").distinct(), "ids")
+    sets = scratch.stored(_among(documents.select("doc_id", "text").where("doc_id is not null"), ids).mapInPandas(_set_rows, "doc_id long, shingles array<long>"), "sets")
     shingles = sets.select(F.col("doc_id").alias("id"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    common = stored(shingles.groupBy("shingle").agg(F.count("*").alias("times")), "times")
+    common = scratch.stored(shingles.groupBy("shingle").agg(F.count("*").alias("times")), "times")
     ranked = shingles.join(common.where("times > 1"), "shingle", "left").withColumn("times", F.coalesce("times", F.lit(1)))
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     rare = (
@@ -248,13 +266,17 @@ def _rest_pairs(members: DataFrame, found: DataFrame, documents: DataFrame) -> D
     return small.union(near).distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each document."""
+def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each document.
+
+    scratch: where the tables go that the result reads, for a caller that deletes them when it has used the result.
+    """
+    scratch = scratch or Scratch(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(signatures(documents), "signatures")
+    signed = scratch.stored(signatures(documents), "signatures")
     sets = ["n_shingles", "fp1", "fp2"]
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(
+    classes = scratch.stored(
         some.groupBy(*sets).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members")).where("members > 1").drop("members"),
         "classes",
     )
@@ -262,20 +284,33 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classed = joined.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     # in the buckets a class is represented by its smallest id
     heads = joined.where("n_shingles > 0 and doc_id is not null and (class_id is null or class_id = doc_id)")
-    bands = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    centers = stored(
-        bands.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("top"), F.count("*").alias("size")).where("center <> top").drop("top"),
+    bands = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    centers = scratch.stored(
+        bands.groupBy("key")
+        .agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("top"), F.count("*").alias("size"))
+        .where("c.id <> top")
+        .select("key", F.col("c.id").alias("center"), F.col("c.n").alias("center_n"), "size"),
         "centers",
     )
-    members = stored(bands.join(centers, "key"), "members")
-    pairs = stored(members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
-    links = stored(confirmed(pairs, documents), "links")
-    found = stored(components(links), "components")
-    rest = _rest_pairs(members.where("size > 2"), found, documents)
+    members = scratch.stored(bands.join(centers, "key"), "members")
+    alike = 100 * F.least("n", "center_n") >= PERCENT * F.greatest("n", "center_n")  # sets of other sizes never are
+    copies = F.ceil(F.max("size") / SPREAD)
+    pairs = scratch.stored(
+        members.where((F.col("id") != F.col("center")) & alike)
+        .groupBy(F.col("id").alias("a"), F.col("center").alias("b"))
+        .agg(copies.alias("copies"))
+        .select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).alias("salt")),
+        "pairs",
+    )
+    links = scratch.stored(confirmed(pairs, documents, scratch), "links")
+    found = components(links, scratch)
+    rest = _rest_pairs(members.where("size > 2"), found, documents, scratch)
     if rest is not None:
-        more = stored(confirmed(stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs"), documents), "links")
+        salted = rest.join(pairs, ["a", "b"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(16)))
+        more = scratch.stored(confirmed(scratch.stored(salted, "pairs"), documents, scratch), "links")
         if not more.isEmpty():
-            found = stored(components(links.union(more)), "components")
+            found = components(links.union(more), scratch)
+    scratch.clear(signed, classes, found)
     return (
         classed.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))

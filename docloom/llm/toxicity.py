@@ -85,8 +85,17 @@ def symbol(char: str) -> int:
     return 0 if char == " " else ord(char) - 96 if "a" <= char <= "z" else 27 + ord(char) % (SYMBOLS - 27)
 
 
-def add_grams(text: str, total: np.ndarray) -> None:
-    """Adds to total the grams of the words of a lower-cased text, each word behind ORDER - 1 ends and before one."""
+def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and the sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+
+def text_grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The grams of the words of a lower-cased text, each word behind ORDER - 1 ends and before one, and their counts."""
     codes = np.frombuffer((" " * ORDER + text + " ").encode("utf-32-le", "replace"), np.uint32)
     for lo in range(ORDER, len(codes), CHUNK):
         s = _symbol_of()[codes[lo - ORDER + 1 : lo + CHUNK]].astype(np.int32)
@@ -98,22 +107,29 @@ def add_grams(text: str, total: np.ndarray) -> None:
             key += now << 6 * k
             before = now
         found, n = np.unique(key[inside], return_counts=True)
-        total[found] += n
+        yield found.astype(np.int64), n.astype(np.int64)
 
 
 def grams_of(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     """The grams of the texts in ascending order, and how often each one occurs."""
-    total = np.zeros(SYMBOLS**ORDER, np.int64)
-    held, size = [], 0
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    held: list[str] = []
+    size = 0
+
+    def count() -> None:
+        parts.extend(text_grams("\n".join(held).lower()))
+        if sum(len(x[0]) for x in parts) > 2 * len(parts[0][0]) + CHUNK:
+            parts[:] = [add_up(parts)]
+        held.clear()
+
     for text in texts:
         held.append(text)
         size += len(text)
         if size >= CHUNK:
-            add_grams("\n".join(held).lower(), total)
-            held, size = [], 0
-    add_grams("\n".join(held).lower(), total)
-    found = np.flatnonzero(total)
-    return found, total[found]
+            count()
+            size = 0
+    count()
+    return add_up(parts)
 
 
 class CharModel:
