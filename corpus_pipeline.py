@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, near_duplicates, packing, secrets, toxicity
-from docloom.llm.common import stored, table
+from docloom.llm.common import Scratch, stored, table
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 1_000_000  # of at most 16 bytes each
 
 
 def _bounded(frame: DataFrame) -> DataFrame:
@@ -26,13 +26,17 @@ def _bounded(frame: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, "_score").where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    names = docs.columns
+    scored = toxicity.with_score(docs.select(F.struct(*names).alias("row"), "text"), model)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component; of equal rows with one id, one."""
-    judged = near_duplicates.near_duplicates(docs).where("not kept and doc_id is not null")
+    scratch = Scratch(spark)
+    judged = near_duplicates.near_duplicates(docs, scratch).where("not kept and doc_id is not null")
     gone = stored(judged.select("doc_id").distinct(), "gone")
+    scratch.clear()
     kept = docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = stored(repeated, "repeated")
@@ -45,9 +49,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
     judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    bad = stored(judged.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_fp"))
-    return docs.join(_bounded(bad), same, "left_anti")
+    bad = stored(judged.select("doc_id", "fp").distinct(), "contaminated")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    same = rows["id"].eqNullSafe(bad["doc_id"]) & (rows["hash"] == bad["fp"])
+    return rows.join(_bounded(bad), same, "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data directory; each stage is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.clear(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
