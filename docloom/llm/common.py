@@ -60,6 +60,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of some MB, not of 10,000 rows: both sides hold a batch or two outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # the default; a choice of the session's own stays
+        spark.conf.set(key, str(4 << 20))
+
+
 class Scratch:
     """Tables in the shared folder that the steps of one operator write for each other."""
 

@@ -1,17 +1,19 @@
 """Benchmark decontamination against a broadcast hash set of normalised test n-grams.
 
 A text's words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Each benchmark item gives its
-windows of 13 consecutive words, or one window of all its words when it has fewer. Hash sets of the windows travel in
-the plan, so the scan of the training text is local to a row:
+windows of 13 consecutive words, or one window of all its words when it has fewer. Two hash sets of the windows go to
+all tasks, as bits in an array of longs that a scalar subquery makes, so the scan of the training text is local to a row:
 
 1. Anchors. A window of L words always holds an anchor, an aligned run of q words that starts at a multiple of
    L - q + 1. Only these are hashed and looked up; a text without a known anchor holds no window.
 2. Windows. Texts with an anchor have all their windows hashed and looked up in the set of window hashes.
-3. Verification. The windows found are compared word by word, by a join with the broadcast window table, which also
-   names the items. One aggregation by document then counts hit words and items.
+3. Verification. The windows found are compared word by word, by a join with the window table, which also names the
+   items. One aggregation by document then counts hit words and items.
 
-The benchmark is counted first. Above ``max_windows`` nothing is broadcast: every window of every text meets the
-window table in an ordinary shuffled join, followed by the same verification and aggregation.
+The sets have sixteen bits or more for each hash and at most ``MOST_BITS`` (32 MB). Beyond that they let more windows
+through to the join, which decides in any case; the plan is the same at every size. The join is Spark's choice: the
+window table is broadcast where its bytes are below ``spark.sql.autoBroadcastJoinThreshold`` or adaptive execution
+finds them so, and shuffled with the windows found, not with all windows, otherwise.
 
 Edge cases: null texts have no words, hits or items and are not contaminated; items without words match nothing;
 items without an id still mark words as hit but are not counted in n_items; two rows with the same id are judged
@@ -28,7 +30,7 @@ from docloom.llm.common import let, lower_ascii, table
 
 WINDOW = 13
 ANCHOR = 5
-MAX_WINDOWS = 100_000
+MOST_BITS = 1 << 28
 HIT_SHARE = 20  # contaminated when 20 times the hit words reach the number of words
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -67,59 +69,61 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _found(windows: list, q_of=anchor_of) -> tuple[dict[int, list[str]], dict[int, set[str]]]:
-    """By window length: the windows, and the runs of words that an aligned anchor in a text can hold."""
-    by_length: dict[int, list[str]] = {}
-    anchors: dict[int, set[str]] = {}
-    for row in windows:
-        by_length.setdefault(row["len"], []).append(row["gram"])
-        q, step = q_of(row["len"])
-        w = row["gram"].split(" ")
-        anchors.setdefault(row["len"], set()).update(" ".join(w[i : i + q]) for i in range(step))
-    return by_length, anchors
+def anchors_of(windows: DataFrame, length: int) -> DataFrame:
+    """h: the hashes of the runs of words of windows of this length that an aligned anchor in a text can hold."""
+    q, step = anchor_of(length)
+    words = windows.where(F.col("len") == length).select(F.split("gram", " ").alias("w"))
+    return words.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda i: hash_at(F.col("w"), i, q))).alias("h"))
 
 
-def _hashes(spark: SparkSession, grams: list[str], length: int) -> list[int]:
-    """The window hashes as the row expressions compute them."""
-    made = spark.createDataFrame([(g,) for g in grams], "g string").select(F.split("g", " ").alias("w"))
-    return [r[0] for r in made.select(hash_at(F.col("w"), F.lit(0), length)).distinct().collect()]
+def hash_set(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """The hashes (h, about n of them) as bits of an array of longs, by a scalar subquery, and the number of its bits."""
+    bits = min(MOST_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    spark = hashes.sparkSession
+    place = F.pmod("h", F.lit(bits))
+    words = hashes.select((place / 64).cast("long").alias("i"), (place % 64).cast("int").alias("bit")).distinct()
+    words = words.groupBy("i").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v"))
+    every = spark.range(bits // 64).join(words, F.col("id") == F.col("i"), "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
+    rows = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("bits"))
+    return rows.scalar(), bits
 
 
-def _member(value: Column, hashes: list[int]) -> Column:
-    return value.isin(hashes)
+def in_set(value: Column, words: Column, bits: int) -> Column:
+    place = F.pmod(value, F.lit(bits))
+    return F.getbit(F.get(words, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
 
 
-def window_hits(documents: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def window_hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, fp, n_words, k, hit: one row for each window found in a document, and one with a null hit without any."""
-    spark = documents.sparkSession
     grams = item_windows(benchmark).select("gram", "len")
-    small = grams.limit(max_windows + 1).collect()
+    sets: list[Column] = []  # a subquery can't stand inside a lambda function, so each set is a column first
+    keys = {}
+
+    def column(made: tuple[Column, int]) -> tuple[Column, int]:
+        sets.append(made[0].alias(f"_set{len(sets)}"))
+        return F.col(f"_set{len(sets) - 1}"), made[1]
+
+    for n, times in sorted(map(tuple, grams.groupBy("len").count().collect())):  # at most WINDOW lengths
+        of_length = grams.where(F.col("len") == n).select(hash_at(F.split("gram", " "), F.lit(0), n).alias("h"))
+        keys[n] = (column(hash_set(anchors_of(grams, n), times * anchor_of(n)[1])), column(hash_set(of_length, times)))
     base = documents.select(
-        "doc_id", F.xxhash64("text").alias("fp"), ngram_words(lower_ascii(F.col("text"))).alias("_w")
+        "doc_id", F.xxhash64("text").alias("fp"), ngram_words(lower_ascii(F.col("text"))).alias("_w"), *sets
     )
-    if len(small) > max_windows:
-        lengths = [r["len"] for r in grams.select("len").distinct().collect()]
-        keys = {n: (None, None) for n in lengths}
-    else:
-        by_length, anchors = _found(small)
-        keys = {
-            n: (_hashes(spark, sorted(anchors[n]), anchor_of(n)[0]), _hashes(spark, by_length[n], n)) for n in by_length
-        }
 
     def near(w: Column) -> Column:
         """Whether an aligned anchor of the text is known."""
         found = F.lit(False)
         for n, (known, _) in keys.items():
             q, step = anchor_of(n)
-            if known is None:
-                return F.lit(True)
-            found = found | F.exists(starts(w, q, step), lambda i: _member(hash_at(w, i, q), known))
+            found = found | F.exists(starts(w, q, step), lambda i: in_set(hash_at(w, i, q), *known))
         return found
 
+    none = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
+
     def hits(w: Column) -> Column:
-        parts = [F.array().cast("array<struct<pos:int,len:int,gram:string>>")]
+        parts = [none]
         for n, (_, known) in keys.items():
-            at = starts(w, n) if known is None else F.filter(starts(w, n), lambda i: _member(hash_at(w, i, n), known))
+            at = F.filter(starts(w, n), lambda i: in_set(hash_at(w, i, n), *known))
             parts.append(
                 F.transform(
                     at,
@@ -130,7 +134,6 @@ def window_hits(documents: DataFrame, benchmark: DataFrame, max_windows: int = M
             )
         return F.concat(*parts)
 
-    none = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
     scanned = let(
         F.col("_w"),
         lambda w: F.struct(
@@ -155,12 +158,10 @@ def covered_words(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, add, lambda a: a["n"]).cast("long")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, fp (a hash of the text), n_words, hits, items, n_hit, contaminated: a row for each document."""
     windows = item_windows(benchmark).select("gram", "items")
-    if len(windows.select("gram").limit(max_windows + 1).collect()) <= max_windows:
-        windows = F.broadcast(windows)
-    verified = window_hits(documents, benchmark, max_windows).select("*", F.col("hit.gram").alias("gram")).join(
+    verified = window_hits(documents, benchmark).select("*", F.col("hit.gram").alias("gram")).join(
         windows, "gram", "left"
     )
     found = F.when(F.col("items").isNotNull(), F.struct("hit.pos", "hit.len"))

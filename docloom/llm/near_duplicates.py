@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, table
+from docloom.llm.common import Scratch, small_batches, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -272,6 +272,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> Dat
     scratch: where the tables go that the result reads, for a caller that deletes them when it has used the result.
     """
     scratch = scratch or Scratch(documents.sparkSession)
+    small_batches(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.stored(signatures(documents), "signatures")
     sets = ["n_shingles", "fp1", "fp2"]

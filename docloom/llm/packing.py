@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import small_batches, table
 from docloom.llm.token_files import BYTE_LETTERS, PieceEncoder, encoder_of
 
 SEQUENCE = 1024
@@ -222,6 +222,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         if rows := packer.finish():
             yield frame(rows)
 
+    small_batches(documents.sparkSession)
     return documents.select(
         F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"),
         F.col("doc_id").isNull().alias("null_id"),

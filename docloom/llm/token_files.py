@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docloom.llm.common import shared_path, table
+from docloom.llm.common import shared_path, small_batches, table
 
 MAGIC = b"DLT1"
 FOOTER = struct.Struct("<IQIBB")
@@ -325,6 +325,7 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, Iterator[np
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bits: bool = False) -> None:
     """Encodes all documents, each followed by ``end_id``, in ascending doc_id order, into the segment table at ``path``."""
     spark = documents.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

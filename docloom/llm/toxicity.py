@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import small_batches, table
 from docloom.llm.samples import labelled_texts
 
 PER_CLASS = 1500
@@ -233,6 +233,35 @@ def stretches(text: str, doubled: re.Pattern | None = None) -> list[str]:
     return found
 
 
+class Reach:
+    """Whether some way through the lattice of a stretch spells one of the stems, by one bit for each of their letters.
+
+    It overlooks costs and word beginnings, so it says yes too often but never no wrongly: what it refuses can't be
+    restored to a text with a stem and need not be decoded.
+    """
+
+    def __init__(self, stems: list[str]):
+        self.masks: dict[str, int] = defaultdict(int)
+        self.begins = self.ends = 0
+        at = 0
+        for stem in stems:
+            self.begins |= 1 << at
+            for c in stem:
+                for x in (c, *(mark for mark, letters in LOOKS_LIKE.items() if c in letters)):
+                    self.masks[x] |= 1 << at
+                at += 1
+            self.ends |= 1 << at - 1
+
+    def __call__(self, stretch: str) -> bool:
+        read = 0  # the letters that may have been read last
+        for c in stretch:
+            mask = self.masks.get(c, 0)
+            read = (read << 1 | self.begins) & mask | (read & mask if c.isalpha() else read)
+            if read & self.ends:
+                return True
+        return False
+
+
 def _trie(words: list[str], more: str = "") -> str:
     """A pattern that matches any of the words, the longest first, branching letter by letter; more: behind each letter."""
     by_first: dict[str, list[str]] = defaultdict(list)
@@ -311,6 +340,7 @@ class ToxicityModel:
         # a word that drops some of its doubled letters can begin with a stem only if both do so without any doubled letter
         single = sorted({REPEATS.sub(r"\1", s) for s in least})
         single = [s for k, s in enumerate(single) if not k or not any(s.startswith(b) for b in single[:k])]
+        self.reach = Reach(least)
         self.doubled = re.compile(rf"\b{_trie(single, '+')}{LETTER}*") if least else None
         return re.compile(rf"\b{_trie(least)}{LETTER}*") if least else None
 
@@ -335,7 +365,7 @@ class ToxicityModel:
             return out
         found = self.pattern.findall(lowered)
         for x in stretches(lowered, self.doubled):
-            if (r := self.restored(x)) != x and (hidden := self.pattern.findall(r)):
+            if self.reach(x) and (r := self.restored(x)) != x and (hidden := self.pattern.findall(r)):
                 found += (Counter(hidden) - Counter(self.pattern.findall(x))).elements()
         for s in found:
             for i in self.places(s):
@@ -388,6 +418,7 @@ def count_grams(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
+    small_batches(documents.sparkSession)
     return ToxicityModel(labelled_texts(documents, labels, "toxic", ~held_out(1, 3), PER_CLASS, MAX_BYTES), count_grams(documents))
 
 

@@ -54,11 +54,12 @@ def test_quality_rules(spark, odd, rows):
     assert {r.n_repeat_words for r in quality_rules.measure(many).collect()} == {900, 4}
 
 
-def test_decontamination(spark, odd):
+def test_decontamination(spark, odd, monkeypatch):
     items = [(1, " ".join(WORDS[20:50])), (2, "A"), (3, None), (None, " ".join(WORDS[60:75])), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (decontam.MAX_WINDOWS, 0):
-        got = decontam.decontaminate(odd, bench, limit).collect()
+    for limit in (decontam.MOST_BITS, 64):  # in the smaller sets nearly every hash seems to be known
+        monkeypatch.setattr(decontam, "MOST_BITS", limit)
+        got = decontam.decontaminate(odd, bench).collect()
         assert len(got) == odd.count()
         by = {r.doc_id: r for r in got}
         assert by[10].n_hit == 45 and sorted(by[10]["items"]) == ["1"]
@@ -109,6 +110,20 @@ def test_toxicity_devices():
         assert model.score(f"plain thing {x} of it") < 0.5, x
 
 
+def test_reach_refuses_no_restored_stem():
+    """Stretches that are not decoded hold no stem when they are."""
+    texts = [(f"plain words about thing {i} and of it", 0) for i in range(60)] + [(f"you idiot thing {i} and moron, loser or stupid trass of it", 1) for i in range(60)]
+    model = toxicity.ToxicityModel(texts)
+    rng = np.random.default_rng(2)
+    refused = 0
+    for _ in range(3000):
+        x = "".join(rng.choice(list("idotmrnlse10$*!. -035@"), rng.integers(2, 12)))
+        if not model.reach(x):
+            refused += 1
+            assert not model.pattern.findall(model.restored(x)), x
+    assert refused > 1000
+
+
 def brute_grams(texts):
     out = {}
     for t in texts:
