@@ -6,7 +6,8 @@ passes points for its length and its commas to its parent, half to the grandpare
 points are discounted by the share of its text inside links. The best container is kept, widened to the ``article`` or
 ``main`` around it, with those siblings that score well or are prose themselves.
 
-One page is handled at a time; memory is bounded by the largest page.
+One page is handled at a time; memory is bounded by the largest page. As in browsers, elements are nested at most
+``DEEPEST`` deep and deeper ones become siblings, so the time grows with the page and not with its square.
 
 Edge cases: null and empty pages give an empty text; markup without text gives an empty text; text without markup is
 one block; unclosed and stray tags are tolerated; repeated rows give repeated results; an empty table gives an empty
@@ -52,9 +53,12 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 CUT_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead ad ads advert adverts advertisement adsense sponsor"
     " sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal"
-    " overlay share sharing social related recommended recommendations comment comments disqus respond reply replies widget toolbar"
+    " overlay share sharing social related recommended recommendations comment comments disqus respond responses reply replies widget toolbar"
     " pagination pager login signin search rss skip copyright disclaimer alert paywall header topbar teaser outbrain taboola".split()
 )
+DEEPEST = 512
+#: Words of an article's own heading as well as of a page's.
+HEADING_WORDS = frozenset("header banner masthead topbar".split())
 NEVER_CUT = frozenset("html body article main".split())
 SPLIT_NAME = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 TAG_END = re.compile(r"[^\"'>]*+(?:\"[^\"]*+\"[^\"'>]*+|'[^']*+'[^\"'>]*+)*+>")
@@ -138,6 +142,8 @@ def _open(stack: list[Node], tag: str, attrs: str) -> None:
                 break
             if stack[k].tag in BLOCK:
                 break
+    if len(stack) > DEEPEST:
+        stack.pop()
     node = Node(tag, stack[-1], attrs)
     stack[-1].children.append(node)
     stack.append(node)
@@ -186,13 +192,6 @@ def _measure(order: list[Node]) -> None:
         node.linked = node.size if node.tag == "a" else sum(c.linked for c in node.children if isinstance(c, Node) and not c.cut)
 
 
-def _inside(node: Node, tags: tuple[str, ...]) -> bool:
-    while node := node.parent:
-        if node.tag in tags:
-            return True
-    return False
-
-
 def _cut(order: list[Node]) -> None:
     total = order[0].size
     holds: set[int] = set()
@@ -200,7 +199,10 @@ def _cut(order: list[Node]) -> None:
         if node.tag in ("article", "main") or id(node) in holds:
             if node.parent:
                 holds.add(id(node.parent))
+    within: set[int] = set()  # nodes inside an article or main
     for node in order:
+        if node.parent is not None and (node.parent.tag in ("article", "main") or id(node.parent) in within):
+            within.add(id(node))
         if node.tag in NEVER_CUT or node.tag == "#root":
             continue
         if node.tag in RAW:
@@ -214,9 +216,10 @@ def _cut(order: list[Node]) -> None:
             # a form may be wrapped around a whole page; menus never are prose
             node.cut = not (large and node.tag not in ("nav", "footer", "aside", "head"))
         elif node.tag == "header":
-            node.cut = not _inside(node, ("article", "main")) and not large
+            node.cut = id(node) not in within and not large
         elif words and node.tag in BLOCK | {"span", "ins"} and not CUT_WORDS.isdisjoint(words):
-            node.cut = not large and not node.tag.startswith("h")
+            own_heading = id(node) in within and CUT_WORDS.intersection(words) <= HEADING_WORDS
+            node.cut = not large and not own_heading and not node.tag.startswith("h")
 
 
 def _density(node: Node) -> float:

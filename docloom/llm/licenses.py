@@ -50,6 +50,40 @@ SENTENCES = {
     "agpl_ref": ["licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3"],
     "bsd_grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd_source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "bsd_binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
+    "bsd_endorse": [
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    ],
+    "as_is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "bsd_as_is": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "isc_grant": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "zlib_as_is": ["this software is provided as is without any express or implied warranty"],
+    "zlib_grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "boost_grant": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"
+    ],
+    "boost_ref": ["distributed under the boost software license version 1 0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "epl_ref": ["this program and the accompanying materials are made available under the terms of the eclipse public license v2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"],
+    "gpl2_redistribute": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"
+    ],
+    "lgpl_redistribute": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "lgpl21_redistribute": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"
+    ],
+    "agpl_redistribute": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ],
+    "gpl3_title": ["gnu general public license version 3 29 june 2007"],
+    "gpl3_copy": ["the gnu general public license is a free copyleft license for software and other kinds of works"],
+    "apache2_title": ["apache license version 2 0 january 2004"],
     "bsd_ref": ["licensed under the bsd license", "released under the bsd license", "licensed under the bsd 3 clause license", "licensed under the bsd 2 clause license"],
     "mpl_ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
     "ccbync_ref": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"],
@@ -58,10 +92,33 @@ SENTENCES = {
     "cc0_ref": ["licensed under cc0 1 0", "this work is dedicated to the public domain"],
 }
 
+#: SPDX identifiers that a line "SPDX-License-Identifier: ..." may name, with the licence that they stand for.
+SPDX = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0",
+    "GPL-2.0-or-later": "GPL-2.0-or-later", "LGPL-3.0-or-later": "LGPL-3.0", "LGPL-2.1-or-later": "LGPL-2.1", "AGPL-3.0-or-later": "AGPL-3.0",
+    "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD", "ISC": "ISC", "MPL-2.0": "MPL-2.0", "Zlib": "Zlib", "BSL-1.0": "BSL-1.0",
+    "Unlicense": "Unlicense", "EPL-2.0": "EPL-2.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC0-1.0": "CC0-1.0",
+}
+SENTENCES |= {f"spdx_{k}": ["spdx license identifier " + k.lower().replace("-", " ").replace(".", " ")] for k in SPDX}
+
 #: Ordered rules: a licence and the sentence identifiers that must follow one another. Fixed values.
 RULES = [
     ("MIT", ["mit_grant", "mit_notice"]),
+    ("MIT", ["mit_grant", "as_is"]),
     ("MIT", ["mit_ref"]),
+    ("ISC", ["isc_grant"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant"]),
+    ("BSL-1.0", ["boost_grant"]),
+    ("BSL-1.0", ["boost_ref"]),
+    ("Unlicense", ["unlicense"]),
+    ("EPL-2.0", ["epl_ref"]),
+    ("GPL-2.0-or-later", ["gpl2_redistribute"]),
+    ("LGPL-3.0", ["lgpl_redistribute"]),
+    ("LGPL-2.1", ["lgpl21_redistribute"]),
+    ("AGPL-3.0", ["agpl_redistribute"]),
+    ("GPL-3.0", ["gpl3_title"]),
+    ("GPL-3.0", ["gpl3_copy"]),
+    ("Apache-2.0", ["apache2_title"]),
     ("Apache-2.0", ["apache2_ref"]),
     ("Apache-2.0", ["apache2_use", "apache2_copy"]),
     ("GPL-3.0", ["gpl3_ref"]),
@@ -70,6 +127,8 @@ RULES = [
     ("LGPL-3.0", ["lgpl_ref"]),
     ("AGPL-3.0", ["agpl_ref"]),
     ("BSD", ["bsd_grant", "bsd_source"]),
+    ("BSD", ["bsd_binary", "bsd_as_is"]),
+    ("BSD", ["bsd_endorse", "bsd_as_is"]),
     ("BSD", ["bsd_ref"]),
     ("MPL-2.0", ["mpl_ref"]),
     ("CC-BY-NC-4.0", ["ccbync_ref"]),
@@ -77,10 +136,11 @@ RULES = [
     ("CC-BY-4.0", ["ccby_ref"]),
     ("CC0-1.0", ["cc0_ref"]),
     ("All-Rights-Reserved", ["arr"]),
+    *((v, [f"spdx_{k}"]) for k, v in SPDX.items()),
 ]
 
 #: Every known sentence holds one of these, in lower case and as it is written, before normalisation.
-ANCHORS = ["licens", "rights", "permi", "conditions", "warranty", "redistribut", "obtain a copy", "domain"]
+ANCHORS = ["licens", "software is provided", "rights", "permi", "conditions", "warranty", "redistribut", "obtain a copy", "domain"]
 
 #: Comment leaders that are words; the others go with the normalisation.
 LEADERS = r"\|(?:dnl|rem|c) "

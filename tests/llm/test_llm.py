@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on the awkward tables that they must stand."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -81,6 +82,14 @@ def test_html():
     assert html_text.main_text("<div id=sidebar><ul><li><a href=1>a</a></ul></div><div><p>Long, long text, with commas, here.</p></div>") == "Long, long text, with commas, here."
 
 
+def test_html_headings_and_depth():
+    page = '<body><div class="site-header"><a href=x>Home</a></div><article><div class="post-header"><h1>Title</h1></div><p>Some words, and more words, of it.</article><section id="responses"><p>no'
+    assert html_text.main_text(page) == "Title\nSome words, and more words, of it."
+    for many in ("<b>" * 30_000 + "<hr>" * 30_000, "<div class=header>" * 30_000, "<div>" * 20_000 + "<li></li>" * 20_000, "<b>" * 30_000 + "</i>" * 30_000):
+        began = time.process_time()
+        assert html_text.main_text(f"<p>Here, words.</p>{many}x") and time.process_time() - began < 30
+
+
 def test_html_query(spark):
     assert html_text.op3_html_text(spark, SF).where("n_chars > 0").count() == 50
     pages = spark.createDataFrame([(1, None, None), (2, "u", "<p>x"), (2, "u", "<p>x")], "page_id long, url string, html string")
@@ -386,12 +395,26 @@ you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
 
     http://www.apache.org/licenses/LICENSE-2.0"""
+GPL2 = GPL.replace("version 3", "version 2")
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+UNLICENSE = "This is free and unencumbered software released into the public domain."
+SPDX = "SPDX-License-Identifier: LGPL-2.1-or-later"
 REF = """This project is licensed
 under the MIT License."""
 
 
 def test_genuine_license_headers(spark):
-    headers = [(MIT, "MIT"), (GPL, "GPL-3.0"), (BSD, "BSD"), (MPL, "MPL-2.0"), (APACHE, "Apache-2.0"), (REF, "MIT")]
+    headers = [(MIT, "MIT"), (GPL, "GPL-3.0"), (BSD, "BSD"), (MPL, "MPL-2.0"), (APACHE, "Apache-2.0"), (REF, "MIT"), (GPL2, "GPL-2.0-or-later"), (AGPL, "AGPL-3.0"), (ISC, "ISC"), (ZLIB, "Zlib"), (UNLICENSE, "Unlicense"), (SPDX, "LGPL-2.1")]
     texts = []
     for t, name in headers:
         texts += [(t, name), (" ".join(t.split()), name), (t.replace("\n", "\r\n"), name)]
