@@ -2,39 +2,87 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that are page furniture: page numbers, rights notices, bare links, contents with dot leaders. Fixed values.
+#: Trimmed lines that are page furniture: page numbers, rights and risk notices, bare addresses, contents with dot leaders.
+#: Fixed values.
 NOISE_LINES = [
-    r"^\s*[-—]?\s*[0-9]{1,4}\s*[-—]?\s*$",
-    r"^\s*第\s*[0-9]+\s*页.*$",
-    r"^\s*(版权所有|免责声明|All rights reserved).*$",
-    r"^\s*https?://[^ ]+\s*$",
-    r"^.*\.{6,}\s*[0-9]+\s*$",
+    r"^[-—–\s]*\d{1,4}[-—–\s]*$",
+    r"^第\s*[0-9一二三四五六七八九十百千]+\s*页(\s*[/，,共].*)?$",
+    r"^[-—–\s]*\d{1,4}\s*/\s*\d{1,4}[-—–\s]*$",
+    r"^(版权所有|未经[^。\n]*许可|免责声明\s*[:：]?|风险提示\s*[:：]?|风险揭示\s*[:：]?).*$",
+    r"^本(报告|文|材料|文件)(版权|[^。\n]*仅供参考).*$",
+    r"^市场有风险[，,]\s*投资需谨慎.*$",
+    r"^([hH][tT][tT][pP][sS]?://|[wW][wW][wW]\.)\S+$",
+    r"^.{4,}?([.·…]\s*){3,}\s*\d{0,4}\s*$",
 ]
+LINK = r"\[([^\]]*)\]\((https?://|www\.)[^)]*\)"
+OCR_GARBAGE = "[\ufffd\uf0b7\uf0d8]+"
+#: A chunk that describes a picture, and a line that is a numbered entry. Fixed values.
+PICTURE_WORDS = "一幅|画面|描绘|图中所示|插图显示"
+NUMBERED_LINE = r"^[\(（]?[一二三四五六七八九十\d]+[\)）]?[、\.．\s]"
+#: Words of notices, ratings and contact blocks. Fixed values.
+BOILERPLATE_WORDS = (
+    "免责声明 特别声明 重要声明 分析师声明 分析师承诺 证券分析师承诺 投资评级说明 评级说明 评级体系 投资评级标准 行业投资评级 资料来源 数据来源 地址："
+    " 邮编： 公司网址 联系电话 法律声明 版权声明 联系我们 风险提示 免责条款 适当性管理办法 分析师： 执业证书 登记编号 SAC 证书编号 演示完毕 谢谢观看 图表目录 目录"
+).split() + ["THANK YOU"]
+IMAGE_START = r"^!\[\]\(images/|^\[图片\]"
+#: Words of a question that asks for more than one thing. Fixed values.
+COMPLEX_HINTS = "对比 区别 差异 比较 以及 分别 步骤 流程 影响 原因 为什么 如何 有哪些 关系 优缺点".split()
+UNICODE = "(?U)"  # white space and digits of every script
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, UNICODE + r"^\s+|\s+$", "")
 
 
 def clean_lines(text: Column) -> Column:
-    """The text without its noise lines."""
+    """The text without its noise lines; links in the others become their text, and blank lines lose their white space."""
 
-    def keep(x: Column) -> Column:
-        out = F.lit(True)
+    def noise(line: Column) -> Column:
+        out = F.lit(False)
         for p in NOISE_LINES:
-            out = out & ~x.rlike(p)
+            out = out | line.rlike(UNICODE + p)
         return out
 
-    return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
+    lines = F.transform(F.split(text, "\n"), lambda x: let(stripped(x), lambda s: F.struct(s.alias("s"), x.alias("x"))))
+    kept = F.filter(lines, lambda x: ~noise(x["s"]))
+    return F.array_join(F.transform(kept, lambda x: F.when(x["s"] == "", "").otherwise(strip_links(x["x"]))), "\n")
 
 
 def strip_links(text: Column) -> Column:
-    """Markdown links become their text."""
-    return F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    """Markdown links to the web become their text."""
+    return F.regexp_replace(text, LINK, "$1")
+
+
+def margin_lines(text: Column) -> Column:
+    """The short lines without a sentence mark that a text repeats, as the headers and footers of its pages do, trimmed."""
+    lines = F.transform(F.split(text, "\n"), stripped)
+    short = F.filter(lines, lambda x: F.length(x).between(1, 80) & ~x.rlike("^[#|]") & ~x.rlike("[。！？；]"))
+    return let(F.array_sort(short), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
+
+
+def drop_margin_lines(text: Column) -> Column:
+    kept = lambda known: F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(known, stripped(x)))
+    return let(margin_lines(text), lambda known: F.when(F.size(known) == 0, text).otherwise(F.array_join(kept(known), "\n")))
 
 
 def squeeze(text: Column) -> Column:
-    """Three or more line feeds become two, and white space of any kind at both ends goes."""
-    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    """Characters of broken recognition become a space, three or more line feeds two; white space at both ends goes."""
+    return stripped(F.regexp_replace(F.regexp_replace(text, OCR_GARBAGE, " "), r"\n{3,}", "\n\n"))
+
+
+def clean_text(text: Column) -> Column:
+    """Noise lines, then repeated margin lines, then white space."""
+    return squeeze(let(clean_lines(text), drop_margin_lines))
 
 
 def strip_tags(html: Column) -> Column:
@@ -42,34 +90,46 @@ def strip_tags(html: Column) -> Column:
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line, times: short lines that a document repeats, as headers and footers of its pages do."""
-    lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    """doc_id, line, times: the margin lines of each document, trimmed."""
+    lines = documents.select("doc_id", F.explode(F.transform(F.split("text", "\n"), stripped)).alias("line"))
     short = F.length("line").between(1, 80) & ~F.col("line").rlike("^[#|]") & ~F.col("line").rlike("[。！？；]")
     return lines.where(short).groupBy("doc_id", "line").agg(F.count("*").alias("times")).where("times >= 2")
 
 
 def is_low_quality(text: Column) -> Column:
-    """Short texts, and lists of at least four lines that are mostly numbered and mostly short."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    n = F.size(lines)
-    numbered = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[0-9]+")))
-    short = F.size(F.filter(lines, lambda x: F.length(x) < 60))
-    return (F.length(text) < 150) | ((n >= 4) & (numbered >= 0.6 * n) & (short >= 0.8 * n))
+    """Short texts, descriptions of pictures, and lists of at least four lines that are mostly numbered and mostly short."""
+
+    def listed(lines: Column) -> Column:
+        n = F.size(lines)
+        numbered = F.size(F.filter(lines, lambda x: x.rlike(UNICODE + NUMBERED_LINE)))
+        short = F.size(F.filter(lines, lambda x: F.length(x) < 60))
+        return (n >= 4) & (numbered / n >= 0.6) & (short / n >= 0.8)
 
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), stripped), lambda x: x != "")
+    return (F.length(stripped(text)) < 150) | text.rlike(PICTURE_WORDS) | let(lines, listed)
 
-def is_boilerplate(text: Column) -> Column:
-    head = F.lower(F.substring(text, 1, 120)).rlike("all rights reserved|licen[sc]ed under|released under")
-    return head | ((F.length(text) < 40) & F.lower(text).rlike("rights|licen"))
+
+def is_boilerplate(text: Column, block_type: Column | None = None) -> Column:
+    """Images, chunks that begin with a notice's words, and very short ones that hold any."""
+    words = "|".join(BOILERPLATE_WORDS)
+    image = stripped(text).rlike(IMAGE_START)
+    if block_type is not None:
+        image = image | F.coalesce(block_type == "image", F.lit(False))
+    return image | F.substring(text, 1, 120).rlike(words) | ((F.length(stripped(text)) < 40) & text.rlike(words))
 
 
 def complexity(question: Column) -> Column:
-    """simple, medium or complex, by length, question marks and hint words."""
-    hints = F.lit(0)
-    for w in ("compare", "difference", "why", "trend", "summary", "比较", "对比", "原因", "趋势", "分析"):
-        hints = hints + F.contains(F.lower(question), F.lit(w)).cast("int")
-    marks = F.length(question) - F.length(F.translate(question, "?？", ""))
-    complex_ = (F.length(question) > 40) | (hints >= 2) | (marks >= 2)
-    return F.when((F.length(question) <= 15) & (hints == 0) & (marks <= 1), "simple").when(complex_, "complex").otherwise("medium")
+    """simple, normal or complex, by length, question marks and hint words of the trimmed question."""
+
+    def graded(q: Column) -> Column:
+        hints = F.lit(0)
+        for w in COMPLEX_HINTS:
+            hints = hints + F.contains(q, F.lit(w)).cast("int")
+        marks = F.length(q) - F.length(F.translate(q, "?？", ""))
+        simple = (F.length(q) <= 15) & (hints == 0) & (marks <= 1)
+        return F.when(simple, "simple").when((F.length(q) > 40) | (hints >= 2) | (marks >= 2), "complex").otherwise("normal")
+
+    return let(stripped(F.coalesce(question, F.lit(""))), graded)
 
 
 def date_of(text: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import complexity
+from docloom.functions.text import COMPLEX_HINTS, complexity
 from docloom.operators.retrieval import _bm25_sql, _dense_sql, bm25, dense, query_vectors, tokens, vectors
 from docloom.plans.registry import query
 from docloom.session import table
@@ -223,13 +223,15 @@ def q_diagnostics(spark, sf_dir):
 
 @query(
     "query_complexity",
-    """SELECT item_id, CASE WHEN length(text) <= 15 AND h = 0 AND m <= 1 THEN 'simple' WHEN length(text) > 40 OR h >= 2 OR m >= 2 THEN 'complex' ELSE 'medium' END AS complexity
-FROM (SELECT item_id, text, length(text) - length(replace(text, '?', '')) AS m, list_sum(list_transform(['compare', 'difference', 'why', 'trend', 'summary'], lambda w: contains(lower(text), w)::INT)) AS h
-FROM (SELECT item_id, substring(text, 1, (item_id % 60)::INT) AS text FROM benchmark))""",
+    f"""SELECT item_id, CASE WHEN length(text) <= 15 AND h = 0 AND m <= 1 THEN 'simple' WHEN length(text) > 40 OR h >= 2 OR m >= 2 THEN 'complex' ELSE 'normal' END AS complexity
+FROM (SELECT item_id, text, length(text) - length(replace(replace(text, '?', ''), '？', '')) AS m, list_sum(list_transform({COMPLEX_HINTS}, lambda w: contains(text, w)::INT)) AS h
+FROM (SELECT item_id, trim(left(text, (item_id % 60)::INT) || CASE item_id % 5 WHEN 0 THEN '如何' WHEN 1 THEN '对比？？' WHEN 2 THEN '原因和影响' ELSE '' END) AS text FROM benchmark))""",
 )
 def q_complexity(spark, sf_dir):
     cut = F.substring(F.col("text"), F.lit(1), (F.col("item_id") % 60).cast("int"))
-    return table(spark, sf_dir, "benchmark").select("item_id", complexity(cut).alias("complexity"))
+    k = F.col("item_id") % 5
+    asked = F.concat(cut, F.when(k == 0, "如何").when(k == 1, "对比？？").when(k == 2, "原因和影响").otherwise(""))
+    return table(spark, sf_dir, "benchmark").select("item_id", complexity(asked).alias("complexity"))
 
 
 @query(
