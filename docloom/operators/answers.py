@@ -103,14 +103,14 @@ def q_refusals(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k, rejected.alias("rejected"), low.alias("low_confidence"))
 
 
-_SAID = "concat(substring(text, 1, 40), CASE WHEN turn % 3 = 1 THEN '，检索到的内容未提供相关数据' ELSE '' END)"
+_SAID = "concat(coalesce(text, ''), CASE WHEN turn % 3 = 1 THEN '，检索到的内容未提供相关数据' ELSE '' END)"
 _FOUND = " OR ".join(f"contains(a, '{w}')" for w in REFUSALS)
 
 
-@query("negative_rejection", f"SELECT conv_id, avg(CASE WHEN trim(a) = '' OR {_FOUND} THEN 1 ELSE 0 END) AS rate FROM (SELECT conv_id, coalesce(substring(text, 1, 40), '') || CASE WHEN turn % 3 = 1 THEN '，检索到的内容未提供相关数据' ELSE '' END AS a FROM conversations) GROUP BY conv_id")
+@query("negative_rejection", f"SELECT conv_id, avg(CASE WHEN trim(a) = '' OR {_FOUND} THEN 1 ELSE 0 END) AS rate FROM (SELECT conv_id, coalesce(text, '') || CASE WHEN turn % 3 = 1 THEN '，检索到的内容未提供相关数据' ELSE '' END AS a FROM conversations) GROUP BY conv_id")
 def q_rejections(spark, sf_dir):
     """Share of refusing turns by conversation."""
-    said = table(spark, sf_dir, "conversations").select("conv_id", F.expr(_SAID.replace("substring(text, 1, 40)", "coalesce(substring(text, 1, 40), '')")).alias("a"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", F.expr(_SAID).alias("a"))
     return said.groupBy("conv_id").agg(F.avg(is_refusal(F.col("a"))).alias("rate"))
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import COMPLEX_HINTS, complexity
-from docloom.operators.retrieval import _bm25_sql, _dense_sql, bm25, dense, query_vectors, tokens, vectors
+from docloom.operators.answers import _units_sql, text_units, unit_f1
+from docloom.operators.ingest import TABLE_LIMIT, TABLE_NOTE
+from docloom.operators.retrieval import _bm25_sql, _dense_sql, bm25, dense, query_vectors, vectors
+from docloom.operators.tables import page_label
 from docloom.plans.registry import query
 from docloom.session import table
 
@@ -139,55 +142,162 @@ def q_paired(spark, sf_dir):
     return compare_runs(*_runs(spark, sf_dir))
 
 
-def verdict(delta: Column, wins: Column, losses: Column) -> Column:
-    return F.when((delta > 0) & (wins > losses), "improved").when((delta < 0) & (losses > wins), "regressed").otherwise("inconclusive")
+def bootstrap_interval(differences: np.ndarray, seed: str, resamples: int = 10_000) -> tuple[float, float]:
+    """The 95 % percentile interval of the mean of resampled differences, which stand in the order of their cases.
 
-
-@query("verdicts", _PAIR_SQL + "SELECT tier, CASE WHEN delta > 0 AND wins > losses THEN 'improved' WHEN delta < 0 AND losses > wins THEN 'regressed' ELSE 'inconclusive' END AS verdict FROM p")
-def q_verdicts(spark, sf_dir):
-    return compare_runs(*_runs(spark, sf_dir)).select("tier", verdict(F.col("delta"), F.col("wins"), F.col("losses")).alias("verdict"))
+    The draws are those of the standard library's generator with this seed: its raw numbers are made in blocks, of each
+    the upper bits count, and numbers beyond the last case are drawn again.
+    """
+    n = len(differences)
+    state = random.Random(seed).getstate()[1]
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    means, left, per = [], np.empty(0, np.int64), max(1, (1 << 20) // n)
+    while len(means) < resamples:
+        wanted = n * min(per, resamples - len(means))
+        while len(left) < wanted:
+            raw = (source.random_raw(wanted) >> np.uint64(32 - n.bit_length())).astype(np.int64)
+            left = np.append(left, raw[raw < n])
+        means.extend(differences[left[:wanted]].reshape(-1, n).mean(axis=1).tolist())
+        left = left[wanted:]
+    low, high = np.percentile(means, [2.5, 97.5])
+    return float(low), float(high)
+
+
+def verdict(n: Column, low: Column, high: Column) -> Column:
+    """By the interval of the mean difference: wholly above zero, wholly below, or neither."""
+    return F.when(n == 0, "no_data").when(low > 0, "improvement").when(high < 0, "regression").otherwise("inconclusive")
 
 
 def bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 7) -> DataFrame:
-    """Mean difference and its 95 % percentile interval by (tier, metric) of pairs (tier, metric, delta).
+    """Mean difference and its interval by (tier, metric) of pairs (tier, metric, case_id, delta).
 
-    One group is one evaluation run's cases for one metric, which is small; resampling follows the seeded generator of
-    the standard library, so intervals are reproducible.
+    One group is one evaluation run's cases for one metric, which is small; the seed is that of the tier and the metric.
     """
 
     def interval(batch: pd.DataFrame) -> pd.DataFrame:
         tier, metric = batch["tier"].iloc[0], batch["metric"].iloc[0]
-        d = np.sort(batch["delta"].to_numpy())
-        rng = random.Random(f"{seed}:{tier}:{metric}")
-        n = len(d)
-        means = [d[[rng.randrange(n) for _ in range(n)]].mean() for _ in range(resamples)]
-        lo, hi = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([(tier, metric, n, d.mean(), lo, hi)], columns=["tier", "metric", "n", "delta", "lo", "hi"])
+        d = batch.sort_values("case_id")["delta"].to_numpy()
+        low, high = bootstrap_interval(d, f"{seed}:{tier}:{metric}", resamples)
+        return pd.DataFrame([(tier, metric, len(d), d.mean(), low, high)], columns=["tier", "metric", "n", "delta", "lo", "hi"])
 
     return pairs.groupBy("tier", "metric").applyInPandas(interval, "tier string, metric string, n long, delta double, lo double, hi double")
 
 
+def paired_cases(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases by tier, and the pairs (tier, metric, case_id, before, after) of two runs (case_id, tier, metrics: a map).
+
+    A case of two different tiers belongs to none; of a metric that only one run has finite, the pair has a null. Two
+    records of one case are an error.
+    """
+    for run in (a, b):
+        if not run.groupBy("case_id").count().where("count > 1 or case_id is null").isEmpty():
+            raise ValueError("a run has two records of one case, or one without an id")
+    x = a.select("case_id", F.col("tier").alias("ta"), F.col("metrics").alias("ma"))
+    y = b.select("case_id", F.col("tier").alias("tb"), F.col("metrics").alias("mb"))
+    cases = x.join(y, "case_id", "full_outer").withColumn("tier", F.coalesce("ta", "tb"))
+    cases = cases.where(F.coalesce(F.col("ta") == F.col("tb"), F.lit(True)))
+    none = F.create_map().cast("map<string,double>")
+    keys = F.array_union(F.map_keys(F.coalesce("ma", none)), F.map_keys(F.coalesce("mb", none)))
+    pairs = cases.select("tier", "case_id", "ma", "mb", F.explode(keys).alias("metric"))
+
+    def of(m: str) -> Column:
+        v = F.try_element_at(F.col(m), F.col("metric"))
+        return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+    return cases.select("case_id", "tier"), pairs.select("tier", "metric", "case_id", of("ma").alias("before"), of("mb").alias("after"))
+
+
+def compare_metrics(a: DataFrame, b: DataFrame, resamples: int = 10_000, seed: int = 7) -> DataFrame:
+    """tier, metric, n, coverage, baseline, candidate, delta, wins, losses, ties, lo, hi, verdict of two runs."""
+    cases, pairs = paired_cases(a, b)
+    both = F.col("before").isNotNull() & F.col("after").isNotNull()
+    diff = F.when(both, F.col("after") - F.col("before"))
+
+    def n(c: Column) -> Column:
+        return F.count(F.when(c, 1))
+
+    summed = pairs.groupBy("tier", "metric").agg(
+        n(both).alias("n"),
+        F.round(F.avg(F.when(both, F.col("before"))), 4).alias("baseline"),
+        F.round(F.avg(F.when(both, F.col("after"))), 4).alias("candidate"),
+        F.round(F.avg(diff), 4).alias("delta"),
+        n(diff > 0).alias("wins"),
+        n(diff < 0).alias("losses"),
+        n(diff == 0).alias("ties"),
+    )
+    sizes = cases.groupBy("tier").agg(F.count("*").alias("cases"))
+    drawn = bootstrap(pairs.where(both).select("tier", "metric", "case_id", diff.alias("delta")), resamples, seed)
+    drawn = drawn.select("tier", "metric", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    joined = summed.join(sizes, "tier").join(drawn, ["tier", "metric"], "left").withColumn("coverage", F.round(F.col("n") / F.col("cases"), 4))
+    return joined.drop("cases").withColumn("verdict", verdict(F.col("n"), F.col("lo"), F.col("hi")))
+
+
+def decide(compared: DataFrame, primary: str, guardrails: list[str], least_coverage: float = 0.95) -> DataFrame:
+    """One row with the decision on the gold tier: no_decision, fail, pass or inconclusive."""
+    needed = [primary, *guardrails]
+    gold = compared.where((F.col("tier") == "gold") & F.col("metric").isin(needed))
+    found = gold.agg(
+        F.count(F.when(F.col("coverage") >= least_coverage, 1)).alias("covered"),
+        F.max(F.when(F.col("metric") == primary, F.col("verdict"))).alias("primary"),
+        F.count(F.when(F.col("metric").isin(guardrails) & (F.col("verdict") == "regression"), 1)).alias("failed"),
+    )
+    lacking = (F.col("covered") < len(set(needed))) | F.col("primary").isNull() | (F.col("primary") == "no_data")
+    decision = F.when(lacking, "no_decision").when((F.col("primary") == "regression") | (F.col("failed") > 0), "fail")
+    return found.select(decision.when(F.col("primary") == "improvement", "pass").otherwise("inconclusive").alias("decision"))
+
+
+def _metric_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two runs over labelled documents: some cases in one run only, some of another tier in it, metrics that lack or are no number."""
+    d = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    tier = F.when(F.col("doc_id") % 3 == 0, "gold").otherwise("silver")
+    value = (F.col("doc_id") % 11) / 10
+    mrr = F.create_map(F.lit("mrr"), value, F.lit("recall"), F.when(F.col("doc_id") % 5 == 0, float("nan")).otherwise(value / 2))
+    other = F.create_map(F.lit("mrr"), value + (F.col("doc_id") % 4) / 10 - 0.1, F.lit("recall"), F.when(F.col("doc_id") % 7 > 0, value / 2), F.lit("late"), value)
+    case = F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("case_id")
+    moved = F.when(F.col("doc_id") % 13 == 0, "none").otherwise(tier)
+    return d.where("doc_id % 10 <> 1").select(case, tier.alias("tier"), mrr.alias("metrics")), d.where("doc_id % 10 <> 2").select(case, moved.alias("tier"), other.alias("metrics"))
+
+
+_METRIC_SQL = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'gold' ELSE 'silver' END AS tier, (doc_id % 11) / 10 AS v FROM labels),
+c AS (SELECT *, doc_id % 10 <> 1 AS a, doc_id % 10 <> 2 AS b, CASE WHEN doc_id % 10 = 1 AND doc_id % 13 = 0 THEN 'none' ELSE tier END AS t FROM d WHERE NOT (doc_id % 13 = 0 AND doc_id % 10 <> 1 AND doc_id % 10 <> 2)),
+p AS (SELECT t AS tier, 'mrr' AS metric, CASE WHEN a THEN v END AS x, CASE WHEN b THEN v + (doc_id % 4) / 10 - 0.1::DOUBLE END AS y FROM c
+ UNION ALL SELECT t, 'recall', CASE WHEN a AND doc_id % 5 <> 0 THEN v / 2 END, CASE WHEN b AND doc_id % 7 > 0 THEN v / 2 END FROM c
+ UNION ALL SELECT t, 'late', NULL, v FROM c WHERE b),
+n AS (SELECT t AS tier, count(*) AS cases FROM c GROUP BY 1),
+q AS (SELECT tier, metric, count(y - x) AS n, round(avg(CASE WHEN y IS NOT NULL THEN x END), 4) AS baseline, round(avg(CASE WHEN x IS NOT NULL THEN y END), 4) AS candidate,
+ round(avg(y - x), 4) AS delta, count(CASE WHEN y > x THEN 1 END) AS wins, count(CASE WHEN y < x THEN 1 END) AS losses, count(CASE WHEN y = x THEN 1 END) AS ties FROM p GROUP BY ALL)
+SELECT tier, metric, n, round(n / cases, 4) AS coverage, baseline, candidate, delta, wins, losses, ties FROM q JOIN n USING (tier)"""
+
+
+@query("run_comparison", _METRIC_SQL)
+def q_run_comparison(spark, sf_dir):
+    return compare_metrics(*_metric_runs(spark, sf_dir), 100).drop("lo", "hi", "verdict")
+
+
 @query("bootstrap_ci")
 def q_bootstrap(spark, sf_dir):
-    """On the rank metrics of even against odd lists: the difference of mrr and recall by query."""
+    """On the rank metrics of dense lists: the difference of mrr and recall by query, 10,000 resamples."""
     m = label_metrics(spark, sf_dir).withColumn("tier", F.when(F.col("qid") % 100 == 0, "gold").otherwise("silver"))
-    pairs = m.select("tier", F.lit("mrr_less_recall").alias("metric"), (F.col("mrr") - F.col("recall")).alias("delta"))
-    return bootstrap(pairs, 500)
+    pairs = m.select("tier", F.lit("mrr_less_recall").alias("metric"), F.col("qid").alias("case_id"), (F.col("mrr") - F.col("recall")).alias("delta"))
+    return bootstrap(pairs)
+
+
+@query("verdicts")
+def q_verdicts(spark, sf_dir):
+    return compare_metrics(*_metric_runs(spark, sf_dir)).select("tier", "metric", "n", "lo", "hi", "verdict")
 
 
-_F1 = r"""WITH t AS (SELECT b.item_id, list_filter(regexp_split_to_array(lower(b.text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS r,
- list_filter(regexp_split_to_array(lower(d.text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-s AS (SELECT item_id, len(list_intersect(list_distinct(r), list_distinct(a))) AS c, len(list_distinct(r)) AS nr, len(list_distinct(a)) AS na FROM t)"""
+_F1 = f"""WITH t AS (SELECT b.item_id, {{}} AS r, {{}} AS a FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+s AS (SELECT item_id, len(list_intersect(r, a)) AS c, len(r) AS nr, len(a) AS na FROM t)"""
 
 
-@query("token_f1", _F1 + " SELECT item_id, round(CASE WHEN c = 0 THEN 0 ELSE 2 * (c / na) * (c / nr) / ((c / na) + (c / nr)) END, 6) AS f1 FROM s")
+@query("token_f1", _F1.format(_units_sql("b.text || '[3] 风险提示'"), _units_sql("d.text || '提示函'")) + " SELECT item_id, round(CASE WHEN c = 0 THEN 0 ELSE 2 * (c / na) * (c / nr) / ((c / na) + (c / nr)) END, 6) AS f1 FROM s")
 def q_token_f1(spark, sf_dir):
-    """Overlap of the distinct tokens of an answer (a document) and of its reference (a benchmark passage)."""
-    r = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tokens(F.col("text"))).alias("r"))
-    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.array_distinct(tokens(F.col("text"))).alias("a"))
-    c = F.size(F.array_intersect("r", "a"))
-    p, q = c / F.size("a"), c / F.size("r")
-    return r.join(a, "item_id").select("item_id", F.round(F.when(c == 0, 0.0).otherwise(2 * p * q / (p + q)), 6).alias("f1"))
+    """Overlap of the distinct units of an answer (a document) and of its reference (a benchmark passage)."""
+    r = table(spark, sf_dir, "benchmark").select("item_id", text_units(F.concat("text", F.lit("[3] 风险提示"))).alias("r"))
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), text_units(F.concat("text", F.lit("提示函"))).alias("a"))
+    return r.join(a, "item_id").select("item_id", F.round(unit_f1(F.col("r"), F.col("a")), 6).alias("f1"))
 
 
 @query("quota_gate", "SELECT quality, toxic, count(*) AS n, count(*) >= 50 AS enough FROM labels GROUP BY ALL")
@@ -221,17 +331,18 @@ def q_diagnostics(spark, sf_dir):
     )
 
 
+#: Questions of all lengths, with hint words and question marks, from the names of parts.
+ASKED = "concat(CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_name ELSE concat(p_name, ' ', p_type, ' ', p_brand) END, CASE WHEN p_partkey % 4 = 0 THEN '如何' WHEN p_partkey % 4 = 1 THEN '对比？' WHEN p_partkey % 4 = 2 THEN '原因?？' ELSE ' ' END)"
+
+
 @query(
     "query_complexity",
-    f"""SELECT item_id, CASE WHEN length(text) <= 15 AND h = 0 AND m <= 1 THEN 'simple' WHEN length(text) > 40 OR h >= 2 OR m >= 2 THEN 'complex' ELSE 'normal' END AS complexity
-FROM (SELECT item_id, text, length(text) - length(replace(replace(text, '?', ''), '？', '')) AS m, list_sum(list_transform({COMPLEX_HINTS}, lambda w: contains(text, w)::INT)) AS h
-FROM (SELECT item_id, trim(left(text, (item_id % 60)::INT) || CASE item_id % 5 WHEN 0 THEN '如何' WHEN 1 THEN '对比？？' WHEN 2 THEN '原因和影响' ELSE '' END) AS text FROM benchmark))""",
+    f"""SELECT p_partkey, CASE WHEN length(q) <= 15 AND h = 0 AND m <= 1 THEN 'simple' WHEN length(q) > 40 OR h >= 2 OR m >= 2 THEN 'complex' ELSE 'normal' END AS complexity
+FROM (SELECT p_partkey, q, length(q) - length(replace(replace(q, '?', ''), '？', '')) AS m, list_sum(list_transform({COMPLEX_HINTS}, lambda w: contains(q, w)::INT)) AS h
+FROM (SELECT p_partkey, trim({ASKED}) AS q FROM part))""",
 )
 def q_complexity(spark, sf_dir):
-    cut = F.substring(F.col("text"), F.lit(1), (F.col("item_id") % 60).cast("int"))
-    k = F.col("item_id") % 5
-    asked = F.concat(cut, F.when(k == 0, "如何").when(k == 1, "对比？？").when(k == 2, "原因和影响").otherwise(""))
-    return table(spark, sf_dir, "benchmark").select("item_id", complexity(asked).alias("complexity"))
+    return table(spark, sf_dir, "part").select("p_partkey", complexity(F.expr(ASKED)).alias("complexity"))
 
 
 @query(
@@ -248,15 +359,52 @@ def q_history(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.md5(F.array_join(lines, "\n")).alias("history"), F.count("*").alias("turns"))
 
 
-@query("context_build", _bm25_sql() + """SELECT b.qid, md5(string_agg('[' || b.pos || '] ' || d.source || chr(10) || substring(d.text, 1, 2000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY b.pos)) AS context
-FROM bm25 b JOIN documents d USING (doc_id) GROUP BY b.qid""")
+TEXT_LIMIT = 2000  # characters of a part that is no table
+#: Labels of a context's parts. Fixed values.
+BLOCK_LABELS = {"table": "表格", "image": "图片"}
+NOTHING_FOUND = "（未检索到相关文档）"
+
+
+def context_part(hit: dict[str, Column]) -> Column:
+    """Header and content of one hit (pos, title, content, date, start_page, end_page, block_type, truncated)."""
+    kind = F.coalesce(hit["block_type"], F.lit("text"))
+    label = F.lit(None).cast("string")
+    for name, said in BLOCK_LABELS.items():
+        label = F.when(kind == name, f"类型：{said}").otherwise(label)
+    page = page_label(hit["start_page"], hit["end_page"])
+    labels = F.array_compact(F.array(F.when(hit["date"] != "", F.concat(F.lit("报告日期："), hit["date"])), F.when(page != "", page), label))
+    said = F.when(F.size(labels) > 0, F.concat(F.lit("（"), F.array_join(labels, "，"), F.lit("）"))).otherwise("")
+    content = F.substring(F.coalesce(hit["content"], F.lit("")), F.lit(1), F.when(kind == "table", TABLE_LIMIT).otherwise(TEXT_LIMIT))
+    note = F.when((kind == "table") & F.coalesce(hit["truncated"], F.lit(False)), TABLE_NOTE).otherwise("")
+    return F.concat(F.lit("["), hit["pos"], F.lit("] 来源："), hit["title"], said, F.lit("\n"), content, note)
+
+
+def build_context(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """qid, context: the parts of each query's hits in list order; a fixed remark where nothing was found."""
+    names = ["pos", "title", "content", "date", "start_page", "end_page", "block_type", "truncated"]
+    part = F.struct("pos", context_part({c: F.col(c) for c in names}).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["x"]), "\n\n---\n\n")
+    made = hits.groupBy("qid").agg(joined.alias("context"))
+    return queries.select("qid").join(made, "qid", "left").withColumn("context", F.coalesce("context", F.lit(NOTHING_FOUND)))
+
+
+@query("context_build", _bm25_sql() + f"""SELECT q.item_id AS qid, coalesce(md5(string_agg(CASE WHEN b.doc_id IS NOT NULL THEN '[' || b.pos || '] 来源：' || d.source
+ || CASE d.doc_id % 4 WHEN 0 THEN '（报告日期：2024-01-02，页码：3-5，类型：表格）' WHEN 1 THEN '（页码：1，类型：图片）' WHEN 2 THEN '' ELSE '（页码：3）' END
+ || chr(10) || left(d.text, CASE WHEN d.doc_id % 4 = 0 THEN {TABLE_LIMIT} ELSE 2000 END) || CASE WHEN d.doc_id % 8 = 0 THEN '{TABLE_NOTE}' ELSE '' END END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY b.pos)), md5('{NOTHING_FOUND}')) AS context
+FROM (SELECT item_id FROM benchmark UNION ALL SELECT -1) q LEFT JOIN bm25 b ON b.qid = q.item_id LEFT JOIN documents d USING (doc_id) GROUP BY q.item_id""")
 def q_context(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    """Documents as hits of all kinds; one query without any."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    rows = bm25(docs, q, 5).select("qid", "doc_id", "pos").join(docs.select("doc_id", "source", F.substring("text", 1, 2000).alias("t")), "doc_id")
-    part = F.struct("pos", F.concat(F.lit("["), F.col("pos"), F.lit("] "), F.col("source"), F.lit("\n"), F.col("t")).alias("x"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["x"]), "\n\n---\n\n")
-    return rows.groupBy("qid").agg(F.md5(joined).alias("context"))
+    k = F.col("doc_id") % 4
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("title"), F.col("text").alias("content"),
+        F.when(k == 0, "2024-01-02").when(k == 1, "").alias("date"), F.when(k == 1, 1).when(k == 2, 0).otherwise(3).alias("start_page"),
+        F.when(k == 0, 5).when(k == 1, 0).otherwise(3).alias("end_page"), F.when(k == 0, "table").when(k == 1, "image").alias("block_type"),
+        (F.col("doc_id") % 8 <= 3).alias("truncated"),
+    )
+    hits = bm25(table(spark, sf_dir, "documents"), q, 5).select("qid", "doc_id", "pos").join(docs, "doc_id")
+    asked = q.select("qid").union(spark.createDataFrame([(-1,)], "qid long"))
+    return build_context(asked, hits).select("qid", F.md5("context").alias("context"))
 
 
 def rows_by_query(hits: DataFrame) -> Iterator:

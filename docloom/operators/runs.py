@@ -123,12 +123,12 @@ _W = WEIGHTS["L2"]
 
 @query(
     "composite_score",
-    f"""SELECT o_orderkey, round(({" + ".join(f"coalesce(m{i} * {_W[m]}::DOUBLE, 0)" for i, m in enumerate(_METRICS))}) / ({" + ".join(f"CASE WHEN m{i} IS NULL THEN 0 ELSE {_W[m]}::DOUBLE END" for i, m in enumerate(_METRICS))}), 4) AS composite
-FROM (SELECT o_orderkey, {", ".join(f"{v} AS m{i}" for i, v in enumerate(_VALUES))} FROM orders WHERE o_orderkey % 420 > 0)""",
+    f"""SELECT o_orderkey, coalesce(round(({" + ".join(f"coalesce(m{i} * {_W[m]}::DOUBLE, 0)" for i, m in enumerate(_METRICS))}) / nullif({" + ".join(f"CASE WHEN m{i} IS NULL THEN 0 ELSE {_W[m]}::DOUBLE END" for i, m in enumerate(_METRICS))}, 0), 4), 0) AS composite
+FROM (SELECT o_orderkey, {", ".join(f"{v} AS m{i}" for i, v in enumerate(_VALUES))} FROM orders)""",
 )
 def q_composite(spark, sf_dir):
     metrics = F.create_map(*[x for m, v in zip(_METRICS, _VALUES, strict=True) for x in (F.lit(m), F.expr(v))])
-    return table(spark, sf_dir, "orders").where("o_orderkey % 420 > 0").select("o_orderkey", composite_score(metrics, "L2").alias("composite"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", composite_score(metrics, "L2").alias("composite"))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import os
 import re
 
 from pyspark.sql import Column
@@ -61,25 +62,41 @@ def table_units(text: str) -> list[tuple[int, int, str]]:
 
 
 def table_summary(rows: list[list[str]]) -> str:
-    """The header and the first row of data; title rows of one cell are passed over."""
-    body = [r for r in rows if len(r) > 1] or rows
-    return "\n".join(" | ".join(r) for r in body[:2])
+    """The header and the first row of data; leading title rows of one cell are passed over."""
+    wide = next((i for i, r in enumerate(rows) if len(r) > 1), 0)
+    return "\n".join(" | ".join(r) for r in rows[wide : wide + 2])
 
 
 def bare(text: str) -> str:
     return "".join(text.split())
 
 
-def page_of(chunk: str, blocks: list[tuple[str, int]], least: int = 8) -> tuple[int | None, int | None]:
-    """First and last page of a chunk: the pages of the blocks that it holds, or that hold it, compared without white space."""
-    own = bare(chunk)
-    pages = [p for t, p in blocks if (b := bare(t)) and (len(b) >= least and b in own or len(own) >= least and own in b)]
-    return (min(pages), max(pages)) if pages else (None, None)
+PREFIX, HELD, PROBE = 12, 5, 40  # characters that a block and a chunk share at their begin, that a held block has, that tell a page
+
+
+def match_score(chunk: str, block: str) -> int:
+    """How strongly a block without white space speaks for a chunk: it lies in it, or both begin alike; 0 if neither."""
+    if len(block) >= HELD and block in chunk:
+        return len(block)
+    shared = len(os.path.commonprefix([chunk, block]))
+    return shared if shared >= PREFIX or chunk and shared >= max(HELD, len(chunk)) else 0
+
+
+def page_of(chunk: str, blocks: list[tuple[str, int]]) -> tuple[int, int]:
+    """First and last page of a chunk: that of the block that matches best, widened by those whose begin it holds; 0, 0 if none."""
+    own, known = bare(chunk), [(bare(t), p) for t, p in blocks]
+    score, page = max(((match_score(own, b), -i) for i, (b, _) in enumerate(known)), default=(0, 0))
+    if not score:
+        return 0, 0
+    pages = [known[-page][1], *(p for b, p in known if len(b[:PROBE]) >= HELD and b[:PROBE] in own)]
+    return min(pages), max(pages)
 
 
 def page_label(first: Column, last: Column) -> Column:
-    same = last.isNull() | (first == last)
-    return F.when(first.isNull(), "").when(same, F.concat(F.lit("p. "), first)).otherwise(F.concat(F.lit("pp. "), first, F.lit("-"), last))
+    """Pages as a label; "" where the first one is missing or 0."""
+    same = (F.coalesce(last, F.lit(0)) <= 0) | (first == last)
+    label = F.when(same, F.concat(F.lit("页码："), first)).otherwise(F.concat(F.lit("页码："), first, F.lit("-"), last))
+    return F.when(F.coalesce(first, F.lit(0)) <= 0, "").otherwise(label)
 
 
 def normal_date(value: object) -> str | None:

@@ -70,7 +70,8 @@ def test_tables():
     assert tables.table_summary([["Title"], ["h", "i"], ["1", "2"], ["3", "4"]]) == "h | i\n1 | 2"
     blocks = [("the first block", 1), ("the second\nblock", 2), ("x", 9)]
     assert tables.page_of("the first block the second block", blocks) == (1, 2)
-    assert tables.page_of("second block", blocks) == (2, 2) and tables.page_of("none at all", blocks) == (None, None)
+    assert tables.page_of("# the second block", blocks) == (2, 2) and tables.page_of("none at all", blocks) == (0, 0)
+    assert tables.page_of("the second block of", [("the second block of many words", 4)]) == (4, 4) and tables.page_of("second block", blocks) == (0, 0)
 
 
 def test_filters(spark):
@@ -84,4 +85,4 @@ def test_filters(spark):
     row = spark.range(1).select(
         tables.page_label(F.lit(1), F.lit(3)), tables.page_label(F.lit(2), F.lit(None)), tables.category_name_valid(F.lit("研报_1")), tables.category_deletable(F.lit("a"), F.lit(None))
     ).first()
-    assert tuple(row) == ("pp. 1-3", "p. 2", True, True)
+    assert tuple(row) == ("页码：1-3", "页码：2", True, True)
