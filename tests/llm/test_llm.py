@@ -438,3 +438,68 @@ def test_pipeline(spark):
     assert left == sorted(left, reverse=True) and left[-1] == left[-2] and left[-1] > 100
     packed = corpus_pipeline.pack_sequences(spark, docs, SF).toPandas()
     assert packed.doc_id.nunique() == left[-1] and isinstance(packed, pd.DataFrame)
+
+
+def test_pipeline_stages_decide_as_plain_versions(spark):
+    """Near duplicates, contamination and secrets against brute force; toxicity against the operator's own scores."""
+    import corpus_pipeline
+    import duckdb
+
+    docs = table(spark, SF, "documents")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    scores = {r.doc_id: r.score for r in toxicity.op4_toxicity(spark, SF).collect()}
+    calm = corpus_pipeline.stored(corpus_pipeline.drop_toxic(spark, docs, SF), "calm")
+    left = {r.doc_id for r in calm.collect()}
+    assert left == {i for i, s in scores.items() if s < toxicity.THRESHOLD}
+    once = corpus_pipeline.stored(corpus_pipeline.drop_near_duplicates(spark, calm, SF), "once")
+    want = brute_components([(i, rows[i]) for i in left])
+    assert {r.doc_id for r in once.collect()} == {i for i, (n, c) in want.items() if c == i}
+    clean = corpus_pipeline.stored(corpus_pipeline.drop_contaminated(spark, once, SF), "clean")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    judged = dict(db.sql(f"SELECT doc_id, contaminated FROM ({decontam.OP2_SQL})").fetchall())
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in once.collect() if not judged[r.doc_id]}
+    masked = {r.doc_id: r.text for r in corpus_pipeline.mask_secrets(spark, clean, SF).collect()}
+    assert masked.keys() == {r.doc_id for r in clean.collect()}
+    for i, text in masked.items():
+        spans = brute_spans(rows[i])
+        assert spans or text == rows[i] or "[SECRET]" in text
+        assert all(rows[i][a:b] not in text for a, _, b in spans)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    for docs in (odd.withColumns({"_id": F.lit(1), "_fp": F.lit(2), "score": F.lit(3), "row": F.lit(4), "hash": F.lit(5)}), empty(spark)):
+        columns, had = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.stored(stage(spark, docs, SF), f"odd-{name}")
+            assert docs.columns == columns and docs.count() <= had
+        assert docs.where("doc_id in (1, 2, 3, 5)").count() == (4 if had else 0)
+        assert corpus_pipeline.pack_sequences(spark, docs, SF).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_empty_tables(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert toxicity.with_score(empty(spark), toxicity.ToxicityModel([])).count() == 0
+    assert quality_model.score_documents(empty(spark), quality_model.ByteNet().fit([])).count() == 0
+    assert licenses.scan_licenses(empty(spark)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit(empty(spark), labels).score("x") == 0
+
+
+def test_held_out_accuracy(spark):
+    """Through the queries, on the rows whose labels were not learned from."""
+
+    def auc(scored, label, table_dir):
+        labels = table(spark, table_dir, "labels").select("doc_id", F.col(label).alias("y"))
+        got = scored.where("held_out").join(labels.where("y is not null"), "doc_id").toPandas()
+        ranks, pos = got.score.rank(), got.y == 1
+        return (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()), (got.predicted[pos]).mean(), (got.predicted[~pos]).mean()
+
+    where = "/root/testdata/sf0.01"
+    area, recall, wrong = auc(toxicity.op4_toxicity(spark, where), "toxic", where)
+    assert area > 0.85 and recall >= 0.7 and wrong <= 0.05, (area, recall, wrong)
+    area, recall, wrong = auc(quality_model.op5_quality_model(spark, where), "quality", where)
+    assert area > 0.95, (area, recall, wrong)
