@@ -73,8 +73,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can express neither the toxicity model nor the packing. tests/llm compares the operators with plain versions; of the
-#: stages it checks columns, falling row counts and that every document is packed, not which documents they drop.
+#: SQL can express neither the toxicity model nor the packing. tests/llm compares which documents the stages drop, and what
+#: they mask, with plain versions; the packing is compared in the tests of its operator.
 ORACLE_SQL = None
 
 
