@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -138,12 +139,17 @@ def with_simhash(documents: DataFrame) -> DataFrame:
 
 
 def hamming_links(hashed: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs of different fingerprints within the distance, exact for up to three bits by four 16-bit bands.
+    """Pairs of different fingerprints within the distance, exact for up to three bits.
 
-    Equal fingerprints are joined as one, so copies don't multiply; ``ids_a`` counts the documents behind a fingerprint.
+    Of six blocks of a fingerprint three agree at least, so it stands under the bits of each three of them: twenty keys of
+    32 bits or more, few of which unlike fingerprints share. Equal fingerprints are joined as one, so copies don't
+    multiply; ``ids_a`` counts the documents behind a fingerprint.
     """
     distinct = hashed.groupBy("simhash").agg(F.min("doc_id").alias("id"), F.count("*").alias("ids"))
-    bands = F.array(*[F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("simhash", 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("k")) for b in range(4)])
+    edges = [0, 11, 22, 33, 44, 54, 64]
+    masks = [sum(1 << bit for b in blocks for bit in range(edges[b], edges[b + 1])) for blocks in combinations(range(6), 3)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    bands = F.array(*[F.struct(F.lit(i).alias("b"), F.col("simhash").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
     keyed = distinct.select("*", F.explode(bands).alias("band"))
     x = keyed.select("band", *[F.col(c).alias(f"{c}_a") for c in ("simhash", "id", "ids")])
     y = keyed.select("band", *[F.col(c).alias(f"{c}_b") for c in ("simhash", "id", "ids")])

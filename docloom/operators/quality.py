@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import (
@@ -102,6 +102,34 @@ def q_strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(strip_tags(F.col("html"))).alias("text_md5"))
 
 
+def located(quotes: DataFrame, documents: DataFrame) -> DataFrame:
+    """item_id, doc_id of the quotes (item_id, quote) that lie in documents (doc_id, text).
+
+    The words of a quote but its first and last one stand in a document as they are, so the first three of them, or the
+    first one where there are fewer, are looked up by their hash among the document's runs of words; only documents that
+    hold them are searched for the quote. Quotes of less than three words are searched for in every document.
+    """
+    words = F.split("quote", r"\s+")
+    inner = quotes.select("item_id", "quote", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))).alias("w"))
+
+    def hashed(w: Column, at: Column | int, n: int) -> Column:
+        return F.xxhash64(*[F.get(w, at + F.lit(i)) for i in range(n)])
+
+    texts = documents.select("doc_id", F.split("text", r"\s+").alias("t"))
+    pairs = None
+    for n, some in ((3, F.size("w") >= 3), (1, F.size("w").between(1, 2))):
+        anchors = inner.where(some).select("item_id", "quote", hashed(F.col("w"), F.lit(0), n).alias("h"))
+        if anchors.isEmpty():
+            continue
+        runs = F.when(F.size("t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: hashed(F.col("t"), i, n))))
+        held = texts.select("doc_id", F.explode(runs).alias("h")).join(anchors, "h").select("doc_id", "item_id", "quote")
+        pairs = held if pairs is None else pairs.union(held)
+    searched = documents.join(inner.where(F.size("w") == 0).select("item_id", "quote"), F.contains("text", "quote")).select("item_id", "doc_id")
+    if pairs is None:
+        return searched
+    return pairs.join(documents, "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id").union(searched)
+
+
 @query(
     "quote_location_unique",
     """WITH q AS (SELECT item_id, substring(text, 1, 60) AS quote FROM benchmark WHERE length(text) >= 60),
@@ -109,12 +137,10 @@ m AS (SELECT q.item_id, d.doc_id FROM q JOIN documents d ON contains(d.text, q.q
 SELECT item_id, min(doc_id) AS doc_id FROM m GROUP BY item_id HAVING count(*) = 1""",
 )
 def q_quote_location(spark, sf_dir):
-    """Quotes that lie in exactly one document. Quotes are a bounded set by nature; a count guards the broadcast."""
+    """Quotes that lie in exactly one document."""
     quotes = table(spark, sf_dir, "benchmark").where("length(text) >= 60").select("item_id", F.substring("text", 1, 60).alias("quote"))
-    quotes = F.broadcast(quotes) if quotes.count() <= 100_000 else quotes
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.join(quotes, F.contains("text", "quote")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    return found.where("n = 1").drop("n")
+    found = located(quotes, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").drop("n")
 
 
 @query(

@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from docloom.operators import answers, catalog, evaluation, headings, ingest, metadata, quality, requests, retrieval, runs  # noqa: F401  they register their queries
+from docloom.operators import answers, catalog, evaluation, headings, ingest, metadata, quality, requests, retrieval, runs, search  # noqa: F401  they register their queries
 from docloom.plans.registry import QUERIES, SQL
 from docloom.streaming import ingest as stream_ingest  # noqa: F401
 

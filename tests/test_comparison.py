@@ -88,3 +88,24 @@ def test_requests(spark):
         F.array_join(requests.distinct_in_order(F.array(F.lit(" b"), F.lit("a"), F.lit("b "), F.lit("")), 5), "|"), requests.dynamic_k(F.lit("why"), 9, 8, False),
     ).first()
     assert tuple(row) == ("r.2024", "plain", "", "b|a", (9, 8))
+
+
+def test_located_quotes(spark):
+    from docloom.operators.quality import located
+
+    docs = [(1, "one two three four five six"), (2, "zero one two three four five"), (3, "xone two yfour"), (4, None), (5, "")]
+    quotes = [(1, "e two three four fi"), (2, "one two thr"), (3, "two"), (4, "three  four five"), (5, "wo y"), (6, "none of these are there")]
+    got = located(spark.createDataFrame(quotes, "item_id int, quote string"), spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert sorted((r.item_id, r.doc_id) for r in got) == sorted((q, d) for q, a in quotes for d, t in docs if t and a in t)
+
+
+def test_hamming_links_find_all(spark):
+    from docloom.operators.ingest import hamming_links
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(1 << 63), 1 << 63, 30, dtype=np.int64).tolist()
+    made = base + [int(np.int64(np.uint64(b & (1 << 64) - 1) ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, int(k), replace=False))))) for b in base for k in rng.integers(1, 6, 4)]
+    rows = list(enumerate(dict.fromkeys(made)))
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and bin((x ^ y) & (1 << 64) - 1).count("1") <= 3}
+    got = hamming_links(spark.createDataFrame(rows, "doc_id long, simhash long")).collect()
+    assert {(r.id_a, r.id_b) for r in got} == want and len(want) > 50
