@@ -32,6 +32,8 @@ BOILERPLATE_WORDS = (
 IMAGE_START = r"^!\[\]\(images/|^\[图片\]"
 #: Words of a question that asks for more than one thing. Fixed values.
 COMPLEX_HINTS = "对比 区别 差异 比较 以及 分别 步骤 流程 影响 原因 为什么 如何 有哪些 关系 优缺点".split()
+#: White space of every script. Fixed values.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 UNICODE = "(?U)"  # white space and digits of every script
 
 
@@ -41,17 +43,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, UNICODE + r"^\s+|\s+$", "")
+    """The text without white space of any script at its ends."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def clean_lines(text: Column) -> Column:
     """The text without its noise lines; links in the others become their text, and blank lines lose their white space."""
 
+    *starts, leaders = NOISE_LINES  # lines of contents are looked for only where dots and a number end the line
+    some = UNICODE + "^(?:" + "|".join(p.removeprefix("^").removesuffix("$") for p in starts) + ")$"
+
     def noise(line: Column) -> Column:
-        out = F.lit(False)
-        for p in NOISE_LINES:
-            out = out | line.rlike(UNICODE + p)
-        return out
+        return line.rlike(some) | (line.rlike(UNICODE + r"(?:[.·…]\s*){3}\d{0,4}$") & line.rlike(UNICODE + leaders))
 
     lines = F.transform(F.split(text, "\n"), lambda x: let(stripped(x), lambda s: F.struct(s.alias("s"), x.alias("x"))))
     kept = F.filter(lines, lambda x: ~noise(x["s"]))
@@ -60,7 +63,7 @@ def clean_lines(text: Column) -> Column:
 
 def strip_links(text: Column) -> Column:
     """Markdown links to the web become their text."""
-    return F.regexp_replace(text, LINK, "$1")
+    return F.when(F.contains(text, F.lit("](")), F.regexp_replace(text, LINK, "$1")).otherwise(text)
 
 
 def margin_lines(text: Column) -> Column:

@@ -295,9 +295,10 @@ s AS (SELECT item_id, len(list_intersect(r, a)) AS c, len(r) AS nr, len(a) AS na
 @query("token_f1", _F1.format(_units_sql("b.text || '[3] 风险提示'"), _units_sql("d.text || '提示函'")) + " SELECT item_id, round(CASE WHEN c = 0 THEN 0 ELSE 2 * (c / na) * (c / nr) / ((c / na) + (c / nr)) END, 6) AS f1 FROM s")
 def q_token_f1(spark, sf_dir):
     """Overlap of the distinct units of an answer (a document) and of its reference (a benchmark passage)."""
-    r = table(spark, sf_dir, "benchmark").select("item_id", text_units(F.concat("text", F.lit("[3] 风险提示"))).alias("r"))
-    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), text_units(F.concat("text", F.lit("提示函"))).alias("a"))
-    return r.join(a, "item_id").select("item_id", F.round(unit_f1(F.col("r"), F.col("a")), 6).alias("f1"))
+    r = table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit("[3] 风险提示")).alias("r"))
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.concat("text", F.lit("提示函")).alias("a"))
+    both = r.join(a, "item_id")  # only texts that have a partner are cut into units
+    return both.select("item_id", F.round(unit_f1(text_units(F.col("r")), text_units(F.col("a"))), 6).alias("f1"))
 
 
 @query("quota_gate", "SELECT quality, toxic, count(*) AS n, count(*) >= 50 AS enough FROM labels GROUP BY ALL")
