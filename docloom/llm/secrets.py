@@ -5,18 +5,25 @@ matched strings but no positions, so the matches are enclosed in two private-use
 split at the marks, and the lengths of the pieces give the positions in code points.
 
 The method adds spans of kind ``random``: runs of 20 or more characters of ``A-Z a-z 0-9 + / _ -`` (with ``=`` at the
-end) that hold a digit and a letter and don't overlap a base span. Each one's encoding is inferred (hexadecimal, base
-32, letters and digits, base 64), and three tests are made against it:
+end), or three such pieces of 10 or more joined by points, that hold a digit and a letter, or letters only, and don't
+overlap a base span. Each one's encoding is inferred (hexadecimal, base 32, letters of one or two cases, letters and
+digits, base 64), and these tests are made against it:
 
 * chi-squared uniformity of the alphabet. Under uniform draws the statistic per character tends to (A - 1) / n; under
   prose it tends to A * sum(q^2) - 1 with letter frequencies q. z_chi is the distance from prose, in deviations.
 * runs of one character class (lower, upper, digit): prose changes class rarely, random strings at every second step;
-  separators as in paths change nothing.
+  separators as in paths change nothing. Not for letters only, where names joined by capitals change class as well.
+* runs of vowels and consonants among neighbouring letters: speech alternates, random letters are mostly consonants. Not
+  for hexadecimal runs, which have few letters.
 * serial correlation of neighbouring code points, which must be that of an unordered sequence.
 
-The first two give one p-value against "this is prose" (Stouffer), and the candidates of a text pass a weighted
-Benjamini-Hochberg step: weights grow with the length, so that short runs, on which the tests have little power, need
-stronger evidence, and the share of false discoveries among the reported ones stays below ``FDR``.
+All but the last give one p-value against "this is prose" (Stouffer); a run that fails the last gets 1. The
+false-discovery control is a weighted Benjamini-Hochberg step over the distinct candidates of all rows: weights grow with
+the length, so that short runs, on which the tests have little power, need stronger evidence, and the share of false
+discoveries among the reported ones stays below ``FDR`` as far as the tests are independent. A first pass counts the
+candidates by levels of their weighted p-value (``STEPS`` levels to a power of ten, rounded to the side of fewer
+discoveries); the level that passes is one number, a scalar subquery of the second pass. So what is reported of a row
+depends on the whole table, but not on how often a token is repeated.
 
 Edge cases: null and empty texts have no spans; texts that contain the marks themselves are scanned with these
 characters exchanged for another of their kind, so positions hold; repeated rows and ids are scanned row by row; an
@@ -26,6 +33,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +43,16 @@ from docloom.llm.common import let, table
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
-RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+RANDOM = (
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,}){2}(?![A-Za-z0-9_-])|[A-Za-z0-9+/_-]{20,}={0,2})"
+)
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ["assign", "access", "hex", "random"]
 OPEN, CLOSE, OTHER = "", "", ""
 FDR = 0.001
 SERIAL_LEAST = 1e-4
+STEPS = 20
+LONGEST = 64  # beyond this length a run weighs no more
 
 #: Relative frequencies of the letters a to z in English prose, in percent. Fixed values.
 LETTERS = [
@@ -51,6 +63,7 @@ _Q = [x / sum(LETTERS) for x in LETTERS]
 Q2 = sum(q * q for q in _Q)
 Q3 = sum(q**3 for q in _Q)
 PROSE_CHANGE = 0.1  # how often prose changes its character class from one character to the next
+PROSE_TURN = 0.62  # how often it turns from vowel to consonant or back, from one letter to the next
 
 SPAN = "struct<start:int,kind:int,end:int,match:string>"
 
@@ -104,6 +117,8 @@ def normal_tail(z: Column) -> Column:
 def _alphabet(token: Column) -> Column:
     return (
         F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16)
+        .when(token.rlike("^([a-z]+|[A-Z]+)$"), 26)
+        .when(token.rlike("^[A-Za-z]+$"), 52)
         .when(token.rlike("^[A-Z2-7]+$"), 32)
         .when(token.rlike("^[a-z0-9]+$"), 36)
         .when(token.rlike("^[A-Za-z0-9]+$"), 62)
@@ -112,11 +127,18 @@ def _alphabet(token: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<p, serial>: the p-value against prose and that of the serial correlation."""
+    """The p-value of a run against prose; 1 where its code points are serially correlated."""
+
+    def steps(values: Column, change: Callable[[Column, Column], Column]) -> Column:
+        """In how many of the steps from one value to the next the condition holds."""
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(values) - 1), F.lit(0.0), lambda s, i: s + F.when(change(values[i - 1], values[i]), 1.0).otherwise(0.0)
+        )
 
     def tests(chars: Column) -> Column:
         n = F.size(chars).cast("double")
-        a = _alphabet(F.rtrim(token, F.lit("="))).cast("double")
+        body = F.rtrim(token, F.lit("="))
+        a = _alphabet(body).cast("double")
         squares = F.aggregate(
             F.array_distinct(chars),
             F.lit(0.0),
@@ -130,19 +152,23 @@ def battery(token: Column) -> Column:
         kind = F.transform(
             chars, lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
         )
-        changes = let(
-            kind,
-            lambda k: F.aggregate(
-                F.sequence(F.lit(1), F.size(k) - 1), F.lit(0.0), lambda s, i: s + F.when((k[i] != k[i - 1]) & (k[i] < 3) & (k[i - 1] < 3), 1.0).otherwise(0.0)
-            ),
-        )
+        changes = let(kind, lambda k: steps(k, lambda x, y: (x != y) & (x < 3) & (y < 3)))
         z_runs = (changes - PROSE_CHANGE * (n - 1)) / F.sqrt(PROSE_CHANGE * (1 - PROSE_CHANGE) * (n - 1))
+        sound = F.transform(chars, lambda c: F.when(c.rlike("[AEIOUYaeiouy]"), 1).when(c.rlike("[A-Za-z]"), -1).otherwise(0))
+        turns = let(sound, lambda v: F.struct(steps(v, lambda x, y: x * y != 0).alias("all"), steps(v, lambda x, y: x * y < 0).alias("turned")))
+        z_turns = let(
+            turns,
+            lambda t: (PROSE_TURN * t["all"] - t["turned"]) / F.sqrt(F.greatest(PROSE_TURN * (1 - PROSE_TURN) * t["all"], F.lit(1.0))),
+        )
+        z = (
+            F.when(a == 16, (z_chi + z_runs) / math.sqrt(2))
+            .when(a.isin(26.0, 52.0), (z_chi + z_turns) / math.sqrt(2))
+            .otherwise((z_chi + z_runs + z_turns) / math.sqrt(3))
+        )
         codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
         correlation = let(codes, lambda v: let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n, lambda m: _correlation(v, m)))
         z_serial = F.abs(correlation) * F.sqrt(n - 1)
-        return F.struct(
-            normal_tail((z_chi + z_runs) / math.sqrt(2)).alias("p"), (2 * normal_tail(z_serial)).alias("serial")
-        )
+        return F.when(2 * normal_tail(z_serial) < SERIAL_LEAST, 1.0).otherwise(normal_tail(z))
 
     return let(F.split(token, ""), tests)
 
@@ -153,47 +179,44 @@ def _correlation(v: Column, mean: Column) -> Column:
     return let(alone, lambda d: F.when(d > 0, both / d).otherwise(F.lit(1.0)))
 
 
-def random_spans(text: Column, base: Column) -> Column:
-    """Spans whose characters the battery takes for random, under the false-discovery control of the text."""
+def candidates(text: Column, base: Column) -> Column:
+    """Spans of kind random that the battery is to test."""
 
-    def candidates(b: Column) -> Column:
-        return F.filter(
-            match_spans(text, RANDOM, 3),
-            lambda s: s["match"].rlike("[0-9]")
-            & s["match"].rlike("[A-Za-z]")
-            & ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])),
-        )
+    def fit(s: Column) -> Column:
+        m = s["match"]
+        mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]") | m.rlike("^[A-Za-z]+=*$")
+        return mixed & ~F.exists(base, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
 
-    def discovered(c: Column) -> Column:
-        mean = F.aggregate(c, F.lit(0.0), lambda s, x: s + F.least(x["end"] - x["start"], F.lit(64))) / F.size(c)
-        tested = F.transform(c, lambda s: let(battery(s["match"]), lambda t: F.struct(t["p"].alias("p"), t["serial"].alias("serial"), s.alias("span"))))
+    return F.when(text.rlike(RANDOM), F.filter(match_spans(text, RANDOM, 3), fit)).otherwise(_no_spans())
 
-        def weigh(m: Column) -> Column:
-            return F.transform(
-                tested,
-                lambda t: F.struct(
-                    (t["p"] * m / F.least(t["span"]["end"] - t["span"]["start"], F.lit(64))).alias("p"),
-                    t["serial"].alias("serial"),
-                    t["span"].alias("span"),
-                ),
-            )
 
-        def step(w: Column) -> Column:
-            s = F.array_sort(w)
-            return let(s, lambda r: let(_last_passing(r), lambda k: F.slice(r, 1, k)))
+def _weight(token: Column) -> Column:
+    return F.least(F.length(token), F.lit(LONGEST))
 
-        kept = let(let(mean, weigh), step)
-        return F.transform(F.filter(kept, lambda t: t["serial"] >= SERIAL_LEAST), lambda t: t["span"])
 
-    found = let(let(base, candidates), lambda c: F.when(F.size(c) == 0, _no_spans()).otherwise(discovered(c)))
-    return F.when(text.rlike(RANDOM), found).otherwise(_no_spans())
+def level(token: Column) -> Column:
+    """The whole level of a token: STEPS times the negative decimal logarithm of its p-value over its weight, rounded down."""
+    p = F.greatest(battery(token), F.lit(1e-300))
+    return F.floor(-F.log10(p / _weight(token)) * STEPS).cast("int")
 
 
-def _last_passing(ranked: Column) -> Column:
-    """The largest rank k with p(k) <= FDR * k / m; 0 if none."""
-    m = F.size(ranked)
-    passing = F.filter(F.sequence(F.lit(1), m), lambda k: ranked[k - 1]["p"] <= F.lit(FDR) * k / m)
-    return F.coalesce(F.array_max(passing), F.lit(0))
+def passing_level(tokens: DataFrame) -> DataFrame:
+    """One row with the least level that passes for the distinct values of the column match; null if none does.
+
+    Weights are lengths over their mean, so the k best candidates pass together where the k-th has
+    p / length <= FDR * k / (sum of all lengths). There are at most some 6,000 levels whatever the table's size.
+    """
+    tested = tokens.groupBy("match").agg(F.lit(1).alias("n")).select("n", _weight(F.col("match")).cast("long").alias("w"), level(F.col("match")).alias("level"))
+    levels = tested.groupBy("level").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    row = levels.agg(F.sum("w").alias("w"), F.sort_array(F.collect_list(F.struct("level", "n")), asc=False).alias("r"))
+    first = F.struct(F.lit(0).cast("long").alias("k"), F.lit(None).cast("int").alias("least"))
+
+    def add(a: Column, x: Column) -> Column:
+        k = a["k"] + x["n"]
+        passes = F.pow(F.lit(10.0), -x["level"] / F.lit(float(STEPS))) <= F.lit(FDR) * k / F.col("w")
+        return F.struct(k.alias("k"), F.when(passes, x["level"]).otherwise(a["least"]).alias("least"))
+
+    return row.select(F.aggregate("r", first, add, lambda a: a["least"]).alias("least"))
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -202,14 +225,19 @@ def scan(documents: DataFrame) -> DataFrame:
     marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
     plain = F.when(marked, F.translate(text, OPEN + CLOSE, OTHER * 2)).otherwise(text)
 
-    def both(t: Column) -> Column:
-        return let(
-            base_spans(t),
-            lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, random_spans(t, b))).alias("all")),
-        )
+    def parts(t: Column) -> Column:
+        return let(base_spans(t), lambda b: F.struct(b.alias("base"), candidates(t, b).alias("maybe")))
 
+    found = documents.where(text.rlike(RANDOM)).select(F.explode(let(plain, parts)["maybe"]["match"]).alias("match"))
+    least = F.coalesce(passing_level(found).scalar(), F.lit(2**31 - 1))
     names = [c for c in documents.columns if c not in ("base", "all")]
-    return documents.select(*names, let(plain, both).alias("_s")).select(*names, "_s.base", "_s.all")
+    split = documents.select(F.struct(*names).alias("row"), let(plain, parts).alias("spans"), least.alias("least"))
+
+    def both(s: Column) -> Column:
+        passed = F.filter(s["maybe"], lambda x: level(x["match"]) >= F.col("least"))
+        return F.array_sort(F.concat(s["base"], passed))
+
+    return split.select("row.*", "spans.base", both(F.col("spans")).alias("all"))
 
 
 def joined(spans: Column) -> Column:

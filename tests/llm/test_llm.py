@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on the awkward tables that they must stand."""
 
+import random
 import re
 import time
 import zlib
@@ -340,6 +341,7 @@ def test_secrets(spark, odd):
     clean = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
     assert "Zq8f" not in clean[21] and "abcdefghij" not in clean[6] and clean[22] == extra[2][1] and clean[1] is None
     assert secrets.redact(odd).columns == odd.columns and secrets.scan(empty(spark)).count() == 0
+    assert secrets.scan(odd).select("_s", "size", F.size("all")).count() == odd.count()
     docs = table(spark, SF, "documents")
     assert all([(s.start, s.kind, s.end) for s in r.base] == brute_spans(r.text) for r in secrets.scan(docs).collect())
 
@@ -353,6 +355,38 @@ def test_secrets_behind_other_characters(spark):
     assert all(run not in r.text for r in secrets.redact(frame).collect())
 
 
+def test_secrets_recall_by_encoding(spark):
+    """Planted runs of each encoding among plain names: most are found, names stay; points join the three parts of a token."""
+    upper, digits, draw = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", random.Random(3)
+    lower = upper.lower()
+    kinds = {
+        "letters and digits": (upper + lower + digits, 32, 0.98), "base 64": (upper + lower + digits + "+/", 32, 0.98), "hex": (digits + "ABCDEF", 32, 0.9),
+        "base 32": (upper + "234567", 26, 0.75), "one case": (lower, 40, 0.75), "two cases": (upper + lower, 32, 0.9), "lower and digits": (lower + digits, 32, 0.9),
+    }
+    rows = [(k, f"see {''.join(draw.choices(alphabet, k=n))} for it") for k, (alphabet, n, _) in kinds.items() for _ in range(60)]
+    names = ["getElementsByTagNameFromDocument", "Donaudampfschifffahrtsgesellschaft", "com/example/project/Main2", "aaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz"]
+    parts = ["".join(draw.choices(upper + lower + digits + "_-", k=n)) for n in (24, 40, 43)]
+    frame = spark.createDataFrame([*rows, *[("name", f"the {x} here") for x in names], ("dotted", "a " + ".".join(parts) + " b")], "kind string, text string")
+    found = {}
+    for r in secrets.scan(frame).collect():
+        found.setdefault(r.kind, []).append([s.match for s in r["all"]])
+    for k, (_, _, least) in kinds.items():
+        assert sum(map(bool, found[k])) >= least * 60, k
+    assert found["name"] == [[]] * len(names) and found["dotted"] == [[".".join(parts)]]
+
+
+def test_secrets_control_over_all_rows(spark):
+    """The weighted step over distinct candidates, against plain Python; a repeated token changes nothing."""
+    draw, alphabet = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    tokens = ["".join(draw.choices(alphabet + "aeiou" * k, k=20 + 3 * k)) for k in range(12) for _ in range(10)]
+    frame = spark.createDataFrame([(t,) for t in tokens + tokens[:50]], "text string")
+    levels = dict(frame.select("text", secrets.level(F.col("text"))).distinct().collect())
+    total = sum(min(len(t), secrets.LONGEST) for t in levels)
+    passing = [x for x in levels.values() if 10 ** (-x / secrets.STEPS) <= secrets.FDR * sum(y >= x for y in levels.values()) / total]
+    want = {t for t, x in levels.items() if passing and x >= min(passing)}
+    assert {r.text for r in secrets.scan(frame).where("size(all) > 0").collect()} == want and 0 < len(want) < len(tokens)
+
+
 def test_licenses(spark, odd):
     texts = [(1, "Foo. Released under the MIT License. All rights reserved."), (2, "MIT License"), (3, None)]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
