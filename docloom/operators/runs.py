@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ WEIGHTS = {
 }
 ENOUGH, MAX_ROUNDS = 0.3, 3
 BREAK_BELOW = 0.45
+LEAST_PASSAGE = 100
 
 
 def composite_score(metrics: Column, tier: str = "all") -> Column:
@@ -102,10 +104,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
-def breakpoints(pieces: DataFrame, group: str, order: str, embedding: str) -> DataFrame:
-    """Adds similarity to the piece before and whether a new passage begins; the first piece of a group begins none."""
+def breakpoints(pieces: DataFrame, group: str, order: str, embedding: str, length: str) -> DataFrame:
+    """Adds similarity to the piece before and whether a new passage begins: where the two are unlike and the passage so far
+    is long enough. The first piece of a group begins none.
+
+    The passage's length starts again at each break, so the pieces are passed through in order, in batches; a batch hands
+    its last group and length to the next one, and no group is held whole.
+    """
     before = F.lag(embedding).over(Window.partitionBy(group).orderBy(order))
-    return pieces.withColumn("similarity", cosine(F.col(embedding), before)).withColumn("is_break", F.coalesce(F.col("similarity") < BREAK_BELOW, F.lit(False)))
+    alike = pieces.repartition(group).withColumn("similarity", cosine(F.col(embedding), before)).sortWithinPartitions(group, order)
+    made = alike.withColumn("is_break", F.lit(False))
+
+    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, so_far = None, 0
+        for batch in batches:
+            found = []
+            for g, s, n in zip(batch[group], batch["similarity"], batch[length].fillna(0), strict=True):
+                first = last is None or not (last[0] == g or (pd.isna(last[0]) and pd.isna(g)))
+                starts = not first and s < BREAK_BELOW and so_far >= LEAST_PASSAGE
+                so_far = n if first or starts else so_far + n
+                last = (g,)
+                found.append(starts)
+            yield batch.assign(is_break=found)
+
+    return alike.mapInPandas(passages, made.schema)
 
 
 def mean_pooled(pieces: DataFrame, group: str, embedding: str) -> DataFrame:
@@ -172,10 +194,16 @@ def q_pairs(spark, sf_dir):
 
 @query(
     "semantic_breakpoints",
-    """SELECT vec_id, round(s, 5) AS similarity, coalesce(s < 0.45::DOUBLE, false) AS is_break FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (lag(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[]) AS s FROM embeddings)""",
+    """WITH RECURSIVE s AS MATERIALIZED (SELECT vec_id, label, 20 + vec_id % 60 AS n, row_number() OVER w AS place,
+ list_cosine_similarity(embedding::DOUBLE[], (lag(embedding) OVER w)::DOUBLE[]) AS s FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+f AS (SELECT vec_id, label, place, s, n AS so_far, false AS is_break FROM s WHERE place = 1
+ UNION ALL SELECT s.vec_id, s.label, s.place, s.s, CASE WHEN s.s < 0.45::DOUBLE AND f.so_far >= 100 THEN s.n ELSE f.so_far + s.n END, coalesce(s.s < 0.45::DOUBLE, false) AND f.so_far >= 100
+ FROM f JOIN s ON s.label = f.label AND s.place = f.place + 1)
+SELECT vec_id, round(s, 5) AS similarity, is_break FROM f""",
 )
 def q_breaks(spark, sf_dir):
-    found = breakpoints(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    pieces = table(spark, sf_dir, "embeddings").withColumn("n", 20 + F.col("vec_id") % 60)
+    found = breakpoints(pieces, "label", "vec_id", "embedding", "n")
     return found.select("vec_id", F.round("similarity", 5).alias("similarity"), "is_break")
 
 

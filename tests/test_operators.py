@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import ingest, retrieval
+from docloom.operators import ingest, retrieval, runs
 from docloom.streaming.ingest import stream_documents
 
 
@@ -76,3 +76,16 @@ def test_members_of_fingerprints(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = ingest.q_near_pairs(spark, str(tmp_path)).where("same").collect()
     assert {(r.id_b, r.id_a, r.ids_a) for r in got} == {(1, 1, 3), (2, 2, 1), (3, 1, 3), (4, 1, 3), (5, 5, 1)} and len(got) == 5
+
+
+def test_han_words_are_pairs(spark):
+    row = spark.range(1).select(*[retrieval.tokens(F.lit(x)).alias(str(i)) for i, x in enumerate(["A股市场 2024年", "Plain text", None, "的"])]).first()
+    assert list(row) == [["a", "股市", "市场", "2024", "年"], ["plain", "text"], [], ["的"]]
+
+
+def test_breaks_need_a_long_passage(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [("d", 1, a, 60), ("d", 2, b, 50), ("d", 3, a, 10), ("d", 4, b, 95), ("d", 5, a, 5), ("e", 1, b, 200), ("e", 2, [0.0, 0.0], 1), (None, 1, a, 1), (None, 2, b, 1)]
+    frame = spark.createDataFrame(rows, "g string, i int, v array<double>, n int")
+    got = {(r.g, r.i): r.is_break for r in runs.breakpoints(frame, "g", "i", "v", "n").collect()}
+    assert {k for k, v in got.items() if v} == {("d", 3), ("d", 5), ("e", 2)} and len(got) == len(rows)
