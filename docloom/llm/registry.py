@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, html_text, licenses, near_duplicates, packing, quality_model, quality_rules, secrets, token_files, toxicity
+from docloom.llm import (
+    alignment, decontam, html_text, licenses, near_duplicates, packing, quality_model, quality_rules, secrets, source_audit, substrings,
+    token_files, toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_packing": packing.op9_packing,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_source_audit": source_audit.op11_source_audit,
+        "op12_substring_dedup": substrings.op12_substring_dedup,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
@@ -29,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality_rules.OP1_SQL,
         "op2_decontamination": decontam.OP2_SQL,
         "op10_license_scan": licenses.OP10_SQL,
+        "op11_source_audit": source_audit.OP11_SQL,
     }
