@@ -9,7 +9,7 @@ A suffix matters only if its first WINDOW words occur in two documents, so suffi
    have equal anchors. Each task writes the anchors of a block of documents, once for each block and anchor, as compressed
    cells by hash range, and the digest of every document. Documents whose words are all the same form a class; only its
    smallest id goes on, the others are removed whole.
-2. Repeated anchors. Each hash range is one group that finds the anchors of several documents and names these documents. An
+2. Repeated anchors. Each hash range is one group that finds the anchors of several documents, by ranges of these. An
    anchor comes once from a block, so one that is everywhere costs its group a number for each block and no more.
 3. Suffixes. The documents named are read again. Suffixes whose anchor is repeated are written as leaves: hashes of their
    words 1-4, 5-8 and 9-13, which are the edge labels of the path on which they lie, and where they occur. Equal ones of a
@@ -156,9 +156,8 @@ def _scanned(buckets: int):
             h, d = h[new], d[new]
             head, end = spans(h)
             times = end - head
-            rows = []
             several = np.repeat(times > 1, times)
-            rows += _by_doc(h[several], d[several], 2)
+            rows = [(2, *[None] * 6, k, *cells, None) for k, *cells in _by_doc(h[several], d[several], buckets)]
             heads, known = h[head], (times > 1).astype(np.uint64)
             bucket = (heads * np.uint64(buckets)) >> np.uint64(48)
             for a, b in zip(*spans(bucket), strict=True):
@@ -202,15 +201,25 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in ("doc_id", "fp", "n_words", "seq1", "seq2", "bucket")})
 
 
-def _by_doc(hashes: np.ndarray, docs: np.ndarray, kind: int) -> list[tuple]:
-    """A row for each document with its hashes."""
-    order = np.lexsort((hashes, docs))
-    hashes, docs = hashes[order], docs[order]
-    return [(kind, int(docs[a]), None, None, None, None, None, None, pack_ascending(hashes[a:b]), None, None) for a, b in zip(*spans(docs), strict=True)]
+def _by_doc(hashes: np.ndarray, docs: np.ndarray, buckets: int) -> list[tuple]:
+    """Number of a range of documents, hashes, documents: a cell for each range."""
+    bucket = _mix(docs.view(np.uint64)) % np.uint64(buckets)
+    order = np.lexsort((hashes, docs, bucket))
+    hashes, docs, bucket = hashes[order], docs[order], bucket[order]
+    return [(int(bucket[a]), pack(hashes[a:b]), pack(docs[a:b])) for a, b in zip(*spans(bucket), strict=True)]
+
+
+def _named(cells: pd.DataFrame) -> pd.DataFrame:
+    """doc_id, hashes: the repeated anchors of the documents of one range, by document."""
+    h = np.concatenate([unpack(x) for x in cells["hashes"]])
+    d = np.concatenate([unpack(x).view(np.int64) for x in cells["docs"]])
+    order = np.lexsort((h, d))
+    h, d = h[order], d[order]
+    return pd.DataFrame([(int(d[a]), pack_ascending(h[a:b])) for a, b in zip(*spans(d), strict=True)], columns=["doc_id", "hashes"])
 
 
 def _repeated(cells: pd.DataFrame) -> pd.DataFrame:
-    """doc_id, hashes: the anchors of one hash range that occur in several blocks, by document."""
+    """bucket, hashes, docs: the anchors of one hash range that occur in several blocks, by ranges of documents."""
     h = np.concatenate([unpack_ascending(x) for x in cells["hashes"]])
     d = np.concatenate([unpack(x).view(np.int64) for x in cells["docs"]])
     known = np.concatenate([unpack(x) for x in cells["known"]]).astype(bool)
@@ -219,7 +228,7 @@ def _repeated(cells: pd.DataFrame) -> pd.DataFrame:
     head, end = spans(h)
     several = np.repeat(end - head, end - head) > 1
     own = several & ~known  # documents of the others are named by their blocks
-    return pd.DataFrame([(r[1], r[8]) for r in _by_doc(h[own], d[own], 2)], columns=["doc_id", "hashes"])
+    return pd.DataFrame(_by_doc(h[own], d[own], int(cells["buckets"].iloc[0])), columns=["bucket", "hashes", "docs"])
 
 
 def _leaves(buckets: int):
@@ -252,8 +261,7 @@ def _leaves(buckets: int):
             windows = words.windows()
             runs = words.runs(ANCHOR)
             at = words.anchors(runs, windows)
-            named = [np.concatenate([unpack_ascending(x) for x in cells]) for cells in batch["hashes"]]
-            named = np.concatenate([x | np.uint64(i << 48) for i, x in enumerate(named)])
+            named = np.concatenate([unpack_ascending(x) | np.uint64(i << 48) for i, x in enumerate(batch["hashes"])])
             hit = np.isin(runs[at] | words.text[at].astype(np.uint64) << np.uint64(48), named)
             w = windows[hit]
             text = words.text[w]
@@ -379,7 +387,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     small_batches(spark)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("fp"))
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(1 << 15, max(16, size // RANGE_BYTES))
+    buckets = min(1 << 15, max(64, size // RANGE_BYTES))
     source = documents.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), "text", "fp")
     made = scratch.stored(source.mapInPandas(_scanned(buckets), MADE), "anchors")
     rows = made.where("kind = 0").select("doc_id", "fp", "n_words", "seq1", "seq2", "sha")
@@ -389,9 +397,10 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")
     rows = scratch.stored(rows.join(classes, same, "left").select("doc_id", "fp", "n_words", "sha", copy), "rows")
     alive = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("copy").alias("gone")).where("not gone").select("doc_id")
-    across = made.where("kind = 1").select("bucket", "hashes", "docs", "known").groupBy("bucket").applyInPandas(_repeated, "doc_id long, hashes binary")
-    named = made.where("kind = 2").select("doc_id", "hashes").union(across)
-    named = named.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")).join(alive, "doc_id", "left_semi")
+    ranges = made.where("kind = 1").select("bucket", "hashes", "docs", "known", F.lit(buckets).alias("buckets"))
+    across = ranges.groupBy("bucket").applyInPandas(_repeated, "bucket int, hashes binary, docs binary")
+    named = made.where("kind = 2").select("bucket", "hashes", "docs").union(across)
+    named = named.groupBy("bucket").applyInPandas(_named, "doc_id long, hashes binary").join(alive, "doc_id", "left_semi")
     named = scratch.stored(named, "named")
     texts = documents.join(_bounded(named.select("doc_id")), "doc_id", "left_semi")
     cells = scratch.stored(texts.join(named, "doc_id").mapInPandas(_leaves(buckets), CELLS), "leaves")
