@@ -3,66 +3,106 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.evaluation import rank_metrics
-from docloom.operators.retrieval import _dense_sql, cut_cliff, dense, fuse, normalise, query_vectors, ranked, vectors
+from docloom.operators.retrieval import (
+    CLIFF, FLOOR, PARENT_CHARS, _bm25_sql, _tokens_sql, bm25, boost_keywords, cut_cliff, dense, expand_parents, first_of, fuse,
+    merge_lists, normalise, ranked, tokens, vectors,
+)
 from docloom.plans.registry import query
+from docloom.session import table
 
 Rerank = Callable[[DataFrame], DataFrame]
+SUPPOSED = 0.5  # weight of the scores of a search for a supposed answer
+OVERSAMPLE = 3  # candidates for each row of the pool, and rows of the pool for each one that is reranked
+NAMES = ["qid", "pos", "doc_id", "score"]
 
 
 @dataclass(frozen=True)
 class Search:
-    """k: candidates of each channel and of their fusion; top: results; the steps that are taken between."""
+    """k: results without a reranker; top: results with one; the steps that are taken between."""
 
-    k: int = 20
+    k: int = 5
     top: int = 5
     dense_only: bool = False
     rerank: bool = False
-    cliff: bool = False
+    cliff: bool = True
 
+    @property
+    def pool(self) -> int:
+        """Rows that the steps before the reranker keep."""
+        return max(self.k, OVERSAMPLE * self.top) if self.rerank else self.k
 
-#: The layers of an evaluation, each with one step more than the one before. Fixed values.
+    @property
+    def candidates(self) -> int:
+        """Rows that each channel gives and that their fusion keeps."""
+        return OVERSAMPLE * self.pool
+
+
+#: The layers of an evaluation, each with one step more than the one before; the last cuts at the cliff before it reranks.
 LAYERS = {
-    "L0": Search(dense_only=True),
-    "L1": Search(),
+    "L0": Search(k=20, dense_only=True),
+    "L1": Search(k=20),
     "L2": Search(k=5),
-    "L3": Search(rerank=True),
-    "L5": Search(rerank=True, cliff=True),
+    "L3": Search(rerank=True, cliff=False),
+    "L5": Search(rerank=True),
 }
 
 
-def search(first: DataFrame, second: DataFrame, how: Search = Search(), rerank: Rerank | None = None) -> DataFrame:
+def _renumbered(hits: DataFrame, pool: int) -> DataFrame:
+    """Positions without gaps, and no more rows of a query than the pool has."""
+    return ranked(hits.withColumnRenamed("pos", "_p"), pool, [F.asc("_p")]).drop("_p")
+
+
+def search(
+    first: DataFrame, second: DataFrame | None, how: Search = Search(), rerank: Rerank | None = None, *,
+    content: DataFrame | None = None, parents: DataFrame | None = None, keywords: DataFrame | None = None,
+) -> DataFrame:
     """qid, pos, doc_id, score from the ranked lists (qid, pos, doc_id, score) of a dense and a sparse channel.
 
-    The channels' k best are fused by reciprocal ranks and their scores normalised; a reranker gives the pool new scores;
-    the list is cut at a cliff and to its ``top`` first rows.
+    1. The channels' candidates are fused by reciprocal ranks, or the dense list stands alone.
+    2. content (doc_id, parent_id, content) is joined; of the rows of one parent the first stays, and takes the content of
+       its parent (parents: parent_id, content) where that has a suitable length. Rows beyond the pool go.
+    3. Rows that hold keywords (qid, keywords) come first.
+    4. With a reranker: the list is cut at the cliff of its scores so far, what is left gets new scores from the reranker
+       (a DataFrame of qid, doc_id and, if there is any, content to one with score), and its ``top`` best rows stay. Without:
+       the k first rows.
+    5. Scores are divided by the query's largest, whichever way they came about.
     """
     if how.rerank and rerank is None:
         raise ValueError("this search needs a reranker")
-    names = ["qid", "pos", "doc_id", "score"]
-    lists = [x.where(F.col("pos") <= how.k).select(*names) for x in ([first] if how.dense_only else [first, second])]
-    pool = lists[0] if how.dense_only else normalise(fuse(lists, how.k)).select(*names)
+    if second is None and not how.dense_only:
+        raise ValueError("a hybrid search needs two channels")
+    lists = [x.where(F.col("pos") <= how.candidates).select(*NAMES) for x in ([first] if how.dense_only else [first, second])]
+    hits = (lists[0] if how.dense_only else fuse(lists, how.candidates)).select(*NAMES)
+    if content is not None:
+        hits = hits.join(content.select("doc_id", "parent_id", "content"), "doc_id", "left")
+        hits = first_of(hits, F.col("parent_id"))
+        if parents is not None:
+            hits = expand_parents(hits, parents)
+    hits = _renumbered(hits, how.pool)
+    if keywords is not None:
+        boosted = boost_keywords(hits.join(keywords.select("qid", "keywords"), "qid", "left"), F.coalesce("keywords", F.array().cast("array<string>")))
+        hits = boosted.withColumn("pos", F.col("new_pos")).drop("new_pos", "points", "keywords")
     if how.rerank:
-        pool = ranked(rerank(pool.select("qid", "doc_id")).select("qid", "doc_id", "score"), how.k).select(*names)
-    if how.cliff:
-        pool = cut_cliff(pool)
-    return pool.where(F.col("pos") <= how.top).select(*names)
-
-
-def evaluate_layers(first: DataFrame, second: DataFrame, relevant: DataFrame, rerank: Rerank, layers: dict[str, Search] = LAYERS) -> DataFrame:
-    """layer, n, recall, precision, mrr: means over the queries of relevant (qid, doc_id), by layer."""
-    tops = {how.top for how in layers.values()}
-    if len(tops) != 1:
-        raise ValueError("layers are compared at one number of results")
-    first, second = first.persist(), second.persist()  # all layers read them
+        if how.cliff:
+            hits = cut_cliff(hits, CLIFF, FLOOR)
+        asked = hits.drop("score", "pos")
+        hits = ranked(rerank(asked).select("qid", "doc_id", "score"), how.top)
+    return normalise(hits.where(F.col("pos") <= (how.top if how.rerank else how.k))).select(*NAMES)
+
+
+def evaluate_layers(
+    first: DataFrame, second: DataFrame, relevant: DataFrame, rerank: Rerank, layers: dict[str, Search] = LAYERS, at: int = 5, **steps: DataFrame
+) -> DataFrame:
+    """layer, n, recall, precision, mrr of the ``at`` first results: means over the queries of relevant (qid, doc_id)."""
     found = None
     for name, how in layers.items():
-        rows = search(first, second, how, rerank).select(F.lit(name).alias("layer"), "qid", "pos", "doc_id")
+        rows = search(first, second, how, rerank, **steps).where(F.col("pos") <= at).select(F.lit(name).alias("layer"), "qid", "pos", "doc_id")
         found = rows if found is None else found.union(rows)
     known = relevant.select("qid", "doc_id", F.lit(True).alias("hit"))
     both = F.struct("layer", "qid").alias("qid")
@@ -70,54 +110,183 @@ def evaluate_layers(first: DataFrame, second: DataFrame, relevant: DataFrame, re
     every = F.explode(F.array(*[F.lit(name) for name in layers])).alias("layer")
     counts = relevant.groupBy("qid").agg(F.count("*").alias("n")).select("qid", "n", every).select(both, "n")
     return (
-        rank_metrics(hits, counts, tops.pop())
+        rank_metrics(hits, counts, at)
         .groupBy(F.col("qid.layer").alias("layer"))
         .agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("recall", "precision", "mrr")])
     )
 
 
-def _channels(spark, sf_dir):
-    """Dense lists; the same in the order of id as the second channel; rows of the query's label as relevant ones."""
-    v = vectors(spark, sf_dir)
-    first = dense(v, query_vectors(spark, sf_dir), 40).where("qid <> doc_id")
-    second = first.select("qid", "doc_id", F.lit(0.0).alias("score"))
-    asked = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "label")
-    relevant = asked.join(v.select("doc_id", "label"), "label").where("qid <> doc_id").select("qid", "doc_id")
-    first = ranked(first.select("qid", "doc_id", "score"), 40)
-    labels = v.select("doc_id", "label")
+def overlap_reranker(queries: DataFrame, rows: DataFrame) -> Rerank:
+    """A reranker without a model: the share of a query's terms that the first 2000 characters hold."""
+    asked = queries.select("qid", F.array_distinct(tokens(F.col("text"))).alias("_w"))
+    held = rows.select("doc_id", F.array_distinct(tokens(F.substring("text", 1, 2000))).alias("_a"))
 
     def rerank(pool: DataFrame) -> DataFrame:
-        near = pool.join(labels, "doc_id").join(asked.withColumnRenamed("label", "ql"), "qid")
-        return near.select("qid", "doc_id", F.round(1 / (1 + F.abs(F.col("label") - F.col("ql"))), 6).alias("score"))
-
-    return first, ranked(second, 40), relevant, rerank
-
-
-_LAYER_SQL = _dense_sql(40) + """, o AS (SELECT qid, doc_id, label, qlabel, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS p1, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS p2 FROM dense WHERE qid <> doc_id),
-f20 AS (SELECT *, round(CASE WHEN p1 <= 20 THEN 1.0::DOUBLE / (60 + p1) ELSE 0 END + CASE WHEN p2 <= 20 THEN 1.0::DOUBLE / (60 + p2) ELSE 0 END, 6) AS r FROM o WHERE p1 <= 20 OR p2 <= 20),
-f5 AS (SELECT *, round(CASE WHEN p1 <= 5 THEN 1.0::DOUBLE / (60 + p1) ELSE 0 END + CASE WHEN p2 <= 5 THEN 1.0::DOUBLE / (60 + p2) ELSE 0 END, 6) AS r FROM o WHERE p1 <= 5 OR p2 <= 5),
-l1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r DESC, doc_id) AS pos FROM f20),
-l3 AS (SELECT *, round(1 / (1 + abs(label - qlabel)), 6) AS s, row_number() OVER (PARTITION BY qid ORDER BY round(1 / (1 + abs(label - qlabel)), 6) DESC, doc_id) AS pos3 FROM l1 WHERE pos <= 20),
-e AS (SELECT *, lead(s) OVER (PARTITION BY qid ORDER BY pos3) AS nxt FROM l3),
-g AS (SELECT *, min(CASE WHEN s > 0 AND (s - nxt) / greatest(s, 0.001::DOUBLE) > 0.35::DOUBLE THEN pos3 END) OVER (PARTITION BY qid) AS edge FROM e),
-every AS (SELECT 'L0' AS layer, qid, p1 AS pos, label = qlabel AS hit FROM o WHERE p1 <= 5
- UNION ALL SELECT 'L1', qid, pos, label = qlabel FROM l1 WHERE pos <= 5
- UNION ALL SELECT 'L2', qid, pos, hit FROM (SELECT qid, label = qlabel AS hit, row_number() OVER (PARTITION BY qid ORDER BY r DESC, doc_id) AS pos FROM f5) WHERE pos <= 5
- UNION ALL SELECT 'L3', qid, pos3, label = qlabel FROM l3 WHERE pos3 <= 5
- UNION ALL SELECT 'L5', qid, pos3, label = qlabel FROM g WHERE pos3 <= 5 AND (edge IS NULL OR pos3 <= greatest(edge, 3))),
-rel AS (SELECT q.vec_id AS qid, s.n FROM v q JOIN (SELECT label, count(*) - 1 AS n FROM v GROUP BY label) s USING (label) WHERE q.vec_id % 50 = 0 AND n > 0),
-a AS (SELECT layer, qid, sum(hit::INT) AS h, min(CASE WHEN hit THEN pos END) AS fst FROM every GROUP BY ALL),
-m AS (SELECT l.layer, rel.qid, round(coalesce(h, 0) / n, 6) AS recall, round(coalesce(h, 0) / 5, 6) AS precision, round(coalesce(1 / fst, 0), 6) AS mrr FROM (SELECT DISTINCT layer FROM every) l, rel LEFT JOIN a ON a.layer = l.layer AND a.qid = rel.qid)
+        share = F.round(F.size(F.array_intersect("_a", "_w")) / F.size("_w"), 6)
+        return pool.select("qid", "doc_id").join(held, "doc_id").join(asked, "qid").select("qid", "doc_id", share.alias("score"))
+
+    return rerank
+
+
+def retrieve(
+    searches: list[DataFrame], rows: DataFrame, keywords: DataFrame, k: int, *, supposed: DataFrame | None = None, fallback: DataFrame | None = None
+) -> DataFrame:
+    """One list (qid, pos, doc_id, score) from the searches for several wordings of each question.
+
+    rows (doc_id, content, date) and keywords (qid, keywords) decide which of equal contents stay and which are raised, see
+    ``retrieval.merge_lists``. supposed is the search for a supposed answer; it is merged at half its scores. Questions
+    that have no result yet get those of fallback.
+    """
+
+    def filled(hits: DataFrame, weight: float = 1.0) -> DataFrame:
+        score = (F.col("score") * F.lit(weight)).alias("score")
+        return hits.select("qid", "pos", "doc_id", score).join(rows.select("doc_id", "content", "date"), "doc_id").join(keywords.select("qid", "keywords"), "qid")
+
+    found = merge_lists([filled(x) for x in searches], F.col("keywords"), k)
+    if supposed is not None:
+        found = merge_lists([filled(found), filled(supposed, SUPPOSED)], F.col("keywords"), k)
+    if fallback is not None:
+        found = with_fallback(found, merge_lists([filled(fallback)], F.col("keywords"), k))
+    return found.select(*NAMES)
+
+
+def with_fallback(hits: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The hits, and for queries without any those of the fallback."""
+    return hits.select(*NAMES).union(fallback.join(hits.select("qid").distinct(), "qid", "left_anti").select(*NAMES))
+
+
+ASKED_WORDS = 12  # first words of a document that serve as a question
+
+
+def _question(text: Column) -> Column:
+    return F.array_join(F.slice(F.split(text, " "), 1, ASKED_WORDS), " ")
+
+
+def _channels(spark, sf_dir, depth: int):
+    """Documents that have a vector, those whose id is divisible by 50 as questions, without themselves as results."""
+    v = vectors(spark, sf_dir)
+    rows = table(spark, sf_dir, "documents").join(v, "doc_id").select("doc_id", "text", "source", "vector", "label")
+    asked = rows.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), _question(F.col("text")).alias("text"), "vector", F.col("label").alias("ql"))
+
+    def others(hits: DataFrame) -> DataFrame:
+        return ranked(hits.where("qid <> doc_id").select("qid", "doc_id", "score"), depth).select(*NAMES)
+
+    first, second = (f(rows, asked, depth + 1) for f in (dense, bm25))
+    relevant = asked.join(rows.select("doc_id", F.col("label").alias("ql")), "ql").where("qid <> doc_id").select("qid", "doc_id")
+    words = F.slice(F.array_remove(F.split("text", r"[^\p{L}\p{N}]+"), ""), 1, 2)
+    steps = {
+        "content": rows.select("doc_id", F.concat_ws("/", "source", F.pmod("doc_id", F.lit(7))).alias("parent_id"), F.col("text").alias("content")),
+        "parents": rows.groupBy(F.concat_ws("/", "source", F.pmod("doc_id", F.lit(7))).alias("parent_id")).agg(F.min_by("text", "doc_id").alias("content")),
+        "keywords": asked.select("qid", words.alias("keywords")),
+    }
+    return others(first), others(second), relevant, overlap_reranker(asked, rows), steps
+
+
+def _search_sql(name: str, how: Search) -> str:
+    """CTEs whose last, ``name``, is the result of a search by ``how``; x_rows, x_asked, x_dense and x_sparse come before."""
+    c, pool = how.candidates, how.pool
+    fused = f"SELECT qid, doc_id, pos AS p, score AS s FROM x_dense WHERE pos <= {c}" if how.dense_only else f"""SELECT qid, doc_id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS p FROM (
+  SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + pos)), 6) AS s FROM (SELECT * FROM x_dense WHERE pos <= {c} UNION ALL SELECT * FROM x_sparse WHERE pos <= {c}) GROUP BY qid, doc_id) QUALIFY p <= {c}"""
+    out = f"""{name}_f AS ({fused}),
+{name}_d AS (SELECT f.qid, f.doc_id, f.p, f.s, CASE WHEN length(h.content) BETWEEN {PARENT_CHARS[0]} AND {PARENT_CHARS[1]} THEN h.content ELSE r.text END AS content
+  FROM {name}_f f JOIN x_rows r USING (doc_id) JOIN x_parents h USING (parent_id) QUALIFY row_number() OVER (PARTITION BY f.qid, r.parent_id ORDER BY f.p) = 1),
+{name}_n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p) AS q FROM {name}_d QUALIFY q <= {pool}),
+{name}_p AS (SELECT n.*, coalesce(list_sum(list_transform(a.ws, lambda w: CASE WHEN contains(n.content, w) THEN 2
+   WHEN length(w) >= 2 AND len(list_filter(string_split(w, ''), lambda c: c <> '' AND contains(n.content, c))) >= greatest(1, floor(length(w) * 0.6::DOUBLE)::INT) THEN 1 ELSE 0 END)), 0)::INT AS points
+  FROM {name}_n n JOIN x_asked a USING (qid)),
+{name}_k AS (SELECT qid, doc_id, s, row_number() OVER (PARTITION BY qid ORDER BY points DESC, CASE WHEN points > 0 THEN s END DESC NULLS LAST, q) AS pos FROM {name}_p),
+"""
+    last = f"SELECT qid, doc_id, s, pos FROM {name}_k WHERE pos <= {how.k}"
+    if how.rerank:
+        edge = f"min(CASE WHEN s > 0 AND (s - nxt) / greatest(s, 0.001::DOUBLE) > {CLIFF}::DOUBLE THEN pos END) OVER (PARTITION BY qid)" if how.cliff else "NULL"
+        out += f"""{name}_c AS (SELECT *, {edge} AS edge FROM (SELECT *, lead(s) OVER (PARTITION BY qid ORDER BY pos) AS nxt FROM {name}_k)),
+{name}_r AS (SELECT c.qid, c.doc_id, round(len(list_intersect(r.held, a.terms)) / len(a.terms), 6) AS s FROM {name}_c c JOIN x_rows r USING (doc_id) JOIN x_asked a USING (qid)
+  WHERE c.edge IS NULL OR c.pos <= greatest(c.edge, {FLOOR})),
+"""
+        last = f"SELECT qid, doc_id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS pos FROM {name}_r QUALIFY pos <= {how.top}"
+    top = "max(s) OVER (PARTITION BY qid)"
+    return out + f"{name} AS (SELECT qid, pos, doc_id, CASE WHEN {top} > 0 THEN round(s / {top}, 4) ELSE s END AS score FROM ({last}))"
+
+
+def _base_sql(depth: int) -> str:
+    asked = f"(SELECT doc_id AS qid, array_to_string(list_slice(string_split(text, ' '), 1, {ASKED_WORDS}), ' ') AS text FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))"
+    words = r"list_slice(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda x: x <> ''), 1, 2)"
+    return f"""{_bm25_sql("WHERE doc_id IN (SELECT vec_id FROM embeddings)", depth + 1, asked)},
+x_rows AS (SELECT d.doc_id, d.text, d.source, concat_ws('/', d.source, d.doc_id % 7) AS parent_id, e.label, list_transform(e.embedding, lambda x: x::DOUBLE) AS v,
+  list_distinct({_tokens_sql("substring(d.text, 1, 2000)")}) AS held FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+x_parents AS (SELECT parent_id, min_by(text, doc_id) AS content FROM x_rows GROUP BY parent_id),
+x_asked AS (SELECT q.qid, {words} AS ws, list_distinct({_tokens_sql("text")}) AS terms, r.v, r.label AS ql FROM (SELECT * FROM {asked}) q JOIN (SELECT doc_id AS qid, v, label FROM x_rows) r USING (qid)),
+x_cos AS (SELECT q.qid, r.doc_id, round(list_inner_product(q.v, r.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(r.v, r.v))), 6) AS score FROM x_asked q, x_rows r
+  QUALIFY row_number() OVER (PARTITION BY q.qid ORDER BY score DESC, r.doc_id) <= {depth + 1}),
+x_dense AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS pos, doc_id, score FROM x_cos WHERE qid <> doc_id QUALIFY pos <= {depth}),
+x_sparse AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS pos, doc_id, score FROM bm25 WHERE qid <> doc_id QUALIFY pos <= {depth}),
+"""
+
+
+DEPTH = max(how.candidates for how in LAYERS.values())
+_LAYER_SQL = (
+    _base_sql(DEPTH)
+    + ",\n".join(_search_sql(f"s_{name}", how) for name, how in LAYERS.items())
+    + f""",
+every AS ({" UNION ALL ".join(f"SELECT '{name}' AS layer, qid, pos, doc_id FROM s_{name} WHERE pos <= 5" for name in LAYERS)}),
+rel AS (SELECT a.qid, r.doc_id FROM x_asked a JOIN x_rows r ON r.label = a.ql AND r.doc_id <> a.qid),
+cnt AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
+h AS (SELECT e.layer, e.qid, count(rel.doc_id) AS h, min(CASE WHEN rel.doc_id IS NOT NULL THEN e.pos END) AS fst FROM every e LEFT JOIN rel ON rel.qid = e.qid AND rel.doc_id = e.doc_id GROUP BY ALL),
+m AS (SELECT l.layer, cnt.qid, round(coalesce(h, 0) / n, 6) AS recall, round(coalesce(h, 0) / 5, 6) AS precision, round(coalesce(1 / fst, 0), 6) AS mrr
+  FROM (SELECT unnest({[*LAYERS]}) AS layer) l CROSS JOIN cnt LEFT JOIN h ON h.layer = l.layer AND h.qid = cnt.qid)
 SELECT layer, count(*) AS n, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, round(avg(mrr), 4) AS mrr FROM m GROUP BY layer"""
+)
 
 
 @query("layered_evaluation", _LAYER_SQL)
 def q_layers(spark, sf_dir):
-    first, second, relevant, rerank = _channels(spark, sf_dir)
-    return evaluate_layers(first, second, relevant, rerank)
+    first, second, relevant, rerank, steps = _channels(spark, sf_dir, DEPTH)
+    return evaluate_layers(first, second, relevant, rerank, **steps)
 
 
-@query("hybrid_search")
+@query("hybrid_search", _base_sql(DEPTH) + _search_sql("found", LAYERS["L5"]) + " SELECT qid, pos, doc_id, score FROM found")
 def q_hybrid(spark, sf_dir):
-    first, second, _, rerank = _channels(spark, sf_dir)
-    return search(first, second, LAYERS["L5"], rerank)
+    first, second, _, rerank, steps = _channels(spark, sf_dir, DEPTH)
+    return search(first, second, LAYERS["L5"], rerank, **steps)
+
+
+def _merge_sql(name: str, lists: list[tuple[str, float]], k: int) -> str:
+    union = " UNION ALL ".join(f"SELECT {i} AS l, qid, pos, doc_id, score * {w}::DOUBLE AS score FROM {x}" for i, (x, w) in enumerate(lists))
+    return f"""{name}_o AS (SELECT u.*, r.text AS content, r.source AS date, a.ws FROM ({union}) u JOIN x_rows r USING (doc_id) JOIN x_asked a USING (qid)
+  QUALIFY row_number() OVER (PARTITION BY u.qid, substring(r.text, 1, 200) ORDER BY u.l, u.pos) = 1),
+{name}_r AS (SELECT qid, doc_id, date, round(score * (1 + 0.15::DOUBLE * len(list_filter(ws, lambda w: contains(content, w)))), 6) AS score FROM {name}_o),
+{name}_n AS (SELECT qid, doc_id, date, CASE WHEN max(score) OVER (PARTITION BY qid) > 0 THEN round(score / max(score) OVER (PARTITION BY qid), 4) ELSE score END AS score FROM {name}_r),
+{name} AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, date DESC, doc_id) AS pos, doc_id, score FROM {name}_n QUALIFY pos <= {k})"""
+
+
+_WORDING = "(SELECT qid, array_to_string(ws, ' ') AS text FROM x_asked)"
+_SECOND_SQL = _bm25_sql("WHERE doc_id IN (SELECT vec_id FROM embeddings)", DEPTH + 1, _WORDING).replace("WITH bm_d", "bm_d").replace("bm", "y")
+
+
+@query(
+    "retrieve_pipeline",
+    _base_sql(DEPTH)
+    + _search_sql("hyb", LAYERS["L5"])
+    + ",\n"
+    + _SECOND_SQL
+    + f""", y_sparse AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS pos, doc_id, score FROM y25 WHERE qid <> doc_id QUALIFY pos <= {DEPTH}),
+"""
+    + _search_sql("sub", LAYERS["L5"]).replace("x_sparse", "y_sparse")
+    + ",\n"
+    + _search_sql("sup", replace(LAYERS["L0"], k=5))
+    + ",\n"
+    + _merge_sql("one", [("hyb", 1.0), ("sub", 1.0)], 5)
+    + ",\n"
+    + _merge_sql("two", [("one", 1.0), ("sup", SUPPOSED)], 5)
+    + " SELECT qid, pos, doc_id, score FROM two",
+)
+def q_retrieve(spark, sf_dir):
+    """Two wordings of each question, the dense search in place of the one for a supposed answer, and as the way out."""
+    first, second, _, rerank, steps = _channels(spark, sf_dir, DEPTH)
+    rows = table(spark, sf_dir, "documents").join(vectors(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
+    wording = steps["keywords"].select("qid", F.array_join("keywords", " ").alias("text"))
+    other = ranked(bm25(rows, wording, DEPTH + 1).where("qid <> doc_id").select("qid", "doc_id", "score"), DEPTH)
+    searches = [search(first, sparse, LAYERS["L5"], rerank, **steps) for sparse in (second, other)]
+    plain = search(first, None, replace(LAYERS["L0"], k=5), **steps)
+    content = rows.select("doc_id", F.col("text").alias("content"), F.col("source").alias("date"))
+    return retrieve(searches, content, steps["keywords"], 5, supposed=plain, fallback=plain)
