@@ -5,11 +5,11 @@ in at least ``MIN_DOCS`` documents of the language), N their sum over the V kept
 parts per billion is p = 1 + floor(10**9 * (count + 1) / (N + V)), and f = floor((p - q)**2 / q) is what the term adds to
 the divergence of p from q. Everything is whole numbers.
 
-1. Count. Each task keeps a radix trie of bytes per language. A leaf counts the occurrences by source and the documents. At
-   ``FLUSH`` leaves, and at the end of the partition, the tries are written out in byte order, a cell of compressed arrays
-   for each two-byte prefix, so a task's memory is bounded whatever the vocabulary.
+1. Count. Each task counts occurrences by source and documents for each language. At ``FLUSH`` counters, and at the end of the
+   partition, these are laid out as a byte trie: leaves in byte order, each with a counter for each of its sources, cut into a
+   cell of compressed arrays for each two-byte prefix. So a task's memory is bounded whatever the vocabulary.
 2. Merge by prefix range. Neighbouring prefixes form ranges of some ``LEAVES`` leaves, from their sums over all cells; each
-   range is one group, whose tries are merged. A range that has more (very many tasks met one frequent word) is merged
+   range is one group, whose tries are merged into one radix trie. A range that has more (very many tasks met one frequent word) is merged
    in salted groups first, which is what makes a third of all rows in one source or one term harmless: a cell holds each
    (term, source) once, however often it occurs. Terms in too few documents are dropped here, where counts are complete.
 3. Totals. N by source and V by language are sums over the merged ranges. Groups number as many as sources; the result has
@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
 PREFIX = 2
-FLUSH = 150_000
+FLUSH = 800_000  # counters that a task holds
 LEAVES = 200_000
 GROUPS = 200_000
 DENSE = 1 << 20  # cells of a matrix of terms and sources
@@ -93,55 +94,60 @@ class Trie:
             stack += [(term, node[1][k]) for k in sorted(node[1], reverse=True)]
 
 
-def _cell(lang: str, prefix: bytes, leaves: list[tuple[bytes, dict[int, int]]], names: list[str]) -> tuple:
-    """Leaves of one prefix as compressed arrays, with the sources that occur there."""
-    used = sorted({s for _, leaf in leaves for s in leaf} - {OF_DOCUMENTS})
-    place = {s: i for i, s in enumerate(used)}
+def _cell(lang: str, prefix: bytes, terms: list[bytes], docs: np.ndarray, degree: np.ndarray, source: np.ndarray, counts: np.ndarray, names: list[str]) -> tuple:
+    """Leaves of one prefix in byte order as compressed arrays, with the sources that occur there."""
+    used, place = np.unique(source, return_inverse=True)
+    return (lang, prefix, len(terms), [names[s] for s in used.tolist()], b"\n".join(terms), *map(pack, (docs, degree, place, counts)))
+
+
+def _leaf_arrays(leaves: list[tuple[bytes, dict[int, int]]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, documents, number of sources, sources and counts of leaves."""
     docs = [leaf.pop(OF_DOCUMENTS) for _, leaf in leaves]
-    source = [place[s] for _, leaf in leaves for s in leaf]
-    counts = [n for _, leaf in leaves for n in leaf.values()]
-    arrays = (docs, [len(leaf) for _, leaf in leaves], source, counts)
-    return (lang, prefix, len(leaves), [names[s] for s in used], b"\n".join(t for t, _ in leaves), *(pack(np.array(x, np.int64)) for x in arrays))
+    source, counts = [s for _, leaf in leaves for s in leaf], [n for _, leaf in leaves for n in leaf.values()]
+    return [t for t, _ in leaves], *(np.array(x, np.int64) for x in (docs, [len(leaf) for _, leaf in leaves], source, counts))
 
 
 def _cells(lang: str, trie: Trie, names: list[str]) -> Iterator[tuple]:
-    prefix, leaves = None, []
-    for term, leaf in trie.walk():
-        if term[:PREFIX] != prefix:
-            if leaves:
-                yield _cell(lang, prefix, leaves, names)
-            prefix, leaves = term[:PREFIX], []
-        leaves.append((term, leaf))
-    if leaves:
-        yield _cell(lang, prefix, leaves, names)
+    for prefix, leaves in groupby(trie.walk(), key=lambda x: x[0][:PREFIX]):
+        yield _cell(lang, prefix, *_leaf_arrays([*leaves]), names)
+
+
+def _laid_out(lang: str, docs: Counter, by_source: dict[str, Counter]) -> Iterator[tuple]:
+    """The trie of a language as cells: its leaves in byte order, where an inner node is the range under its prefix."""
+    terms, names = sorted(docs), [*by_source]
+    place = {t: i for i, t in enumerate(terms)}
+    leaf = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by_source.values()])
+    counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in by_source.values()])
+    source = np.repeat(np.arange(len(names)), [*map(len, by_source.values())])
+    order = np.lexsort((source, leaf))
+    counts, source = counts[order], source[order]
+    degree = np.bincount(leaf, minlength=len(terms))
+    first = np.append(0, np.cumsum(degree))
+    of_docs = np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms))
+    a = 0
+    for prefix, same in groupby(terms, key=lambda t: t[:PREFIX]):
+        b = a + sum(1 for _ in same)
+        own = slice(first[a], first[b])
+        yield _cell(lang, prefix, terms[a:b], of_docs[a:b], degree[a:b], source[own], counts[own], names)
+        a = b
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tries: dict[str, Trie] = defaultdict(Trie)
-    known: dict[str, dict[bytes, dict[int, int]]] = defaultdict(dict)  # the leaves by term, to walk down once for each
-    sources: dict[str, int] = {}
+    docs: dict[str, Counter] = defaultdict(Counter)
+    found: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
 
     def flushed() -> pd.DataFrame:
-        names = [*sources]
-        rows = [row for lang, trie in tries.items() for row in _cells(lang, trie, names)]
-        tries.clear(), known.clear(), sources.clear()
+        rows = [row for lang, by_source in found.items() for row in _laid_out(lang, docs[lang], by_source)]
+        docs.clear(), found.clear()
         return pd.DataFrame(rows, columns=NAMES)
 
     for batch in batches:
-        found: dict[tuple[str, int], Counter] = defaultdict(Counter)
         for text, lang, source in zip(batch["text"], batch["lang"], batch["source"], strict=True):
             terms = TERM.findall(text.encode().lower())
             if terms:
-                found[lang, sources.setdefault(source, len(sources))].update(terms)
-                found[lang, OF_DOCUMENTS].update(set(terms))
-        for (lang, source), counter in found.items():
-            trie, own = tries[lang], known[lang]
-            for term, n in counter.items():
-                leaf = own.get(term)
-                if leaf is None:
-                    leaf = own[term] = trie.leaf(term)
-                leaf[source] = leaf.get(source, 0) + n
-        if sum(t.size for t in tries.values()) >= FLUSH:
+                found[lang][source].update(terms)
+                docs[lang].update(set(terms))
+        if sum(len(c) for by_source in found.values() for c in by_source.values()) >= FLUSH:
             yield flushed()
     yield flushed()
 
@@ -172,7 +178,7 @@ def _merge_range(cells: pd.DataFrame) -> pd.DataFrame:
     leaves = [(t, leaf) for t, leaf in trie.walk() if leaf[OF_DOCUMENTS] >= MIN_DOCS]
     if not leaves:
         return pd.DataFrame(columns=[x.split()[0] for x in MERGED.split(", ")])
-    lang, _, n, used, terms, _, degree, source, counts = _cell(cells["lang"].iloc[0], b"", leaves, names)
+    lang, _, n, used, terms, _, degree, source, counts = _cell(cells["lang"].iloc[0], b"", *_leaf_arrays(leaves), names)
     sums = [0] * len(used)
     for s, c in zip(unpack(source).tolist(), unpack(counts).tolist(), strict=True):
         sums[s] += c
