@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.plans.registry import query
@@ -138,19 +138,25 @@ def with_simhash(documents: DataFrame) -> DataFrame:
     return documents.withColumn("simhash", hashed(F.coalesce("text", F.lit(""))))
 
 
-def hamming_links(hashed: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs of different fingerprints within the distance, exact for up to three bits.
+def fingerprint_keys(simhash: Column) -> Column:
+    """Twenty keys (b, k), at least one of which any two fingerprints share that differ in up to three bits.
 
-    Of six blocks of a fingerprint three agree at least, so it stands under the bits of each three of them: twenty keys of
-    32 bits or more, few of which unlike fingerprints share. Equal fingerprints are joined as one, so copies don't
-    multiply; ``ids_a`` counts the documents behind a fingerprint.
+    Of six blocks of a fingerprint three agree at least, so it stands under the bits of each three of them: keys of 32 bits
+    or more, few of which unlike fingerprints share.
     """
-    distinct = hashed.groupBy("simhash").agg(F.min("doc_id").alias("id"), F.count("*").alias("ids"))
     edges = [0, 11, 22, 33, 44, 54, 64]
     masks = [sum(1 << bit for b in blocks for bit in range(edges[b], edges[b + 1])) for blocks in combinations(range(6), 3)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    bands = F.array(*[F.struct(F.lit(i).alias("b"), F.col("simhash").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
-    keyed = distinct.select("*", F.explode(bands).alias("band"))
+    return F.array(*[F.struct(F.lit(i).alias("b"), simhash.bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
+
+
+def hamming_links(hashed: DataFrame, distance: int = 3) -> DataFrame:
+    """Pairs of different fingerprints within the distance, exact for up to three bits.
+
+    Equal fingerprints are joined as one, so copies don't multiply; ``ids_a`` counts the documents behind a fingerprint.
+    """
+    distinct = hashed.groupBy("simhash").agg(F.min("doc_id").alias("id"), F.count("*").alias("ids"))
+    keyed = distinct.select("*", F.explode(fingerprint_keys(F.col("simhash"))).alias("band"))
     x = keyed.select("band", *[F.col(c).alias(f"{c}_a") for c in ("simhash", "id", "ids")])
     y = keyed.select("band", *[F.col(c).alias(f"{c}_b") for c in ("simhash", "id", "ids")])
     near = F.bit_count(F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))) <= distance
@@ -162,20 +168,42 @@ def fingerprint_members(hashed: DataFrame) -> DataFrame:
     return hashed.join(hashed.groupBy("simhash").agg(F.min("doc_id").alias("id"), F.count("*").alias("ids")), "simhash").select("doc_id", "id", "ids")
 
 
+_BLOCKS = tuple((at, (1 << size) - 1) for at, size in ((0, 16), (16, 16), (32, 16), (48, 16)))
+
+
 def paragraphs_once(text: str, least: int = 40, distance: int = 3) -> str:
-    """Drops paragraphs whose SimHash is near that of a *kept* earlier one; short paragraphs stay."""
+    """Drops paragraphs whose SimHash is near that of a *kept* earlier one; short paragraphs stay.
+
+    Kept fingerprints stand under their four blocks of 16 bits. Up to three differing bits leave one block equal, so a
+    paragraph is compared with the few kept ones that share a block and not with all of them.
+    """
+    if distance >= len(_BLOCKS):
+        raise ValueError("blocks tell up to three bits apart")
     kept: list[str] = []
-    seen: list[int] = []
+    seen: dict[tuple[int, int], list[int]] = {}
     for p in re.split(r"\n\s*\n+", text):
         if len(p.strip()) >= least:
-            h = simhash(p)
-            if any(((h ^ s) & (1 << 64) - 1).bit_count() <= distance for s in seen):
+            h = simhash(p) & (1 << 64) - 1
+            keys = [(i, h >> at & mask) for i, (at, mask) in enumerate(_BLOCKS)]
+            if any((h ^ s).bit_count() <= distance for k in keys for s in seen.get(k, ())):
                 continue
-            seen.append(h)
+            for k in keys:
+                seen.setdefault(k, []).append(h)
         kept.append(p)
     return "\n\n".join(kept)
 
 
+def without_repeated_paragraphs(documents: DataFrame, least: int = 40, distance: int = 3) -> DataFrame:
+    """The documents with their text's near-equal paragraphs reduced to the first of each; null texts stay null."""
+
+    @F.pandas_udf("string")
+    def once(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else paragraphs_once(t, least, distance))
+
+    return documents.withColumn("text", once("text"))
+
+
 def chunks(documents: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, ordinal, content of every chunk of every document."""
 
@@ -199,6 +227,14 @@ def markdown_sections(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
 
 
+@query("paragraph_dedup")
+def q_paragraphs(spark, sf_dir):
+    """Lines stand for paragraphs in the tables' texts, which have few blank lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n+", "\n\n").alias("text"))
+    found = without_repeated_paragraphs(docs)
+    return found.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @query("recursive_split")
 def q_split(spark, sf_dir):
     return chunks(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))

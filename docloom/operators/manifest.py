@@ -104,15 +104,15 @@ class Manifest:
         return self.chunks.read().join(self.versions.read().where("is_current").select("source", "version"), ["source", "version"], "left_semi")
 
 
-_EVENTS = "SELECT user_id AS source, event_id AS version, event_type AS digest, ts AS at FROM events"
+_EVENTS = "SELECT user_id AS source, event_id AS version, event_type AS digest, ts AS t FROM events"
 
 
 def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("version"), F.col("event_type").alias("digest"), F.col("ts").cast("timestamp").alias("at"))
 
 
-_HISTORY_SQL = f"""SELECT source, version, digest, at AS valid_from, lead(at) OVER (PARTITION BY source ORDER BY at, version) AS valid_to FROM (
-  SELECT * FROM ({_EVENTS}) QUALIFY coalesce(lag(digest) OVER (PARTITION BY source ORDER BY at, version) <> digest, true))"""
+_HISTORY_SQL = f"""SELECT source, version, digest, t AS valid_from, lead(t) OVER (PARTITION BY source ORDER BY t, version) AS valid_to FROM (
+  SELECT * FROM ({_EVENTS}) QUALIFY coalesce(lag(digest) OVER (PARTITION BY source ORDER BY t, version) <> digest, true))"""
 
 
 @query(
@@ -127,7 +127,7 @@ def q_history(spark, sf_dir):
 @query(
     "version_as_of",
     f"""SELECT e.version AS asked, h.version FROM ({_EVENTS}) e JOIN ({_HISTORY_SQL}) h ON h.source = e.source
-AND h.valid_from <= e.at - INTERVAL 1 HOUR AND (h.valid_to IS NULL OR e.at - INTERVAL 1 HOUR < h.valid_to)""",
+AND h.valid_from <= e.t - INTERVAL 1 HOUR AND (h.valid_to IS NULL OR e.t - INTERVAL 1 HOUR < h.valid_to)""",
 )
 def q_as_of(spark, sf_dir):
     """The version that held an hour before each event."""

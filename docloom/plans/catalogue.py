@@ -2,6 +2,7 @@
 
 from docloom.operators import answers, catalog, evaluation, headings, ingest, manifest, metadata, quality, requests, retrieval, runs, search, vector_index  # noqa: F401  they register their queries
 from docloom.plans.registry import QUERIES, SQL
+from docloom.streaming import events as stream_events  # noqa: F401
 from docloom.streaming import ingest as stream_ingest  # noqa: F401
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import ingest, retrieval, runs
-from docloom.streaming.ingest import stream_documents
 
 
 def cut(spark, scores, **kw):
@@ -61,16 +60,6 @@ def test_text_functions(spark):
     assert tuple(row) == ("2024-03-05", None, "1.2", "600519", 0.5, "see here", "a\n\nb")
 
 
-def test_stream_commits_once(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, ""), (None, "b"), (4, "c")], "doc_id long, text string")
-    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
-    where = [f"{tmp_path}/{x}" for x in ("out", "dead", "cp")]
-    for _ in range(2):
-        stream_documents(spark, f"{tmp_path}/in", rows.schema, *where).awaitTermination()
-    assert sorted(r.doc_id for r in spark.read.parquet(where[0]).collect()) == [1, 4]
-    assert sorted(r.error for r in spark.read.parquet(where[1]).collect()) == ["no id", "no text"]
-
-
 def test_members_of_fingerprints(spark, tmp_path):
     rows = [(1, "the same text here"), (2, "another one of these"), (3, "the same text here"), (4, "the same text here"), (5, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
