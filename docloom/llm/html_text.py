@@ -1,10 +1,12 @@
 """Main text of web pages by tree scoring.
 
 The markup is read into a tree that closes what HTML lets authors leave open. Boilerplate elements are cut off by tag,
-role and by words of their class and id, unless they hold most of the page's prose. Each paragraph-like block then
+role and by words of their class and id, unless they hold most of the page's prose; what is named for comments goes
+however large it is, and inside an article a word of two meanings is not enough against a part that reads like prose.
+Each paragraph-like block then
 passes points for its length and its commas to its parent, half to the grandparent and less further up; a container's
 points are discounted by the share of its text inside links. The best container is kept, widened to the ``article`` or
-``main`` around it, with those siblings that score well or are prose themselves.
+``main`` around it, with those siblings that score well, are prose themselves, or have its own tag and attributes.
 
 One page is handled at a time; memory is bounded by the largest page. As in browsers, elements are nested at most
 ``DEEPEST`` deep and deeper ones become siblings, so the time grows with the page and not with its square.
@@ -56,6 +58,12 @@ CUT_WORDS = frozenset(
     " overlay share sharing social related recommended recommendations comment comments disqus respond responses reply replies widget toolbar"
     " pagination pager login signin search rss skip copyright disclaimer alert paywall header topbar teaser outbrain taboola".split()
 )
+#: Of these, words that name what readers write: such parts go however much of the page they are.
+COMMENT_WORDS = frozenset("comment comments disqus respond responses reply replies".split())
+#: Words that may as well name what an article is about; inside one, a part that reads like prose stays.
+DOUBTFUL_WORDS = frozenset("search share sharing social alert notice notices related banner recommended recommendations teaser widget copyright disclaimer response".split())
+INLINE_CONTROLS = frozenset("button label".split())
+PROSE_SIZE, PROSE_LINKS = 80, 0.2
 DEEPEST = 512
 #: Words of an article's own heading as well as of a page's.
 HEADING_WORDS = frozenset("header banner masthead topbar".split())
@@ -200,6 +208,11 @@ def _cut(order: list[Node]) -> None:
             if node.parent:
                 holds.add(id(node.parent))
     within: set[int] = set()  # nodes inside an article or main
+    paragraphs = {id(node): 0 for node in order}
+    for node in reversed(order):
+        paragraphs[id(node)] += node.tag == "p" and node.size > 0
+        if node.parent is not None:
+            paragraphs[id(node.parent)] += paragraphs[id(node)]
     for node in order:
         if node.parent is not None and (node.parent.tag in ("article", "main") or id(node.parent) in within):
             within.add(id(node))
@@ -212,6 +225,12 @@ def _cut(order: list[Node]) -> None:
         words, role, hidden = _names(node.attrs) if node.attrs else ((), "", False)
         if hidden:
             node.cut = True
+        elif node.tag in INLINE_CONTROLS and node.parent is not None and node.parent.tag == "p" and node.parent.size > 2 * node.size:
+            pass  # a word of a sentence that happens to be a control
+        elif not COMMENT_WORDS.isdisjoint(words) and node.tag in BLOCK and not node.tag.startswith("h"):
+            # a wrapper around the whole page may be named for its comments, too
+            whole = id(node) in holds or 10 * node.size >= 9 * total and paragraphs[id(node)] == paragraphs[id(order[0])]
+            node.cut = id(node) in within or not whole
         elif node.tag in CUT_TAGS or role in CUT_ROLES:
             # a form may be wrapped around a whole page; menus never are prose
             node.cut = not (large and node.tag not in ("nav", "footer", "aside", "head"))
@@ -219,7 +238,14 @@ def _cut(order: list[Node]) -> None:
             node.cut = id(node) not in within and not large
         elif words and node.tag in BLOCK | {"span", "ins"} and not CUT_WORDS.isdisjoint(words):
             own_heading = id(node) in within and CUT_WORDS.intersection(words) <= HEADING_WORDS
-            node.cut = not large and not own_heading and not node.tag.startswith("h")
+            node.cut = not large and not own_heading and not node.tag.startswith("h") and not (id(node) in within and _doubtful(node, words))
+
+
+def _doubtful(node: Node, words: set[str]) -> bool:
+    """Whether only words that have another meaning speak against a part that reads like prose."""
+    if not CUT_WORDS.intersection(words) <= DOUBTFUL_WORDS or node.size < PROSE_SIZE or _density(node) > PROSE_LINKS:
+        return False
+    return any(isinstance(x, Node) and x.tag == "p" and x.size >= PROSE_SIZE for x in node.children) or node.tag in ("p", "blockquote")
 
 
 def _density(node: Node) -> float:
@@ -286,7 +312,9 @@ def _kept(best: Node) -> list[Node]:
             prose = c.tag == "p" and c.size > 80 and _density(c) < 0.25
             same = c.tag == "article" and top.tag == "article" or top.tag != "article" and c.score * (1 - _density(c)) >= least
             title = top.tag != "article" and c.tag in ("h1", "h2")
-            if prose or same or title:
+            path = top.tag != "article" and (c.tag, c.attrs) == (top.tag, top.attrs) and _density(c) < 0.25
+            path = path and any(isinstance(x, Node) and x.tag == "p" and x.size and not x.cut for x in c.children)
+            if prose or same or title or path:
                 out.append(c)
     return out
 
