@@ -1,8 +1,9 @@
 """Benchmark decontamination against a broadcast hash set of normalised test n-grams.
 
 A text's words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Each benchmark item gives its
-windows of 13 consecutive words, or one window of all its words when it has fewer. Two hash sets of the windows go to
-all tasks, as bits in an array of longs that a scalar subquery makes, so the scan of the training text is local to a row:
+windows of 13 consecutive words, or one window of all its words when it has fewer. They are written to the shared folder
+once. Two hash sets of the windows, with their lengths hashed in, go to all tasks, as bits in an array of longs that a
+scalar subquery makes, so the scan of the training text is local to a row:
 
 1. Anchors. A window of L words always holds an anchor, an aligned run of q words that starts at a multiple of
    L - q + 1. Only these are hashed and looked up; a text without a known anchor holds no window.
@@ -26,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import let, lower_ascii, table
+from docloom.llm.common import let, lower_ascii, stored, table
 
 WINDOW = 13
 ANCHOR = 5
 MOST_BITS = 1 << 28
+RUN = 1024
 HIT_SHARE = 20  # contaminated when 20 times the hit words reach the number of words
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -39,8 +41,9 @@ def ngram_words(lowered: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), SPLIT), "")
 
 
-def hash_at(words: Column, i: Column, length: int) -> Column:
-    return F.xxhash64(*[F.get(words, i + k) for k in range(length)])
+def hash_at(words: Column, i: Column, length: int, of: int) -> Column:
+    """Hash of the ``length`` words from place i on, which stand for windows of ``of`` words."""
+    return F.xxhash64(F.lit(of), *[F.get(words, i + k) for k in range(length)])
 
 
 def starts(words: Column, length: int, step: int = 1) -> Column:
@@ -69,22 +72,31 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def anchors_of(windows: DataFrame, length: int) -> DataFrame:
-    """h: the hashes of the runs of words of windows of this length that an aligned anchor in a text can hold."""
-    q, step = anchor_of(length)
-    words = windows.where(F.col("len") == length).select(F.split("gram", " ").alias("w"))
-    return words.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda i: hash_at(F.col("w"), i, q))).alias("h"))
+def hashes_of(windows: DataFrame, lengths: list[int], anchors: bool) -> DataFrame:
+    """h: the hashes of the windows, or of the runs of their words that an aligned anchor in a text can hold."""
+    found = F.array().cast("array<bigint>")
+    for n in lengths:
+        q, step = anchor_of(n) if anchors else (n, 1)
+        own = F.array(*[hash_at(F.col("w"), F.lit(i), q, n) for i in range(step)])
+        found = F.when(F.col("len") == n, own).otherwise(found)
+    return windows.select("len", F.split("gram", " ").alias("w")).select(F.explode(found).alias("h"))
 
 
 def hash_set(hashes: DataFrame, n: int) -> tuple[Column, int]:
-    """The hashes (h, about n of them) as bits of an array of longs, by a scalar subquery, and the number of its bits."""
+    """The hashes (h, about n of them) as bits of an array of longs, by a scalar subquery, and the number of its bits.
+
+    The bits are gathered by runs of ``RUN`` longs, each in a group of its own; one task then only strings at most 4,096 of
+    these together.
+    """
     bits = min(MOST_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
     spark = hashes.sparkSession
     place = F.pmod("h", F.lit(bits))
     words = hashes.select((place / 64).cast("long").alias("i"), (place % 64).cast("int").alias("bit")).distinct()
     words = words.groupBy("i").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v"))
     every = spark.range(bits // 64).join(words, F.col("id") == F.col("i"), "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
-    rows = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("bits"))
+    runs = every.groupBy(F.floor(F.col("id") / RUN).alias("run")).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("own"))
+    runs = runs.select("run", F.transform("own", lambda x: x["v"]).alias("own"))
+    rows = runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "own"))), lambda x: x["own"])).alias("bits"))
     return rows.scalar(), bits
 
 
@@ -93,19 +105,16 @@ def in_set(value: Column, words: Column, bits: int) -> Column:
     return F.getbit(F.get(words, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
 
 
-def window_hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def window_hits(documents: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, fp, n_words, k, hit: one row for each window found in a document, and one with a null hit without any."""
-    grams = item_windows(benchmark).select("gram", "len")
+    grams = windows.select("gram", "len")
+    times = dict(sorted(map(tuple, grams.groupBy("len").count().collect())))  # at most WINDOW lengths
     sets: list[Column] = []  # a subquery can't stand inside a lambda function, so each set is a column first
-    keys = {}
-
-    def column(made: tuple[Column, int]) -> tuple[Column, int]:
-        sets.append(made[0].alias(f"_set{len(sets)}"))
-        return F.col(f"_set{len(sets) - 1}"), made[1]
-
-    for n, times in sorted(map(tuple, grams.groupBy("len").count().collect())):  # at most WINDOW lengths
-        of_length = grams.where(F.col("len") == n).select(hash_at(F.split("gram", " "), F.lit(0), n).alias("h"))
-        keys[n] = (column(hash_set(anchors_of(grams, n), times * anchor_of(n)[1])), column(hash_set(of_length, times)))
+    known: list[tuple[Column, int]] = []
+    for k, anchors in enumerate((True, False) if times else ()):
+        made = hash_set(hashes_of(grams, [*times], anchors), sum(t * (anchor_of(n)[1] if anchors else 1) for n, t in times.items()))
+        sets.append(made[0].alias(f"_set{k}"))
+        known.append((F.col(f"_set{k}"), made[1]))
     base = documents.select(
         "doc_id", F.xxhash64("text").alias("fp"), ngram_words(lower_ascii(F.col("text"))).alias("_w"), *sets
     )
@@ -113,17 +122,17 @@ def window_hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     def near(w: Column) -> Column:
         """Whether an aligned anchor of the text is known."""
         found = F.lit(False)
-        for n, (known, _) in keys.items():
+        for n in times:
             q, step = anchor_of(n)
-            found = found | F.exists(starts(w, q, step), lambda i: in_set(hash_at(w, i, q), *known))
+            found = found | F.exists(starts(w, q, step), lambda i: in_set(hash_at(w, i, q, n), *known[0]))
         return found
 
     none = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
 
     def hits(w: Column) -> Column:
         parts = [none]
-        for n, (_, known) in keys.items():
-            at = F.filter(starts(w, n), lambda i: in_set(hash_at(w, i, n), *known))
+        for n in times:
+            at = F.filter(starts(w, n), lambda i: in_set(hash_at(w, i, n, n), *known[1]))
             parts.append(
                 F.transform(
                     at,
@@ -160,9 +169,9 @@ def covered_words(hits: Column) -> Column:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, fp (a hash of the text), n_words, hits, items, n_hit, contaminated: a row for each document."""
-    windows = item_windows(benchmark).select("gram", "items")
-    verified = window_hits(documents, benchmark).select("*", F.col("hit.gram").alias("gram")).join(
-        windows, "gram", "left"
+    windows = stored(item_windows(benchmark), "windows")
+    verified = window_hits(documents, windows).select("*", F.col("hit.gram").alias("gram")).join(
+        windows.select("gram", "items"), "gram", "left"
     )
     found = F.when(F.col("items").isNotNull(), F.struct("hit.pos", "hit.len"))
     per_doc = verified.groupBy("doc_id", "fp").agg(

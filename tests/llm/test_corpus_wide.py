@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from docloom.llm import alignment, source_audit, substrings
+from docloom.llm import alignment, decontam, html_text, source_audit, substrings
 
 SF = "/root/testdata/sf0.001"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -199,3 +199,52 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     for made in (source_audit.audit(none), substrings.without_repeats(none), alignment.align(none, A, B)):
         assert made.collect() == []
+
+
+LONG = ", and more words of it, which go on for some while, so that it is long enough to count as prose."
+GOLDEN = [
+    ("<article><p>Short art.</p></article><div class=comments>" + f"<p>Reader says{LONG * 3}</p>" * 10 + "</div>", ["Short art."]),
+    (f"<article><h1>T</h1><p>A{LONG}</p><div class=alert><p>Note{LONG}</p></div><div class=share><a href=x>Tweet</a></div></article>", ["T", f"A{LONG}", f"Note{LONG}"]),
+    (f"<article><p>A{LONG}</p><div class=search-results-analysis><p>Search{LONG}</p></div></article><div class=search><p>Find</p></div>", [f"A{LONG}", f"Search{LONG}"]),
+    (f"<article><p>A{LONG}</p><section class=share-prices><p>Prices{LONG}</p></section><section id=respond><p>B{LONG * 9}</p></section></article>", [f"A{LONG}", f"Prices{LONG}"]),
+    (f"<div><p>A{LONG}</p><p>B{LONG}</p></div><div><p>The end.</p></div><div>Copyright</div>", [f"A{LONG}", f"B{LONG}", "The end."]),
+    (f"<article><p>Press the <button>Save</button> key, and <label>name</label> it well{LONG}</p><form><label>Mail</label></form></article>", [f"Press the Save key, and name it well{LONG}"]),
+    (f'<div class="post has-comments"><p>A{LONG}</p></div><div id=footer>x</div>', [f"A{LONG}"]),
+    (f"<div class=cookie-notice><p>We use cookies{LONG}</p></div><main><p>A{LONG}</p><p>B{LONG}</p></main>", [f"A{LONG}", f"B{LONG}"]),
+    (f"<main><p>A{LONG}</p><div class=related><ul><li><a href=x>Other{LONG}</a></ul></div></main>", [f"A{LONG}"]),
+    (f"<article><p>A{LONG}</p><div class=notice>Short note</div><div class=newsletter><p>Mail{LONG}</p></div></article>", [f"A{LONG}"]),
+]
+
+
+@pytest.mark.parametrize("page, want", GOLDEN)
+def test_pages_of_different_templates(page, want):
+    assert html_text.main_text(f"<html><body><nav><a href=/>Home</a></nav>{page}<footer>f</footer></body></html>").split("\n") == want
+
+
+def test_pages_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "u", "<p>x", 3, "t"), (1, "u", "<p>x", 4, "s"), (None, None, None, None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string"))
+    assert got.columns == ["page_id", "url", "text"] and sorted((r.text, str(r.page_id)) for r in got.collect()) == [("", "None"), ("x", "1"), ("x", "1")]
+
+
+@pytest.mark.parametrize("bits", [1 << 12, 1 << 20])
+def test_windows_of_many_lengths_share_two_sets(spark, monkeypatch, bits):
+    """Windows against brute force, also where the bits are so few that most places collide."""
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)
+    monkeypatch.setattr(decontam, "RUN", 8)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(1 + i % 16))) for i in range(60)]
+    docs = [(i, " ".join([*(rng.choice(words) for _ in range(40)), items[i % 60][1]])) for i in range(80)]
+    found = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_hit, sorted(r["items"])) for r in found.collect()}
+    for i, text in docs:
+        w, hit, named = text.split(), set(), set()
+        for k, item in items:
+            v = item.split()
+            n = min(13, len(v))
+            own = {tuple(v[j : j + n]) for j in range(len(v) - n + 1)}
+            at = [p for p in range(len(w) - n + 1) if tuple(w[p : p + n]) in own]
+            hit.update(p + j for p in at for j in range(n))
+            named.update([str(k)] if at else [])
+        assert got[i] == (len(hit), sorted(named))
