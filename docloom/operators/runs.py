@@ -85,15 +85,6 @@ def search_rounds(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame]
     return out
 
 
-def cross_source_pairs(documents: DataFrame, n: int) -> DataFrame:
-    """At most n pairs of documents of different sources for questions that need both: neighbours in the order of a hash
-    of the id, among the first 2 * n. No document meets all others."""
-    some = documents.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(2 * n)
-    order = Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")  # over the limited rows
-    nearby = some.select("doc_id", "source", F.lead("doc_id").over(order).alias("other"), F.lead("source").over(order).alias("other_source"), F.row_number().over(order).alias("at"))
-    return nearby.where("at % 2 = 1 and source <> other_source").select("doc_id", "other")
-
-
 def cosine(a: Column, b: Column) -> Column:
     """0 where one of the vectors is zero."""
 
@@ -183,15 +174,6 @@ def q_rates(spark, sf_dir):
     return answer_rates(made, "o_orderpriority")
 
 
-@query(
-    "cross_source_pairs",
-    """WITH s AS (SELECT doc_id, source, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) AS place FROM documents)
-SELECT s.doc_id, t.doc_id AS other FROM s JOIN s t ON t.place = s.place + 1 WHERE s.place % 2 = 1 AND s.place < 200 AND s.source <> t.source""",
-)
-def q_pairs(spark, sf_dir):
-    return cross_source_pairs(table(spark, sf_dir, "documents"), 100)
-
-
 @query(
     "semantic_breakpoints",
     """WITH RECURSIVE s AS MATERIALIZED (SELECT vec_id, label, 20 + vec_id % 60 AS n, row_number() OVER w AS place,
