@@ -135,17 +135,31 @@ def complexity(question: Column) -> Column:
     return let(stripped(F.coalesce(question, F.lit(""))), graded)
 
 
-def date_of(text: Column) -> Column:
-    """A date as yyyy-mm-dd: full dates, then year and month (the first day), else null. Months and days are checked."""
-    head = F.substring(text, 1, 3000)
-    y, m, d = (F.regexp_extract(head, r"(20[0-9]{2}|19[0-9]{2})[-/.年]\s?([0-9]{1,2})[-/.月]\s?([0-9]{1,2})", k) for k in (1, 2, 3))
-    y2, m2 = (F.regexp_extract(head, r"(20[0-9]{2}|19[0-9]{2})[-/.年]\s?([0-9]{1,2})", k) for k in (1, 2))
+#: Labels behind which a document states its date. Fixed values.
+DATE_LABELS = ["发布日期", "发布时间", "报告日期", "报告期", "日期", "公布日期"]
+DATE_HEAD = 3000  # characters that are looked at
 
-    def valid(month: Column, day: Column) -> Column:
-        return month.try_cast("int").between(1, 12) & day.try_cast("int").between(1, 31)
 
-    full = F.when(valid(m, d), F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
-    return F.coalesce(full, F.when(valid(m2, F.lit("1")), F.concat_ws("-", y2, F.lpad(m2, 2, "0"), F.lit("01"))))
+def date_of(text: Column) -> Column:
+    """A date as yyyy-mm-dd from the head of a text: the one behind a label, then a full date, then year and month.
+
+    Of each form the first match counts, and only if its month and day exist; a missing day is the first.
+    """
+    head = F.substring(text, 1, DATE_HEAD)
+    year, month, day = r"(20[0-9]{2})\s*", r"\s*([0-9]{1,2})\s*", r"\s*([0-9]{1,2})"
+    forms = [
+        ("(?:" + "|".join(DATE_LABELS) + r")[:：]?\s*" + year + r"[年\-/.]" + month + rf"(?:[月\-/.]{day})?", 3),
+        (year + r"[年\-/.]" + month + r"[月\-/.]" + day, 3),
+        (year + "年" + month + "月", 2),
+    ]
+
+    def dated(pattern: str, groups: int) -> Column:
+        y, m, *rest = [F.regexp_extract(head, pattern, k + 1) for k in range(groups)]
+        d = F.when(rest[0] == "", "1").otherwise(rest[0]) if rest else F.lit("1")
+        valid = m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31)
+        return F.when(valid, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+
+    return F.coalesce(*[dated(*f) for f in forms])
 
 
 def version_of(filename: Column) -> Column:

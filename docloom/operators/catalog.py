@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.tables import CODE, MAX_VALUE, REPORT_FIELDS, category_name_valid
 from docloom.plans.registry import query
 from docloom.session import table
 
@@ -160,21 +161,140 @@ def q_soft_delete(spark, sf_dir):
     return visible(_d(spark, sf_dir).withColumns({"is_current": ~gone, "is_deleted": gone})).groupBy("source").agg(F.count("*").alias("shown"))
 
 
-@query("delete_by_source", "SELECT doc_id, source FROM documents WHERE source <> 'src2'")
+def delete_sources(rows: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What stays of rows (source, version, …), and for each request (source, version) how many rows it takes, counted before.
+
+    A request without a version takes all versions of its source. Requests that take nothing are listed with 0.
+    """
+    asked = requests.select("source", F.col("version").alias("_v")).distinct()
+    hit = rows["source"] == asked["source"]
+    hit = hit & (asked["_v"].isNull() | (rows["version"] == asked["_v"]))
+    left = rows.join(asked, hit, "left_anti")
+    sizes = rows.groupBy("source", "version").agg(F.count("*").alias("_n"))
+    per = asked.join(sizes, "source", "left")
+    taken = F.sum(F.when(F.col("_v").isNull() | (F.col("_v") == F.col("version")), F.col("_n")))
+    return left, per.groupBy("source", F.col("_v").alias("version")).agg(F.coalesce(taken, F.lit(0)).cast("long").alias("deleted"))
+
+
+def rename_categories(rows: DataFrame, registry: DataFrame, requests: DataFrame, default: str = "default") -> tuple[DataFrame, DataFrame]:
+    """rows (category, …) with the categories renamed that may be, and each request (old, new) with what became of it.
+
+    Guards: the old category is known to the registry (category), the default one keeps its name, the new name is valid, no
+    category has it, and no two requests want the same name or rename the same category; of these none is done.
+    """
+    known = registry.select(F.col("category").alias("_c")).distinct()
+    asked = requests.select("old", "new").distinct()
+    twice = asked.withColumns({"_o": F.count("*").over(Window.partitionBy("old")), "_w": F.count("*").over(Window.partitionBy("new"))})
+    checked = twice.join(known.withColumnRenamed("_c", "_old"), F.col("old") == F.col("_old"), "left").join(known.withColumnRenamed("_c", "_new"), F.col("new") == F.col("_new"), "left")
+    status = (
+        F.when(F.col("_old").isNull(), "missing")
+        .when(F.col("old") == default, "default")
+        .when(~category_name_valid(F.col("new")), "invalid")
+        .when(F.col("_new").isNotNull(), "exists")
+        .when((F.col("_o") > 1) | (F.col("_w") > 1), "ambiguous")
+        .otherwise("renamed")
+    )
+    said = checked.select("old", "new", status.alias("status"))
+    done = said.where("status = 'renamed'").select(F.col("old").alias("category"), F.col("new").alias("_new"))
+    renamed = rows.join(done, "category", "left").withColumn("category", F.coalesce("_new", "category")).select(*rows.columns)
+    return renamed, said
+
+
+#: Fields that may be corrected by hand.
+PATCHABLE = ("date", "category", *REPORT_FIELDS)
+
+
+def patch_metadata(rows: DataFrame, patches: DataFrame, key: str = "source") -> tuple[DataFrame, DataFrame]:
+    """rows with the valid patches (key, field, value) applied and ``is_manual`` set, and each patch with its verdict.
+
+    Dates are normalised, a year alone to its first day; a security code has six digits; other values have up to 64
+    characters; '' clears a field other than the date. Only fields that the rows have can be patched. Of several patches of
+    one field the largest value counts.
+    """
+    fields = [f for f in PATCHABLE if f in rows.columns]
+    value = F.trim(F.col("value"))
+    day = F.when(value.rlike("^[0-9]{4}$"), F.concat(value, F.lit("-01-01"))).when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), value)
+    plain = F.when(F.length(value) <= MAX_VALUE, value)
+    code = F.when(value.rlike(f"^{CODE.pattern}$") | (value == ""), value)
+    normal = F.when(F.col("field") == "date", day).when(F.col("field") == "security_code", code).otherwise(plain)
+    judged = patches.withColumn("_value", F.when(F.col("field").isin(fields), normal)).join(rows.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left")
+    verdict = F.when(~F.col("field").isin(fields), "unknown field").when(F.col("_k").isNull(), "unknown key").when(F.col("_value").isNull(), "invalid value").otherwise("patched")
+    said = judged.withColumn("verdict", verdict)
+    columns = [F.max(F.when(F.col("field") == f, F.col("_value"))).alias(f"_new_{f}") for f in fields]
+    new = said.where("verdict = 'patched'").groupBy(key).agg(*columns, F.lit(True).alias("_hit"))
+    made = rows.drop("is_manual").join(new, key, "left")
+    out = [F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns if c != "is_manual"]
+    before = F.coalesce(F.col("is_manual"), F.lit(False)) if "is_manual" in rows.columns else F.lit(False)
+    if "is_manual" in rows.columns:
+        made = made.join(rows.select(key, "is_manual").groupBy(key).agg(F.max("is_manual").alias("is_manual")), key, "left")
+    return made.select(*out, F.coalesce("_hit", before).alias("is_manual")), said.select(key, "field", "value", "verdict")
+
+
+_SOURCES = "SELECT source, try_cast(substr(source, 4) AS INT) AS k FROM (SELECT DISTINCT source FROM documents)"
+
+
+def _sources(spark, sf_dir):
+    return _d(spark, sf_dir).select("source").distinct().withColumn("k", F.substring("source", 4, 9).try_cast("int"))
+
+
+@query(
+    "delete_by_source",
+    f"""WITH a AS (SELECT source, CASE WHEN k % 3 = 1 THEN 'en' END AS version FROM ({_SOURCES}) WHERE k % 3 < 2),
+l AS (SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.source = d.source AND (a.version IS NULL OR a.version = d.lang)) GROUP BY source)
+SELECT a.source, a.version, (SELECT count(*) FROM documents d WHERE d.source = a.source AND (a.version IS NULL OR a.version = d.lang)) AS deleted, coalesce(l.n, 0)::BIGINT AS rows_left FROM a LEFT JOIN l USING (source)""",
+)
 def q_delete_by_source(spark, sf_dir):
-    return _d(spark, sf_dir).where(F.col("source") != "src2").select("doc_id", "source")
+    """Every third source goes whole, every third one in English only; languages stand for versions."""
+    asked = _sources(spark, sf_dir).where("k % 3 < 2").select("source", F.when(F.col("k") % 3 == 1, "en").alias("version"))
+    left, taken = delete_sources(_d(spark, sf_dir).select("source", F.col("lang").alias("version")), asked)
+    sizes = left.groupBy("source").agg(F.count("*").alias("rows_left"))
+    return taken.join(sizes, "source", "left").select("source", "version", "deleted", F.coalesce("rows_left", F.lit(0)).alias("rows_left"))
 
 
-@query("rename_category", "SELECT CASE WHEN source = 'src4' THEN 'renamed' ELSE source END AS source, count(*) AS chunks FROM documents GROUP BY ALL")
+_RENAMES = f"SELECT source AS old, CASE k % 5 WHEN 0 THEN 'new_' || source WHEN 1 THEN 'src0' WHEN 2 THEN 'not valid!' WHEN 3 THEN 'same' ELSE 'to_' || k END AS new FROM ({_SOURCES}) UNION ALL SELECT 'nowhere_' || lang, 'x' FROM (SELECT DISTINCT lang FROM documents)"
+
+
+@query(
+    "rename_category",
+    f"""WITH r AS ({_RENAMES}), g AS (SELECT DISTINCT source FROM documents),
+s AS (SELECT old, new, CASE WHEN old NOT IN (FROM g) THEN 'missing' WHEN old = 'src0' THEN 'default' WHEN NOT regexp_full_match(new, '[\w-]{{1,64}}') THEN 'invalid' WHEN new IN (FROM g) THEN 'exists'
+ WHEN count(*) OVER (PARTITION BY new) > 1 THEN 'ambiguous' ELSE 'renamed' END AS status FROM r)
+SELECT coalesce(s.new, d.source) AS category, count(*) AS chunks, NULL AS status FROM documents d LEFT JOIN s ON s.old = d.source AND s.status = 'renamed' GROUP BY 1
+UNION ALL SELECT old || '>' || new, 0, status FROM s""",
+)
 def q_rename_category(spark, sf_dir):
-    renamed = F.when(F.col("source") == "src4", "renamed").otherwise(F.col("source"))
-    return _d(spark, sf_dir).groupBy(renamed.alias("source")).agg(F.count("*").alias("chunks"))
+    """Categories behind the renaming with their rows, and the requests with what became of them."""
+    k = F.col("k") % 5
+    new = F.when(k == 0, F.concat(F.lit("new_"), "source")).when(k == 1, "src0").when(k == 2, "not valid!").when(k == 3, "same").otherwise(F.concat(F.lit("to_"), F.col("k")))
+    asked = _sources(spark, sf_dir).select(F.col("source").alias("old"), new.alias("new"))
+    asked = asked.union(_d(spark, sf_dir).select(F.concat(F.lit("nowhere_"), "lang"), F.lit("x")).distinct())
+    rows = _d(spark, sf_dir).select(F.col("source").alias("category"))
+    renamed, said = rename_categories(rows, rows.distinct(), asked, "src0")
+    shown = renamed.groupBy("category").agg(F.count("*").alias("chunks")).withColumn("status", F.lit(None).cast("string"))
+    return shown.unionByName(said.select(F.concat_ws(">", "old", "new").alias("category"), F.lit(0).cast("long").alias("chunks"), "status"))
+
+
+_PATCHES = f"""SELECT source, 'date' AS field, CASE k % 3 WHEN 0 THEN '2023' WHEN 1 THEN '2024-05-06' ELSE 'May' END AS value FROM ({_SOURCES})
+UNION ALL SELECT source, 'security_code', CASE WHEN k % 2 = 0 THEN '60' || lpad(k::VARCHAR, 4, '0') ELSE '12345' END FROM ({_SOURCES}) UNION ALL SELECT source, 'owner', 'me' FROM ({_SOURCES}) WHERE k = 3
+UNION ALL SELECT 'none_' || source, 'date', '2020' FROM ({_SOURCES}) WHERE k = 4"""
 
 
-@query("patch_metadata", "SELECT doc_id, CASE WHEN source = 'src5' THEN 'zz' ELSE lang END AS lang, source = 'src5' AS is_manual FROM documents")
+@query(
+    "patch_metadata",
+    f"""WITH p AS ({_PATCHES}), v AS (SELECT *, CASE field WHEN 'date' THEN CASE WHEN regexp_full_match(value, '\d{{4}}') THEN value || '-01-01' WHEN regexp_full_match(value, '\d{{4}}-\d{{2}}-\d{{2}}') THEN value END
+ WHEN 'security_code' THEN CASE WHEN regexp_full_match(value, '[03468]\d{{5}}') THEN value END END AS n FROM p),
+o AS (SELECT source, max(n) FILTER (field = 'date') AS nd, max(n) FILTER (field = 'security_code') AS nc FROM v WHERE n IS NOT NULL GROUP BY source)
+SELECT coalesce(nd, '2000-01-01') AS date, coalesce(nc, '') AS security_code, o.source IS NOT NULL AS is_manual, count(*) AS n FROM documents d LEFT JOIN o USING (source) GROUP BY ALL""",
+)
 def q_patch_metadata(spark, sf_dir):
-    hit = F.col("source") == "src5"
-    return _d(spark, sf_dir).select("doc_id", F.when(hit, "zz").otherwise(F.col("lang")).alias("lang"), hit.alias("is_manual"))
+    """Dates and codes of the sources corrected, some of them wrongly; rows by what they have behind it."""
+    k, s = F.col("k"), _sources(spark, sf_dir)
+    date = F.when(k % 3 == 0, "2023").when(k % 3 == 1, "2024-05-06").otherwise("May")
+    code = F.when(k % 2 == 0, F.concat(F.lit("60"), F.lpad(k.cast("string"), 4, "0"))).otherwise("12345")
+    patches = s.select("source", F.lit("date").alias("field"), date.alias("value")).union(s.select("source", F.lit("security_code"), code))
+    patches = patches.union(s.where("k = 3").select("source", F.lit("owner"), F.lit("me"))).union(s.where("k = 4").select(F.concat(F.lit("none_"), "source"), F.lit("date"), F.lit("2020")))
+    rows = _d(spark, sf_dir).select("source", F.lit("2000-01-01").alias("date"), F.lit("").alias("security_code"))
+    return patch_metadata(rows, patches)[0].groupBy("date", "security_code", "is_manual").agg(F.count("*").alias("n"))
 
 
 @query("filter_predicates", "SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND source = 'src0' AND n_chars >= 500 AND n_chars < 5000")

@@ -19,7 +19,8 @@ SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", "，", " ", ""]
 CHUNK, OVERLAP = 2048, 200
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 TABLE_LIMIT = 8000
-TABLE_NOTE = "\n(table truncated)"
+#: Behind a table that was cut. Fixed value.
+TABLE_NOTE = "\n\n（表已截断，可点击查看完整表）"
 
 
 def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators: list[str] | None = None) -> list[str]:

@@ -141,6 +141,25 @@ def q_distinct_queries(spark, sf_dir):
     return found.select("user_id", F.array_join("q", "|").alias("queries"))
 
 
+@query(
+    "text_date",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (2, 5) OR year(o_orderdate) < 2000 AND o_orderkey % 6 NOT IN (0, 1) THEN NULL
+ WHEN year(o_orderdate) < 2000 THEN '2001-0' || (o_orderkey % 6 + 1) || '-01' WHEN o_orderkey % 6 IN (3, 4) THEN strftime(o_orderdate, '%Y-%m-01') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders""",
+)
+def q_text_date(spark, sf_dir):
+    """Orders' dates as a text may state them: behind a label, in full, behind an impossible one, without a day, not at all."""
+    k, d = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    text = (
+        F.when(k == 0, F.concat(F.lit("1999-01-01 报告日期： "), F.date_format(d, "yyyy年MM月dd日"), F.lit(" 2001-01-01")))
+        .when(k == 1, F.concat(F.lit("by no one "), F.date_format(d, "yyyy/MM/dd"), F.lit(" 2001年2月")))
+        .when(k == 2, F.concat(F.lit("发布时间:2024-13-01 "), F.date_format(d, "yyyy.MM.dd")))
+        .when(k == 3, F.concat(F.lit("in "), F.date_format(d, "yyyy 年 MM 月")))
+        .when(k == 4, F.concat(F.lit("日期："), F.date_format(d, "yyyy-MM")))
+        .otherwise(F.col("o_orderpriority"))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", date_of(text).alias("day"))
+
+
 @query(
     "resolved_date",
     """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '2020-02-02' WHEN 1 THEN '2024-03-05' WHEN 2 THEN '2023-05-06' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders""",
