@@ -25,10 +25,11 @@ OCR_GARBAGE = "[\ufffd\uf0b7\uf0d8]+"
 PICTURE_WORDS = "一幅|画面|描绘|图中所示|插图显示"
 NUMBERED_LINE = r"^[\(（]?[一二三四五六七八九十\d]+[\)）]?[、\.．\s]"
 #: Words of notices, ratings and contact blocks. Fixed values.
-BOILERPLATE_WORDS = (
-    "免责声明 特别声明 重要声明 分析师声明 分析师承诺 证券分析师承诺 投资评级说明 评级说明 评级体系 投资评级标准 行业投资评级 资料来源 数据来源 地址："
-    " 邮编： 公司网址 联系电话 法律声明 版权声明 联系我们 风险提示 免责条款 适当性管理办法 分析师： 执业证书 登记编号 SAC 证书编号 演示完毕 谢谢观看 图表目录 目录"
-).split() + ["THANK YOU"]
+BOILERPLATE_WORDS = [
+    "免责声明", "特别声明", "重要声明", "分析师声明", "分析师承诺", "证券分析师承诺", "投资评级说明", "评级说明", "评级体系", "投资评级标准", "行业投资评级",
+    "资料来源", "数据来源", "地址：", "邮编：", "公司网址", "联系电话", "法律声明", "版权声明", "联系我们", "风险提示", "免责条款", "适当性管理办法",
+    "分析师：", "执业证书", "登记编号", "SAC", "证书编号", "THANK YOU", "演示完毕", "谢谢观看", "图表目录", "目录",
+]
 IMAGE_START = r"^!\[\]\(images/|^\[图片\]"
 #: Words of a question that asks for more than one thing. Fixed values.
 COMPLEX_HINTS = "对比 区别 差异 比较 以及 分别 步骤 流程 影响 原因 为什么 如何 有哪些 关系 优缺点".split()

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import COMPLEX_HINTS, complexity
+from docloom.functions.text import BOILERPLATE_WORDS, COMPLEX_HINTS, IMAGE_START, complexity, is_boilerplate
 from docloom.operators.answers import _units_sql, text_units, unit_f1
 from docloom.operators.ingest import TABLE_LIMIT, TABLE_NOTE
+from docloom.operators.quality import located
 from docloom.operators.retrieval import _bm25_sql, _dense_sql, bm25, dense, query_vectors, vectors
 from docloom.operators.tables import page_label
 from docloom.plans.registry import query
@@ -208,8 +209,8 @@ def paired_cases(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cases.select("case_id", "tier"), pairs.select("tier", "metric", "case_id", of("ma").alias("before"), of("mb").alias("after"))
 
 
-def compare_metrics(a: DataFrame, b: DataFrame, resamples: int = 10_000, seed: int = 7) -> DataFrame:
-    """tier, metric, n, coverage, baseline, candidate, delta, wins, losses, ties, lo, hi, verdict of two runs."""
+def paired_means(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tier, metric, n, coverage, baseline, candidate, delta, wins, losses, ties of two runs, and the differences behind them."""
     cases, pairs = paired_cases(a, b)
     both = F.col("before").isNotNull() & F.col("after").isNotNull()
     diff = F.when(both, F.col("after") - F.col("before"))
@@ -227,10 +228,15 @@ def compare_metrics(a: DataFrame, b: DataFrame, resamples: int = 10_000, seed: i
         n(diff == 0).alias("ties"),
     )
     sizes = cases.groupBy("tier").agg(F.count("*").alias("cases"))
-    drawn = bootstrap(pairs.where(both).select("tier", "metric", "case_id", diff.alias("delta")), resamples, seed)
-    drawn = drawn.select("tier", "metric", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
-    joined = summed.join(sizes, "tier").join(drawn, ["tier", "metric"], "left").withColumn("coverage", F.round(F.col("n") / F.col("cases"), 4))
-    return joined.drop("cases").withColumn("verdict", verdict(F.col("n"), F.col("lo"), F.col("hi")))
+    joined = summed.join(sizes, "tier").withColumn("coverage", F.round(F.col("n") / F.col("cases"), 4)).drop("cases")
+    return joined, pairs.where(both).select("tier", "metric", "case_id", diff.alias("delta"))
+
+
+def compare_metrics(a: DataFrame, b: DataFrame, resamples: int = 10_000, seed: int = 7) -> DataFrame:
+    """The paired means of two runs with lo and hi, the interval of the mean difference, and the verdict by it."""
+    means, differences = paired_means(a, b)
+    drawn = bootstrap(differences, resamples, seed).select("tier", "metric", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return means.join(drawn, ["tier", "metric"], "left").withColumn("verdict", verdict(F.col("n"), F.col("lo"), F.col("hi")))
 
 
 def decide(compared: DataFrame, primary: str, guardrails: list[str], least_coverage: float = 0.95) -> DataFrame:
@@ -272,7 +278,7 @@ SELECT tier, metric, n, round(n / cases, 4) AS coverage, baseline, candidate, de
 
 @query("run_comparison", _METRIC_SQL)
 def q_run_comparison(spark, sf_dir):
-    return compare_metrics(*_metric_runs(spark, sf_dir), 100).drop("lo", "hi", "verdict")
+    return paired_means(*_metric_runs(spark, sf_dir))[0]
 
 
 @query("bootstrap_ci")
@@ -321,15 +327,61 @@ def q_stratified(spark, sf_dir):
     return table(spark, sf_dir, "labels").withColumn("n", F.row_number().over(order)).where("n <= 20").select("quality", "doc_id")
 
 
-@query("boilerplate_diagnostics", _bm25_sql() + r"""SELECT count(*) AS slots, sum(CASE WHEN length(d.text) < 150 THEN 1 ELSE 0 END)::BIGINT AS short_slots,
- round(avg(CASE WHEN length(d.text) < 150 THEN 1 ELSE 0 END), 5) AS share FROM bm25 JOIN documents d USING (doc_id)""")
+def evidence_diagnostics(evidence: DataFrame, ranked_hits: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
+    """One row: how much of the evidence the results hold, and what takes their places.
+
+    evidence (qid, doc_id) is looked for among ranked_hits (qid, pos, doc_id), which is the whole pool: in its first ``top``
+    rows (exact_hit), its first three (rank3), anywhere (pool_hit), and by its source among those of the first ones (doc_hit).
+    chunks (doc_id, source, block_type, text) say what the first rows are: notices, images, tables or other texts.
+    """
+    first = ranked_hits.where(F.col("pos") <= top)
+    known = chunks.select("doc_id", "source")
+    found = evidence.select("qid", "doc_id").distinct().join(ranked_hits.select("qid", "doc_id", "pos"), ["qid", "doc_id"], "left").join(known, "doc_id", "left")
+    shown = first.join(known, "doc_id").select("qid", "source", F.lit(True).alias("_shown")).where("source <> ''").distinct()
+    judged = found.join(shown, ["qid", "source"], "left")
+
+    def n(c: Column) -> Column:
+        return F.count(F.when(c, 1))
+
+    totals = judged.agg(
+        F.count("*").alias("evidence"), n(F.col("pos") <= top).alias("exact_hit"), n(F.col("pos") <= min(3, top)).alias("rank3"),
+        n(F.col("pos").isNotNull()).alias("pool_hit"), n(F.col("_shown")).alias("doc_hit"),
+    )
+    kind = F.coalesce(F.col("block_type"), F.lit(""))
+    notice = is_boilerplate(F.coalesce("text", F.lit("")), F.col("block_type"))
+    slots = first.select("qid", "doc_id").join(chunks.select("doc_id", "block_type", "text"), "doc_id", "left").select(
+        F.when(notice & (kind != "image"), "boilerplate").when(notice, "image").when(kind == "table", "table").otherwise("text").alias("slot")
+    )
+    names = ("boilerplate", "image", "table", "text")
+    parts = slots.agg(F.count("*").alias("slots"), *[n(F.col("slot") == x).alias(f"{x}_slots") for x in names])
+    return totals.join(F.broadcast(parts))  # one row each
+
+
+_KIND = "CASE WHEN doc_id % 7 = 0 THEN 'image' WHEN doc_id % 5 = 0 THEN 'table' ELSE 'text' END"
+_CHUNK = "CASE WHEN doc_id % 9 = 0 THEN '资料来源：' || text ELSE text END"
+
+
+@query(
+    "boilerplate_diagnostics",
+    _bm25_sql(k=20)
+    + f""", k AS (SELECT doc_id, source, {_KIND} AS bt, {_CHUNK} AS text FROM documents),
+e AS (SELECT b.item_id AS qid, d.doc_id, d.source FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+j AS (SELECT e.*, h.pos, EXISTS (SELECT 1 FROM bm25 x JOIN k USING (doc_id) WHERE x.qid = e.qid AND x.pos <= 5 AND k.source = e.source) AS shown FROM e LEFT JOIN bm25 h ON h.qid = e.qid AND h.doc_id = e.doc_id),
+t AS (SELECT count(*) AS evidence, count(CASE WHEN pos <= 5 THEN 1 END) AS exact_hit, count(CASE WHEN pos <= 3 THEN 1 END) AS rank3, count(pos) AS pool_hit, count(CASE WHEN shown THEN 1 END) AS doc_hit FROM j),
+s AS (SELECT CASE WHEN bt = 'image' OR regexp_matches(trim(text), '{IMAGE_START}') THEN CASE WHEN bt = 'image' THEN 'image' ELSE 'boilerplate' END
+ WHEN regexp_matches(left(text, 120), '{"|".join(BOILERPLATE_WORDS)}') OR length(trim(text)) < 40 AND regexp_matches(text, '{"|".join(BOILERPLATE_WORDS)}') THEN 'boilerplate' WHEN bt = 'table' THEN 'table' ELSE 'text' END AS slot FROM bm25 JOIN k USING (doc_id) WHERE pos <= 5),
+p AS (SELECT count(*) AS slots, count(CASE WHEN slot = 'boilerplate' THEN 1 END) AS boilerplate_slots, count(CASE WHEN slot = 'image' THEN 1 END) AS image_slots, count(CASE WHEN slot = 'table' THEN 1 END) AS table_slots, count(CASE WHEN slot = 'text' THEN 1 END) AS text_slots FROM s)
+SELECT * FROM t, p""",
+)
 def q_diagnostics(spark, sf_dir):
+    """The documents that hold a benchmark passage are its evidence; some documents stand for images, tables and notices."""
     docs = table(spark, sf_dir, "documents")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    short = F.when(F.length("text") < 150, 1).otherwise(0)
-    return bm25(docs, q, 5).join(docs.select("doc_id", "text"), "doc_id").agg(
-        F.count("*").alias("slots"), F.sum(short).cast("long").alias("short_slots"), F.round(F.avg(short), 5).alias("share")
-    )
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    evidence = located(items, docs.select("doc_id", "text")).select(F.col("item_id").alias("qid"), "doc_id").distinct()
+    pool = bm25(docs, items.select(F.col("item_id").alias("qid"), F.col("quote").alias("text")), 20)
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("资料来源："), "text")).otherwise(F.col("text")).alias("text")
+    kind = F.when(F.col("doc_id") % 7 == 0, "image").when(F.col("doc_id") % 5 == 0, "table").otherwise("text").alias("block_type")
+    return evidence_diagnostics(evidence, pool, docs.select("doc_id", "source", kind, text))
 
 
 #: Questions of all lengths, with hint words and question marks, from the names of parts.

@@ -64,8 +64,8 @@ def q_content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.md5(normal).alias("normal_hash"))
 
 
-_LISTED = "list_transform(string_split(text, chr(10)), lambda x: CASE WHEN doc_id % 3 = 0 THEN '（一）、' || left(x, 20) WHEN doc_id % 3 = 1 THEN x ELSE x || ' 一幅' END)"
-_TITLED = "CASE WHEN doc_id % 4 = 0 THEN '资料来源' || text WHEN doc_id % 4 = 1 THEN left(text, 30) || '目录' WHEN doc_id % 4 = 2 THEN ' [图片] ' || text ELSE text END"
+_LISTED = "list_transform(string_split(text, chr(10)), lambda x: CASE WHEN doc_id % 3 = 0 THEN '（一）、' || x WHEN doc_id % 3 = 1 THEN x ELSE x || ' 一幅' END)"
+_TITLED = "CASE WHEN doc_id % 4 = 0 THEN '资料来源' || text WHEN doc_id % 4 = 1 THEN text || '目录' WHEN doc_id % 4 = 2 THEN ' [图片] ' || text ELSE text END"
 
 
 @query(
@@ -79,7 +79,7 @@ def q_low_quality(spark, sf_dir):
     """A third of the texts with every line made a numbered entry, a third as a picture's description."""
 
     def line(x):
-        entry = F.concat(F.lit("（一）、"), F.substring(x, 1, 20))
+        entry = F.concat(F.lit("（一）、"), x)
         return F.when(F.col("doc_id") % 3 == 0, entry).when(F.col("doc_id") % 3 == 1, x).otherwise(F.concat(x, F.lit(" 一幅")))
 
     text = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
@@ -93,7 +93,7 @@ def q_low_quality(spark, sf_dir):
 )
 def q_boilerplate(spark, sf_dir):
     k, text = F.col("doc_id") % 4, F.col("text")
-    made = F.when(k == 0, F.concat(F.lit("资料来源"), text)).when(k == 1, F.concat(F.substring(text, 1, 30), F.lit("目录"))).when(k == 2, F.concat(F.lit(" [图片] "), text)).otherwise(text)
+    made = F.when(k == 0, F.concat(F.lit("资料来源"), text)).when(k == 1, F.concat(text, F.lit("目录"))).when(k == 2, F.concat(F.lit(" [图片] "), text)).otherwise(text)
     return table(spark, sf_dir, "documents").where(is_boilerplate(made)).select("doc_id")
 
 
