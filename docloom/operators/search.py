@@ -15,6 +15,7 @@ from docloom.operators.retrieval import (
 )
 from docloom.plans.registry import query
 from docloom.session import table
+from docloom.sources.scratch import stored
 
 Rerank = Callable[[DataFrame], DataFrame]
 SUPPOSED = 0.5  # weight of the scores of a search for a supposed answer
@@ -99,7 +100,11 @@ def search(
 def evaluate_layers(
     first: DataFrame, second: DataFrame, relevant: DataFrame, rerank: Rerank, layers: dict[str, Search] = LAYERS, at: int = 5, **steps: DataFrame
 ) -> DataFrame:
-    """layer, n, recall, precision, mrr of the ``at`` first results: means over the queries of relevant (qid, doc_id)."""
+    """layer, n, recall, precision, mrr of the ``at`` first results: means over the queries of relevant (qid, doc_id).
+
+    The channels are written to the shared folder once, as every layer reads them.
+    """
+    first, second = stored(first.select(*NAMES), "dense"), stored(second.select(*NAMES), "sparse")
     found = None
     for name, how in layers.items():
         rows = search(first, second, how, rerank, **steps).where(F.col("pos") <= at).select(F.lit(name).alias("layer"), "qid", "pos", "doc_id")
@@ -283,6 +288,7 @@ _SECOND_SQL = _bm25_sql("WHERE doc_id IN (SELECT vec_id FROM embeddings)", DEPTH
 def q_retrieve(spark, sf_dir):
     """Two wordings of each question, the dense search in place of the one for a supposed answer, and as the way out."""
     first, second, _, rerank, steps = _channels(spark, sf_dir, DEPTH)
+    first, second = stored(first, "dense"), stored(second, "sparse")
     rows = table(spark, sf_dir, "documents").join(vectors(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
     wording = steps["keywords"].select("qid", F.array_join("keywords", " ").alias("text"))
     other = ranked(bm25(rows, wording, DEPTH + 1).where("qid <> doc_id").select("qid", "doc_id", "score"), DEPTH)
