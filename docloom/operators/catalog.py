@@ -256,7 +256,7 @@ _RENAMES = f"SELECT source AS old, CASE k % 5 WHEN 0 THEN 'new_' || source WHEN
 
 @query(
     "rename_category",
-    f"""WITH r AS ({_RENAMES}), g AS (SELECT DISTINCT source FROM documents),
+    rf"""WITH r AS ({_RENAMES}), g AS (SELECT DISTINCT source FROM documents),
 s AS (SELECT old, new, CASE WHEN old NOT IN (FROM g) THEN 'missing' WHEN old = 'src0' THEN 'default' WHEN NOT regexp_full_match(new, '[\w-]{{1,64}}') THEN 'invalid' WHEN new IN (FROM g) THEN 'exists'
  WHEN count(*) OVER (PARTITION BY new) > 1 THEN 'ambiguous' ELSE 'renamed' END AS status FROM r)
 SELECT coalesce(s.new, d.source) AS category, count(*) AS chunks, NULL AS status FROM documents d LEFT JOIN s ON s.old = d.source AND s.status = 'renamed' GROUP BY 1
@@ -281,7 +281,7 @@ UNION ALL SELECT 'none_' || source, 'date', '2020' FROM ({_SOURCES}) WHERE k = 4
 
 @query(
     "patch_metadata",
-    f"""WITH p AS ({_PATCHES}), v AS (SELECT *, CASE field WHEN 'date' THEN CASE WHEN regexp_full_match(value, '\d{{4}}') THEN value || '-01-01' WHEN regexp_full_match(value, '\d{{4}}-\d{{2}}-\d{{2}}') THEN value END
+    rf"""WITH p AS ({_PATCHES}), v AS (SELECT *, CASE field WHEN 'date' THEN CASE WHEN regexp_full_match(value, '\d{{4}}') THEN value || '-01-01' WHEN regexp_full_match(value, '\d{{4}}-\d{{2}}-\d{{2}}') THEN value END
  WHEN 'security_code' THEN CASE WHEN regexp_full_match(value, '[03468]\d{{5}}') THEN value END END AS n FROM p),
 o AS (SELECT source, max(n) FILTER (field = 'date') AS nd, max(n) FILTER (field = 'security_code') AS nc FROM v WHERE n IS NOT NULL GROUP BY source)
 SELECT coalesce(nd, '2000-01-01') AS date, coalesce(nc, '') AS security_code, o.source IS NOT NULL AS is_manual, count(*) AS n FROM documents d LEFT JOIN o USING (source) GROUP BY ALL""",

@@ -246,7 +246,15 @@ def q_sections(spark, sf_dir):
     return markdown_sections(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "heading_path", F.md5("content").alias("content_md5"))
 
 
-@query("doc_simhash")
+@query(
+    "doc_simhash",
+    r"""WITH p AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', '', 'g')) AS t FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, length(t) - 2) + 1), lambda i: substr(t, i, 3))) AS gram FROM p WHERE t <> ''),
+c AS (SELECT doc_id, ('0x' || substr(md5(gram), 1, 16))::UBIGINT AS h, count(*) AS n FROM g GROUP BY doc_id, gram),
+b AS (SELECT doc_id, k, sum(CASE WHEN (h >> k::UBIGINT) & 1 = 1 THEN n ELSE -n END) AS votes FROM c, range(64) r(k) GROUP BY doc_id, k),
+v AS (SELECT doc_id, sum(CASE WHEN votes > 0 THEN pow(2::DOUBLE, k % 32)::HUGEINT * CASE WHEN k >= 32 THEN 4294967296::HUGEINT ELSE 1 END ELSE 0 END)::HUGEINT AS s FROM b GROUP BY doc_id)
+SELECT p.doc_id, coalesce(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END, 0)::BIGINT AS simhash FROM p LEFT JOIN v USING (doc_id)""",
+)
 def q_simhash(spark, sf_dir):
     return with_simhash(table(spark, sf_dir, "documents")).select("doc_id", "simhash")
 
