@@ -27,7 +27,11 @@ RECORDS = (
     "pre_cliff_depth:int,post_cliff_depth:int>, answer string, latency_ms double, error string"
 )
 REVIEW = ["id", "query", "reference_answer", "review_status", "reviewer", "review_note"]
-BLOCKS = "array<struct<type:string,text:string,table_body:string,code_body:string,image_caption:array<string>,table_caption:array<string>,page_idx:int>>"
+#: Fields of a block that hold its text, and its captions where there is none, in the order in which they count. Fixed values.
+BLOCK_TEXTS = ["text", "table_body", "code_body"]
+BLOCK_CAPTIONS = ["img_caption", "table_caption", "chart_caption"]
+BLOCKS = "array<struct<type:string," + "".join(f"{c}:string," for c in BLOCK_TEXTS) + "".join(f"{c}:array<string>," for c in BLOCK_CAPTIONS) + "page_idx:int>>"
+CONTENT_LIST = "content_list.json"
 
 
 def _binary(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
@@ -74,19 +78,39 @@ def main_markdown(files: DataFrame, group: str, path: str = "path") -> DataFrame
     return found.groupBy(group).agg(F.min_by(path, F.struct(F.size(F.split(path, "/")), F.col(path))).alias(path))
 
 
+def content_list_of(files: DataFrame, group: str, path: str = "path") -> DataFrame:
+    """The content list of each group: of files whose names end like one, the shallowest, then the first by name.
+
+    Names carry the document's before the ending; lists of the second kind end otherwise and are never taken.
+    """
+    found = files.where(F.col(path).endswith(CONTENT_LIST))
+    return found.groupBy(group).agg(F.min_by(path, F.struct(F.size(F.split(path, "/")), F.col(path))).alias(path))
+
+
 def page_blocks(content_list: Column) -> Column:
-    """array<struct<text, page>> of a parser's content list in JSON; entries without text or page are left out."""
+    """array<struct<text, page>> of a parser's content list in JSON; entries without text or a page that can be are left out.
+
+    The first text that is not blank counts, else the first list of captions that has any.
+    """
 
     def text_of(b: Column) -> Column:
-        filled = [F.when(F.trim(b[c]) != "", b[c]) for c in ("text", "table_body", "code_body")]
-        captions = F.array_join(F.concat(*[F.coalesce(b[c], F.array().cast("array<string>")) for c in ("table_caption", "image_caption")]), " ")
-        return F.coalesce(*filled, captions)
+        filled = [F.nullif(F.trim(b[c]), F.lit("")) for c in BLOCK_TEXTS]
+        trimmed = [F.filter(F.transform(F.coalesce(b[c], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "") for c in BLOCK_CAPTIONS]
+        return F.coalesce(*filled, *[F.nullif(F.array_join(x, " "), F.lit("")) for x in trimmed])
 
-    made = F.transform(F.from_json(content_list, BLOCKS), lambda b: F.struct(F.trim(text_of(b)).alias("text"), (b["page_idx"] + 1).alias("page")))
-    kept = F.filter(made, lambda b: (b["text"] != "") & b["page"].isNotNull())
+    made = F.transform(F.from_json(content_list, BLOCKS), lambda b: F.struct(text_of(b).alias("text"), (b["page_idx"] + 1).alias("page")))
+    kept = F.filter(made, lambda b: b["text"].isNotNull() & (b["page"] >= 1))
     return F.coalesce(kept, F.array().cast("array<struct<text:string,page:int>>"))
 
 
+def chosen_blocks(parsed: Column, plain: Column) -> Column:
+    """blocks and origin: the parser's own blocks where there are any, else those of the plain text, else none."""
+    none = F.array().cast("array<struct<text:string,page:int>>")
+    own, other = F.coalesce(parsed, none), F.coalesce(plain, none)
+    origin = F.when(F.size(own) > 0, "content_list").when(F.size(other) > 0, "pdf_text").otherwise("none")
+    return F.struct(F.when(F.size(own) > 0, own).otherwise(other).alias("blocks"), origin.alias("origin"))
+
+
 def object_key_accepted(key: Column) -> Column:
     return key.startswith("docs/") & ~key.startswith("docs/_internal/")
 
@@ -149,6 +173,20 @@ def parse_questions(markdown: str) -> list[dict]:
     return out
 
 
+def question_markdown(number: Column, question: Column, meta: Column, answer: Column) -> Column:
+    """A question as ``parse_questions`` reads it: meta is a map, whose fields are listed by name."""
+    names = F.array_sort(F.map_keys(F.coalesce(meta, F.create_map().cast("map<string,string>"))))
+    fields = F.transform(names, lambda k: F.concat(F.lit("- **"), k, F.lit("**: "), F.coalesce(F.try_element_at(meta, k), F.lit(""))))
+    head = F.concat(F.lit("## "), number.cast("string"), F.lit(". "), question)
+    return F.concat(F.array_join(F.concat(F.array(head), fields), "\n"), F.lit("\n### 标准答案\n"), F.coalesce(answer, F.lit("")), F.lit("\n---\n"))
+
+
+def write_questions(questions: DataFrame, path: str, parts: int = 1) -> None:
+    """Writes questions (number, query, meta, answer) as Markdown, in order; more parts are files of ranges of numbers."""
+    lines = questions.select("number", question_markdown(F.col("number"), F.col("query"), F.col("meta"), F.col("answer")).alias("value"))
+    lines.repartitionByRange(parts, "number").sortWithinPartitions("number").select("value").write.mode("overwrite").text(path)
+
+
 def read_questions(texts: DataFrame) -> DataFrame:
     """source, number, query, meta (JSON), answer of all questions in Markdown texts (source, text)."""
 

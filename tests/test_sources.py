@@ -32,7 +32,7 @@ def test_markdown_choice_and_blocks(spark):
     assert {r.doc: r.path for r in files.main_markdown(rows, "doc").collect()} == {"d": "o/c.md", "e": "o/y.markdown"}
     blocks = [
         {"type": "text", "text": " one ", "page_idx": 0}, {"type": "table", "text": "", "table_body": "<table>", "page_idx": 1},
-        {"type": "image", "image_caption": ["c", "d"], "page_idx": 2}, {"type": "text", "text": "lost"}, {"type": "text", "text": " ", "page_idx": 3},
+        {"type": "image", "img_caption": [" "], "table_caption": ["c ", "d"], "chart_caption": ["e"], "page_idx": 2}, {"text": "before", "page_idx": -1}, {"type": "text", "text": "lost"}, {"type": "text", "text": " ", "page_idx": 3},
     ]
     row = spark.range(1).select(
         files.page_blocks(F.lit(json.dumps(blocks))).alias("a"), files.page_blocks(F.lit("no json")).alias("b"), files.stem(F.lit("d/r.v1.pdf")).alias("c")
@@ -40,6 +40,25 @@ def test_markdown_choice_and_blocks(spark):
     assert [(x.text, x.page) for x in row.a] == [("one", 1), ("<table>", 2), ("c d", 3)] and row.b == [] and row.c == "r.v1"
 
 
+def test_content_lists_and_fallback(spark):
+    paths = ["o/x/D_content_list.json", "o/D_content_list_v2.json", "o/y/A_content_list.json", "o/z/w/content_list.json"]
+    rows = spark.createDataFrame([("d", p) for p in paths] + [("e", "o/other.json")], "doc string, path string")
+    assert {r.doc: r.path for r in files.content_list_of(rows, "doc").collect()} == {"d": "o/x/D_content_list.json"}
+    kind = "array<struct<text:string,page:int>>"
+    cases = spark.createDataFrame([([("a", 1)], [("b", 2)]), ([], [("b", 2)]), (None, None)], f"p {kind}, q {kind}")
+    got = [r.c for r in cases.select(files.chosen_blocks(F.col("p"), F.col("q")).alias("c")).collect()]
+    assert [(c.origin, [b.text for b in c.blocks]) for c in got] == [("content_list", ["a"]), ("pdf_text", ["b"]), ("none", [])]
+
+
+def test_questions_are_read_as_they_were_written(spark, tmp_path):
+    rows = [(i, f"Question {i}?", {"type": "single", "a b": f"v {i}"}, f"answer {i}\n\nsecond line") for i in range(1, 25)] + [(25, "Last", None, None)]
+    made = spark.createDataFrame(rows, "number int, query string, meta map<string,string>, answer string")
+    files.write_questions(made, f"file://{tmp_path}/set", 3)
+    texts = spark.read.text(f"file://{tmp_path}/set", wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("text"))
+    got = sorted((r.number, r.query, json.loads(r.meta), r.answer) for r in files.read_questions(texts).collect())
+    assert got == [(n, q, m or {}, a or "") for n, q, m, a in rows] and texts.count() == 3
+
+
 def test_cases_review_and_resume(spark, tmp_path):
     path = f"file://{tmp_path}"
     rows = [json.dumps({"id": i, "query": 'say "x",\ny', "evidence": [{"source": "s", "quote": "q"}], "review_status": "pending"}) for i in ("1", "2")]
