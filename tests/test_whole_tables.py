@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import pages, sampling, text_index
+from docloom.operators import pages, retrieval, sampling, text_index
 from docloom.operators.retrieval import bm25, ranked, tokens
 from docloom.operators.tables import page_of
 
@@ -107,3 +107,15 @@ def test_fingerprint_depends_on_rows_and_keys_only(spark):
     assert first[0] == 300 and first == of(random.Random(1).sample(rows, 300), parts=7)
     assert first != of([*rows[:-1], (rows[-1][0], "other")]) and first != of(rows[1:]) and first != of([(rows[0][0], rows[1][1]), (rows[1][0], rows[0][1]), *rows[2:]])
     assert of([])[0] == 0 and of([(-5, "a"), (5, "b")]) != of([(5, "a"), (-5, "b")])
+
+
+@pytest.mark.parametrize("name, value", [("SCORED_DOCS", 7), ("BATCH_TERMS", 3), ("SCORED_DOCS", 512)])
+def test_both_ways_of_bm25_agree(spark, corpus, monkeypatch, name, value):
+    docs, asked = corpus
+    monkeypatch.setattr(retrieval, name, value)
+    docs = docs.union(spark.createDataFrame([(1000, None), (1001, ""), (1002, "w0 " * 2000)], docs.schema)).repartition(3)
+    for k in (1, 5, 500):
+        got, want = (sorted(map(tuple, f(docs, asked, k).select("qid", "pos", "doc_id", "score").collect())) for f in (bm25, retrieval.bm25_joined))
+        assert got == want and got
+    none = bm25(docs.where("false"), asked, 5), bm25(docs, asked.where("false"), 5)
+    assert [x.collect() for x in none] == [[], []]
