@@ -12,7 +12,7 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query; without SQL the driver checks its rows only and tests/ compares it with a plain version."""
+    """Registers a query; what SQL cannot express is tested on literal cases or against a plain version where there is one."""
 
     def add(f: Query) -> Query:
         QUERIES[name] = f
