@@ -388,14 +388,14 @@ def test_secrets_control_over_all_rows(spark):
 
 
 def test_licenses(spark, odd):
-    texts = [(1, "Foo. Released under the MIT License. All rights reserved."), (2, "MIT License"), (3, None)]
+    texts = [(1, "Foo. Released under the MIT License. All rights reserved."), (2, "the MIT License as such"), (3, None)]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[1].licenses == ["All-Rights-Reserved", "MIT"] and got[2].licenses == [] and got[3].sentence_ids == []
     grant, notice = licenses.SENTENCES["mit_grant"][0], licenses.SENTENCES["mit_notice"][0]
     both = spark.createDataFrame([(1, f"{grant}. {notice}."), (2, f"{notice}. {grant}.")], "doc_id long, text string")
     assert {r.doc_id: r.licenses for r in licenses.scan_licenses(both).collect()} == {1: ["MIT"], 2: []}
     assert licenses.scan_licenses(odd).count() == odd.count()
-    assert all(any(a in s for a in licenses.ANCHORS) for v in licenses.SENTENCES.values() for s in v)
+    assert all(any(a in s for a in licenses.ANCHORS) for v in [*licenses.SENTENCES.values(), *licenses.NAMES.values()] for s in v)
 
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -448,7 +448,7 @@ under the MIT License."""
 
 
 def test_genuine_license_headers(spark):
-    headers = [(MIT, "MIT"), (GPL, "GPL-3.0"), (BSD, "BSD"), (MPL, "MPL-2.0"), (APACHE, "Apache-2.0"), (REF, "MIT"), (GPL2, "GPL-2.0-or-later"), (AGPL, "AGPL-3.0"), (ISC, "ISC"), (ZLIB, "Zlib"), (UNLICENSE, "Unlicense"), (SPDX, "LGPL-2.1")]
+    headers = [(MIT, "MIT"), (GPL, "GPL-3.0-or-later"), (BSD, "BSD"), (MPL, "MPL-2.0"), (APACHE, "Apache-2.0"), (REF, "MIT"), (GPL2, "GPL-2.0-or-later"), (AGPL, "AGPL-3.0-or-later"), (ISC, "ISC"), (ZLIB, "Zlib"), (UNLICENSE, "Unlicense"), (SPDX, "LGPL-2.1-or-later")]
     texts = []
     for t, name in headers:
         texts += [(t, name), (" ".join(t.split()), name), (t.replace("\n", "\r\n"), name)]
@@ -456,10 +456,59 @@ def test_genuine_license_headers(spark):
     frame = spark.createDataFrame([(i, f"Some words before.\n\n{t}\n\nWords behind.") for i, (t, _) in enumerate(texts)], "doc_id int, text string")
     got = {r.doc_id: r.licenses for r in licenses.scan_licenses(frame).collect()}
     assert got == {i: [name] for i, (_, name) in enumerate(texts)}
-    within = spark.createDataFrame([(1, "It is not\nreleased under the MIT License as such"), (2, "released under the\nWords.\nMIT License")], "doc_id int, text string")
+    within = spark.createDataFrame([(1, "It is not\nreleased under the MIT License as such"), (2, "released under the\nWords.\nMIT License as such")], "doc_id int, text string")
     assert all(r.licenses == [] for r in licenses.scan_licenses(within).collect())
 
 
+NAMED = [
+    ("SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"),
+    ("/* SPDX-License-Identifier: LGPL-3.0-only */", "LGPL-3.0-only"),
+    ("// spdx-license-identifier: (MIT OR apache-2.0)", "Apache-2.0,MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND BSD-4-Clause", "BSD-4-Clause,GPL-2.0-or-later"),
+    ("SPDX-License-Identifier: GPL-3.0+ as it says", "GPL-3.0-or-later"),
+    ("<!-- SPDX-License-Identifier: Ruby OR -->", "Ruby"),
+    ("SPDX-License-Identifier: NOASSERTION", ""),
+    ("SPDX-License-Identifier:", ""),
+    ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: LicenseRef-Own.1", "LicenseRef-Own.1,MIT"),
+    ("MIT License", "MIT"),
+    ("## Apache License 2.0", "Apache-2.0"),
+    ("The Unlicense", "Unlicense"),
+    ("Distributed under the MIT license.", "MIT"),
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+    ("This work is licensed under a\nCreative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-NC-ND 3.0", "CC-BY-NC-ND-3.0"),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", "GPL-2.0-only"),
+    ("Licensed under the GNU GPL v3 or later", "GPL-3.0-or-later"),
+    ("This software is released under the GNU Lesser General Public License, version 2.1 only.", "LGPL-2.1-only"),
+    ("Artistic License 2.0", "Artistic-2.0"),
+    ("                    DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "WTFPL"),
+    ("Python Software Foundation License Version 2", "Python-2.0"),
+    ("Common Development and Distribution License (CDDL) Version 1.0", "CDDL-1.0"),
+    ("the MIT License is short", ""),
+    ("We talked about the GNU General Public License version 3 for hours.", ""),
+    (None, ""),
+    ("", ""),
+]
+
+
+def test_licenses_by_name_and_expression(spark):
+    import duckdb
+
+    bsd = [x[0] for k, x in licenses.SENTENCES.items() if k.startswith("bsd_")]
+    grant, source, binary, endorse, _ = bsd
+    cases = [*NAMED, (". ".join([grant, source, binary]), "BSD-2-Clause"), (". ".join([grant, source, binary, endorse]), "BSD-3-Clause")]
+    cases += [("\n".join(f" * {x}" for x in t.split("\n")), name) for t, name in cases if t]
+    cases += [(t, n) for t, n in ((MIT, "MIT"), (GPL, "GPL-3.0-or-later"), (APACHE, "Apache-2.0"), (MPL, "MPL-2.0"), (REF, "MIT"))]
+    rows = [(i, t and f"Words before.\n{t}\nWords behind.") for i, (t, _) in enumerate(cases)]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: ",".join(x) for i, (_, x) in got.items()} == {i: name for i, (_, name) in enumerate(cases)}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: (r[2], r[3]) for r in db.sql(licenses.OP10_SQL).fetchall()} == {i: (",".join(a), ",".join(b)) for i, (a, b) in got.items()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
