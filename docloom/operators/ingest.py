@@ -241,25 +241,66 @@ def q_split(spark, sf_dir):
     return chunks(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
-@query("split_sections")
+#: What is put before the lines of a text, by the number of the line and the id, so that sections lie within each other.
+_SIGNS = ["# ", "", "## ", "", "### ", "```", "## ", "#### ", "", "# "]
+
+
+def _sections_sql(line: str) -> str:
+    """Sections by windows: a heading of level k is open where the last one of level k stands behind those of lower levels."""
+    last = ", ".join(f"max(CASE WHEN lev = {k} THEN {{'i': i, 't': title}} END) OVER w AS a{k}" for k in range(1, 7))
+    is_open = " ".join(
+        f"WHEN {k} THEN lev >= {k} AND a{k} IS NOT NULL" + "".join(f" AND coalesce(a{j}.i, 0) < a{k}.i" for j in range(1, k)) for k in range(1, 7)
+    )
+    title = " ".join(f"WHEN {k} THEN a{k}.t" for k in range(1, 7))
+    return rf"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM t),
+x AS (SELECT doc_id, i, {line} AS x FROM l),
+f AS (SELECT *, sum(starts_with(ltrim(x, ' ' || chr(9)), '```')::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS fenced FROM x),
+h AS (SELECT *, CASE WHEN NOT fenced THEN length(regexp_extract(x, '^(#{{1,6}})\s+(.+?)\s*$', 1)) ELSE 0 END AS lev, regexp_extract(x, '^(#{{1,6}})\s+(.+?)\s*$', 2) AS title FROM f),
+n AS (SELECT *, sum((lev > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM h),
+b AS (SELECT doc_id, no, trim(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (lev = 0), ''), ' ' || chr(9) || chr(10) || chr(13)) AS content FROM n GROUP BY doc_id, no),
+k AS (SELECT doc_id, no, lev, {last} FROM n WHERE lev > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, no, array_to_string(list_transform(list_filter(range(1, 7), lambda q: CASE q {is_open} END), lambda q: CASE q {title} END), ' > ') AS path FROM k)
+SELECT b.doc_id, (row_number() OVER (PARTITION BY b.doc_id ORDER BY b.no) - 1)::INT AS ordinal, coalesce(path, '') AS heading_path, md5(content) AS content_md5
+FROM b LEFT JOIN p ON p.doc_id = b.doc_id AND p.no = b.no WHERE content <> ''"""
+
+
+def _digests(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "ordinal", "heading_path", F.md5("content").alias("content_md5"))
+
+
+@query("split_sections", _sections_sql("raw"))
 def q_sections(spark, sf_dir):
-    return markdown_sections(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "heading_path", F.md5("content").alias("content_md5"))
+    return _digests(markdown_sections(table(spark, sf_dir, "documents")))
 
 
-@query(
-    "doc_simhash",
-    r"""WITH p AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', '', 'g')) AS t FROM documents),
+@query("heading_sections", _sections_sql(f"{_SIGNS}[(i + doc_id) % 10 + 1] || raw"))
+def q_heading_sections(spark, sf_dir):
+    """Sections of texts whose lines become headings of four levels and fences by turns."""
+    signs = F.array(*[F.lit(x) for x in _SIGNS])
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.get(signs, ((i + 1 + F.col("doc_id")) % 10).cast("int")), x))
+    return _digests(markdown_sections(table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))))
+
+
+_SIMHASH_SQL = r"""WITH p AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', '', 'g')) AS t FROM documents),
 g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, length(t) - 2) + 1), lambda i: substr(t, i, 3))) AS gram FROM p WHERE t <> ''),
 c AS (SELECT doc_id, ('0x' || substr(md5(gram), 1, 16))::UBIGINT AS h, count(*) AS n FROM g GROUP BY doc_id, gram),
 b AS (SELECT doc_id, k, sum(CASE WHEN (h >> k::UBIGINT) & 1 = 1 THEN n ELSE -n END) AS votes FROM c, range(64) r(k) GROUP BY doc_id, k),
 v AS (SELECT doc_id, sum(CASE WHEN votes > 0 THEN pow(2::DOUBLE, k % 32)::HUGEINT * CASE WHEN k >= 32 THEN 4294967296::HUGEINT ELSE 1 END ELSE 0 END)::HUGEINT AS s FROM b GROUP BY doc_id)
-SELECT p.doc_id, coalesce(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END, 0)::BIGINT AS simhash FROM p LEFT JOIN v USING (doc_id)""",
-)
+SELECT p.doc_id, coalesce(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END, 0)::BIGINT AS simhash FROM p LEFT JOIN v USING (doc_id)"""
+
+
+@query("doc_simhash", _SIMHASH_SQL)
 def q_simhash(spark, sf_dir):
     return with_simhash(table(spark, sf_dir, "documents")).select("doc_id", "simhash")
 
 
-@query("near_dup_pairs")
+@query(
+    "near_dup_pairs",
+    f"""WITH hashed AS ({_SIMHASH_SQL}), d AS (SELECT simhash, min(doc_id) AS id, count(*) AS ids FROM hashed GROUP BY simhash)
+SELECT x.id AS id_a, y.id AS id_b, x.ids AS ids_a, y.ids AS ids_b, false AS same FROM d x JOIN d y ON x.id < y.id AND bit_count(xor(x.simhash, y.simhash)) <= 3
+UNION ALL SELECT d.id, h.doc_id, d.ids, d.ids, true FROM hashed h JOIN d USING (simhash)""",
+)
 def q_near_pairs(spark, sf_dir):
     """Pairs of near fingerprints by their smallest ids; where ``same``, a row for each document (id_b) with that of its own (id_a)."""
     hashed = with_simhash(table(spark, sf_dir, "documents")).select("doc_id", "simhash")
