@@ -23,3 +23,10 @@ def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data directory; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of some MB, not of 10,000 rows; a choice of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(4 << 20))
