@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.plans.registry import query
-from docloom.session import table
+from docloom.session import small_batches, table
 
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", "，", " ", ""]
 CHUNK, OVERLAP = 2048, 200
@@ -113,28 +113,72 @@ def truncate_table(markdown: str, limit: int = TABLE_LIMIT) -> str:
     return "\n".join(kept) + TABLE_NOTE
 
 
+GRAMS, TEXTS = 1 << 18, 128  # characters and texts that are hashed at once
+KNOWN = 1 << 18  # signs of trigrams that a task keeps
+_PAD = chr(0x10FFFF)  # no letter: fills texts of fewer than three characters
+_NO_WORD = re.compile(r"[\W_]+")
+_signs: dict[int, np.ndarray] = {}
+
+
 def simhash(text: str) -> int:
     """64-bit SimHash over character trigrams of the letters and digits; 0 for a text without any."""
-    plain = re.sub(r"[\W_]+", "", text).lower()
-    grams: dict[str, int] = {}
-    for i in range(max(1, len(plain) - 2)) if plain else ():
-        g = plain[i : i + 3]
-        grams[g] = grams.get(g, 0) + 1
-    if not grams:
-        return 0
-    hashes = np.array([int.from_bytes(hashlib.md5(g.encode()).digest()[:8], "big") for g in grams], np.uint64)
-    counts = np.array(list(grams.values()), np.int64)
-    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    votes = np.where(bits == 1, counts[:, None], -counts[:, None]).sum(axis=0)
-    value = sum(1 << k for k in range(64) if votes[k] > 0)
-    return value - (1 << 64) if value >= 1 << 63 else value
+    return int(simhashes([text])[0])
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    """The SimHash of each text; trigrams of several texts are counted at once, and one that came before is not hashed again."""
+    plain = [_NO_WORD.sub("", t).lower() for t in texts]
+    out, some, held = np.zeros(len(plain), np.int64), [], 0
+    for i, t in enumerate(plain):
+        if not t:
+            continue
+        if some and (held + len(t) > GRAMS or len(some) == TEXTS):
+            out[some] = _voted([plain[j] for j in some])
+            some, held = [], 0
+        some.append(i)
+        held += len(t)
+    if some:
+        out[some] = _voted([plain[j] for j in some])
+    return out
+
+
+def _voted(plain: list[str]) -> np.ndarray:
+    padded = [t + _PAD * (3 - len(t)) for t in plain]
+    ends = np.cumsum([len(t) for t in padded])
+    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    whole = np.ones(len(c), bool)  # where a trigram begins that lies in one text
+    whole[ends - 1] = whole[ends - 2] = False
+    keys = (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[whole[:-2]]
+    owner = np.repeat(np.arange(len(padded)), np.diff(ends, prepend=0) - 2)
+    grams, at = np.unique(keys, return_inverse=True)
+    votes = np.zeros((len(padded), 64))
+    for lo in range(0, len(grams), step := 1 << 14):  # long texts may hold many different ones
+        signs = np.stack([_sign(g) for g in grams[lo : lo + step].tolist()]).astype(float)
+        own = slice(None) if len(grams) <= step else (at >= lo) & (at < lo + step)
+        cells = np.bincount(owner[own] * len(signs) + at[own] - lo, minlength=len(padded) * len(signs))
+        votes += cells.reshape(len(padded), -1) @ signs
+    return ((votes > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _sign(key: int) -> np.ndarray:
+    """1 or -1 for each bit of the trigram's hash, the lowest first."""
+    found = _signs.get(key)
+    if found is None:
+        if len(_signs) >= KNOWN:
+            _signs.clear()
+        gram = "".join(map(chr, (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF))).rstrip(_PAD)
+        h = int.from_bytes(hashlib.md5(gram.encode("utf-8", "replace")).digest()[:8], "big")
+        found = _signs[key] = np.unpackbits(np.array([h], "<u8").view(np.uint8), bitorder="little").astype(np.int8) * 2 - 1
+    return found
 
 
 def with_simhash(documents: DataFrame) -> DataFrame:
+    small_batches(documents.sparkSession)
+
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(simhash)
+            yield pd.Series(simhashes(texts.tolist()))
 
     return documents.withColumn("simhash", hashed(F.coalesce("text", F.lit(""))))
 
@@ -182,9 +226,11 @@ def paragraphs_once(text: str, least: int = 40, distance: int = 3) -> str:
         raise ValueError("blocks tell up to three bits apart")
     kept: list[str] = []
     seen: dict[tuple[int, int], list[int]] = {}
-    for p in re.split(r"\n\s*\n+", text):
+    parts = re.split(r"\n\s*\n+", text)
+    hashes = iter(simhashes([p for p in parts if len(p.strip()) >= least]).view(np.uint64).tolist())
+    for p in parts:
         if len(p.strip()) >= least:
-            h = simhash(p) & (1 << 64) - 1
+            h = next(hashes)
             keys = [(i, h >> at & mask) for i, (at, mask) in enumerate(_BLOCKS)]
             if any((h ^ s).bit_count() <= distance for k in keys for s in seen.get(k, ())):
                 continue
@@ -197,6 +243,8 @@ def paragraphs_once(text: str, least: int = 40, distance: int = 3) -> str:
 def without_repeated_paragraphs(documents: DataFrame, least: int = 40, distance: int = 3) -> DataFrame:
     """The documents with their text's near-equal paragraphs reduced to the first of each; null texts stay null."""
 
+    small_batches(documents.sparkSession)
+
     @F.pandas_udf("string")
     def once(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -205,24 +253,42 @@ def without_repeated_paragraphs(documents: DataFrame, least: int = 40, distance:
     return documents.withColumn("text", once("text"))
 
 
+FRAME_CHARS = 1 << 20  # of the last column, in a frame that is returned
+
+
+def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of the rows, each ended behind some ``FRAME_CHARS``."""
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += len(row[-1])
+        if held >= FRAME_CHARS:
+            yield pd.DataFrame(some, columns=columns)
+            some, held = [], 0
+    if some:
+        yield pd.DataFrame(some, columns=columns)
+
+
 def chunks(documents: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, ordinal, content of every chunk of every document."""
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, i, c) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, c in enumerate(split_text(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "content"])
+            rows = ((d, i, c) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, c in enumerate(split_text(t, size, overlap)))
+            yield from _frames(rows, ["doc_id", "ordinal", "content"])
 
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ordinal int, content string")
 
 
 def markdown_sections(documents: DataFrame) -> DataFrame:
     """doc_id, ordinal, heading, heading_path, content of every section."""
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, i, *s) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, s in enumerate(sections(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "heading", "heading_path", "content"])
+            rows = ((d, i, *s) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, s in enumerate(sections(t)))
+            yield from _frames(rows, ["doc_id", "ordinal", "heading", "heading_path", "content"])
 
     schema = "doc_id long, ordinal int, heading string, heading_path string, content string"
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)

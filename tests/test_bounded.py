@@ -1,12 +1,13 @@
 """Searches whose room and rows are bounded: k best lists, tiles, relevant rows told instead of listed."""
 
+import hashlib
 import random
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from docloom.operators import retrieval, search
+from docloom.operators import ingest, retrieval, search
 from docloom.operators.retrieval import Best
 
 
@@ -53,3 +54,21 @@ def test_relevant_rows_need_no_list(spark):
     layers = {"a": search.Search(k=5, dense_only=True), "b": search.Search(k=5)}
     got, want = (sorted(map(tuple, search.evaluate_layers(*lists, r, None, layers).collect())) for r in (told, pairs))
     assert got == want and got
+
+
+def test_simhashes_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", "a", "ab", "_", "A_b c", "中文", "😀a1", *["".join(rng.choices("abcdeé ,中", k=rng.randrange(400))) for _ in range(300)]]
+    apart = [ingest.simhash(t) for t in texts]
+    monkeypatch.setattr(ingest, "GRAMS", 90)
+    assert ingest.simhashes(texts).tolist() == apart and ingest.simhash("") == 0 == ingest.simhash("_ ,")
+    grams = ["abc", "bcd"]
+    hashes = [int.from_bytes(hashlib.md5(g.encode()).digest()[:8], "big") for g in grams]
+    want = sum(1 << k for k in range(64) if all(h >> k & 1 for h in hashes))
+    assert ingest.simhash("A b,cd") & (1 << 64) - 1 == want
+
+
+def test_frames_of_chunks_end_early():
+    rows = [(i, 0, "x" * 40_000) for i in range(200)]
+    frames = list(ingest._frames(iter(rows), ["doc_id", "ordinal", "content"]))
+    assert len(frames) > 5 and [tuple(r) for f in frames for r in f.itertuples(index=False)] == rows
