@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -113,7 +113,8 @@ def truncate_table(markdown: str, limit: int = TABLE_LIMIT) -> str:
     return "\n".join(kept) + TABLE_NOTE
 
 
-GRAMS, TEXTS = 1 << 18, 128  # characters and texts that are hashed at once
+FILLED = 16  # cells of a table of counts for each trigram
+GRAMS, TEXTS = 1 << 18, 4096  # characters and texts that are hashed at once
 KNOWN = 1 << 18  # signs of trigrams that a task keeps
 _PAD = chr(0x10FFFF)  # no letter: fills texts of fewer than three characters
 _NO_WORD = re.compile(r"[\W_]+")
@@ -152,11 +153,18 @@ def _voted(plain: list[str]) -> np.ndarray:
     owner = np.repeat(np.arange(len(padded)), np.diff(ends, prepend=0) - 2)
     grams, at = np.unique(keys, return_inverse=True)
     votes = np.zeros((len(padded), 64))
-    for lo in range(0, len(grams), step := 1 << 14):  # long texts may hold many different ones
-        signs = np.stack([_sign(g) for g in grams[lo : lo + step].tolist()]).astype(float)
-        own = slice(None) if len(grams) <= step else (at >= lo) & (at < lo + step)
-        cells = np.bincount(owner[own] * len(signs) + at[own] - lo, minlength=len(padded) * len(signs))
-        votes += cells.reshape(len(padded), -1) @ signs
+    if len(grams) * len(padded) <= FILLED * len(at):  # few long texts: by a table of counts
+        for lo in range(0, len(grams), step := 1 << 14):
+            signs = np.stack([_sign(g) for g in grams[lo : lo + step].tolist()]).astype(float)
+            own = slice(None) if len(grams) <= step else (at >= lo) & (at < lo + step)
+            cells = np.bincount(owner[own] * len(signs) + at[own] - lo, minlength=len(padded) * len(signs))
+            votes += cells.reshape(len(padded), -1) @ signs
+    else:  # many short ones, which hold few of the trigrams each
+        signs = np.stack([_sign(g) for g in grams.tolist()]).astype(np.int32)
+        for lo in range(0, len(at), step := 1 << 15):
+            own = owner[lo : lo + step]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            votes[own[first]] += np.add.reduceat(signs[at[lo : lo + step]], first, axis=0)
     return ((votes > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -216,18 +224,19 @@ def fingerprint_members(hashed: DataFrame) -> DataFrame:
 _BLOCKS = tuple((at, (1 << size) - 1) for at, size in ((0, 16), (16, 16), (32, 16), (48, 16)))
 
 
-def paragraphs_once(text: str, least: int = 40, distance: int = 3) -> str:
+def paragraphs_once(text: str, least: int = 40, distance: int = 3, hashes: list[int] | None = None) -> str:
     """Drops paragraphs whose SimHash is near that of a *kept* earlier one; short paragraphs stay.
 
     Kept fingerprints stand under their four blocks of 16 bits. Up to three differing bits leave one block equal, so a
-    paragraph is compared with the few kept ones that share a block and not with all of them.
+    paragraph is compared with the few kept ones that share a block and not with all of them. hashes: the fingerprints of the
+    paragraphs that are not short, where they are known.
     """
     if distance >= len(_BLOCKS):
         raise ValueError("blocks tell up to three bits apart")
     kept: list[str] = []
     seen: dict[tuple[int, int], list[int]] = {}
     parts = re.split(r"\n\s*\n+", text)
-    hashes = iter(simhashes([p for p in parts if len(p.strip()) >= least]).view(np.uint64).tolist())
+    hashes = iter(simhashes([p for p in parts if len(p.strip()) >= least]).view(np.uint64).tolist() if hashes is None else hashes)
     for p in parts:
         if len(p.strip()) >= least:
             h = next(hashes)
@@ -240,6 +249,14 @@ def paragraphs_once(text: str, least: int = 40, distance: int = 3) -> str:
     return "\n\n".join(kept)
 
 
+def _each_once(texts: list[str | None], least: int, distance: int) -> list[str | None]:
+    """paragraphs_once of each text, the paragraphs of all of them hashed at once."""
+    long = [[] if t is None else [p for p in re.split(r"\n\s*\n+", t) if len(p.strip()) >= least] for t in texts]
+    hashes = iter(simhashes([p for some in long for p in some]).view(np.uint64).tolist())
+    own = [list(islice(hashes, len(some))) for some in long]
+    return [None if t is None else paragraphs_once(t, least, distance, h) for t, h in zip(texts, own, strict=True)]
+
+
 def without_repeated_paragraphs(documents: DataFrame, least: int = 40, distance: int = 3) -> DataFrame:
     """The documents with their text's near-equal paragraphs reduced to the first of each; null texts stay null."""
 
@@ -248,7 +265,7 @@ def without_repeated_paragraphs(documents: DataFrame, least: int = 40, distance:
     @F.pandas_udf("string")
     def once(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else paragraphs_once(t, least, distance))
+            yield pd.Series(_each_once(texts.tolist(), least, distance), dtype=object)
 
     return documents.withColumn("text", once("text"))
 

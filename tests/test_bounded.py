@@ -72,3 +72,10 @@ def test_frames_of_chunks_end_early():
     rows = [(i, 0, "x" * 40_000) for i in range(200)]
     frames = list(ingest._frames(iter(rows), ["doc_id", "ordinal", "content"]))
     assert len(frames) > 5 and [tuple(r) for f in frames for r in f.itertuples(index=False)] == rows
+
+
+def test_paragraphs_of_many_texts_at_once():
+    rng = random.Random(6)
+    lines = ["".join(rng.choices("abcde ", k=60)) for _ in range(30)]
+    texts = [None, "", "short", *["\n\n".join(rng.choices(lines, k=rng.randrange(9))) for _ in range(200)]]
+    assert ingest._each_once(texts, 40, 3) == [None if t is None else ingest.paragraphs_once(t) for t in texts]
