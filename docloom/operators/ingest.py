@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.plans.registry import query
 from docloom.session import small_batches, table
+from docloom.sources.scratch import stored
 
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", "，", " ", ""]
 CHUNK, OVERLAP = 2048, 200
@@ -191,29 +192,33 @@ def with_simhash(documents: DataFrame) -> DataFrame:
     return documents.withColumn("simhash", hashed(F.coalesce("text", F.lit(""))))
 
 
+_EDGES = (0, 11, 22, 33, 44, 54, 64)
+_MASKS = [sum(1 << bit for b in blocks for bit in range(_EDGES[b], _EDGES[b + 1])) for blocks in combinations(range(6), 3)]
+_SIGNED = [m - (1 << 64) if m >> 63 else m for m in _MASKS]
+
+
 def fingerprint_keys(simhash: Column) -> Column:
     """Twenty keys (b, k), at least one of which any two fingerprints share that differ in up to three bits.
 
     Of six blocks of a fingerprint three agree at least, so it stands under the bits of each three of them: keys of 32 bits
     or more, few of which unlike fingerprints share.
     """
-    edges = [0, 11, 22, 33, 44, 54, 64]
-    masks = [sum(1 << bit for b in blocks for bit in range(edges[b], edges[b + 1])) for blocks in combinations(range(6), 3)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.array(*[F.struct(F.lit(i).alias("b"), simhash.bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
+    return F.array(*[F.struct(F.lit(i).alias("b"), simhash.bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_SIGNED)])
 
 
 def hamming_links(hashed: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs of different fingerprints within the distance, exact for up to three bits.
 
-    Equal fingerprints are joined as one, so copies don't multiply; ``ids_a`` counts the documents behind a fingerprint.
+    Equal fingerprints are joined as one, so copies don't multiply; ``ids_a`` counts the documents behind a fingerprint. A
+    pair counts under the first of the keys that it shares and no other, so pairs are neither kept nor shuffled to tell them apart.
     """
     distinct = hashed.groupBy("simhash").agg(F.min("doc_id").alias("id"), F.count("*").alias("ids"))
     keyed = distinct.select("*", F.explode(fingerprint_keys(F.col("simhash"))).alias("band"))
-    x = keyed.select("band", *[F.col(c).alias(f"{c}_a") for c in ("simhash", "id", "ids")])
-    y = keyed.select("band", *[F.col(c).alias(f"{c}_b") for c in ("simhash", "id", "ids")])
-    near = F.bit_count(F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))) <= distance
-    return x.join(y, "band").where((F.col("id_a") < F.col("id_b")) & near).select("id_a", "id_b", "ids_a", "ids_b").distinct()
+    x, y = (keyed.select(F.col("band.b").alias("b"), F.col("band.k").alias("k"), *[F.col(c).alias(f"{c}_{s}") for c in ("simhash", "id", "ids")]) for s in "ab")
+    differ = F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(_SIGNED)])
+    near = (F.col("id_a") < F.col("id_b")) & (F.bit_count(differ) <= distance) & (first == F.col("b"))
+    return x.join(y.hint("merge"), ["b", "k"]).where(near).select("id_a", "id_b", "ids_a", "ids_b")
 
 
 def fingerprint_members(hashed: DataFrame) -> DataFrame:
@@ -386,7 +391,7 @@ UNION ALL SELECT d.id, h.doc_id, d.ids, d.ids, true FROM hashed h JOIN d USING (
 )
 def q_near_pairs(spark, sf_dir):
     """Pairs of near fingerprints by their smallest ids; where ``same``, a row for each document (id_b) with that of its own (id_a)."""
-    hashed = with_simhash(table(spark, sf_dir, "documents")).select("doc_id", "simhash")
+    hashed = stored(with_simhash(table(spark, sf_dir, "documents")).select("doc_id", "simhash"), "simhash")  # read three times
     ids = F.col("ids")
     members = fingerprint_members(hashed).select(F.col("id").alias("id_a"), F.col("doc_id").alias("id_b"), ids.alias("ids_a"), ids.alias("ids_b"), F.lit(True).alias("same"))
     return hamming_links(hashed).withColumn("same", F.lit(False)).unionByName(members)
