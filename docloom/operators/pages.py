@@ -2,9 +2,10 @@
 
 A block speaks for a chunk if it lies in it, or if both begin alike; white space never counts. The page of the block that
 speaks loudest is the chunk's, widened by the pages of all blocks whose beginning the chunk holds. What holds the beginning
-of a block holds one of its first ``STEP`` grams at a place that is a multiple of ``STEP``, so only these places of a chunk
-are joined; blocks too short for that are looked for at every place, in documents that have such blocks. Found pairs are
-checked on the texts, so anchors lose nothing and invent nothing, and no chunk meets all blocks.
+of a block holds one of its first ``step`` grams at a place that is a multiple of ``step``, so only these places of a chunk
+are joined. Long blocks have long grams at few places; shorter ones are looked for at more places, down to every one, in
+documents that have such blocks. Found pairs are checked on the texts, so anchors lose nothing and invent nothing, and no
+chunk meets all blocks. Chunks and blocks without white space are written once, as each of the joins reads them.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from docloom.operators.tables import HELD, PREFIX, PROBE
 from docloom.plans.registry import query
 from docloom.session import table
+from docloom.sources.scratch import stored
 
-STEP = 4
-ALIGNED = HELD + STEP - 1  # characters from which a block surely holds an aligned gram
+#: Characters of a gram and the distance of its places, for blocks of at least their sum less one; PROBE reaches that far.
+TIERS = ((20, 16), (HELD, 4), (HELD, 1))
 
 
 def bare(text: Column) -> Column:
@@ -25,16 +27,19 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
 
 
-def _grams(text: Column, last: Column, step: int) -> Column:
-    """Hashes of the runs of HELD characters that start at every ``step``-th place up to ``last``."""
-    at = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(text, i, F.lit(HELD)))))
+def _grams(text: Column, size: int, step: int) -> Column:
+    """Hashes of the runs of ``size`` characters that start at every ``step``-th place, found in one pass over the text."""
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}})).{{{step}}}"), F.lit(1))
+    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))
 
 
 def _shared_prefix(a: Column, b: Column) -> Column:
+    """How many characters both begin with, by halving; 0 where the first HELD differ."""
     n = F.least(F.length(a), F.length(b))
-    at = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(at, F.lit(0), lambda s, i: F.when((s == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), i).otherwise(s))
+    steps = F.transform(F.sequence(F.ceil(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    same = lambda m: F.substring(a, F.lit(1), m) == F.substring(b, F.lit(1), m)
+    found = F.aggregate(steps, F.lit(0), lambda s, d: F.when((s + d <= n) & same(s + d), s + d).otherwise(s))
+    return F.when((n >= HELD) & same(F.lit(HELD)), found).otherwise(0)
 
 
 def attribute_pages(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -42,18 +47,18 @@ def attribute_pages(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
 
     blocks: doc_id, block_no, page, text. Of equal scores the block with the smallest number decides.
     """
-    c = chunks.select("doc_id", "chunk_no", bare(F.col("content")).alias("c"))
-    b = blocks.select("doc_id", "block_no", "page", bare(F.col("text")).alias("b")).where(F.length("b") >= HELD)
-    first = F.substring("c", 1, HELD)
+    c = stored(chunks.select("doc_id", "chunk_no", bare(F.col("content")).alias("c")), "chunks")
+    b = stored(blocks.select("doc_id", "block_no", "page", bare(F.col("text")).alias("b")).where(F.length("b") >= HELD), "blocks")
     begin = b.select("doc_id", "block_no", F.xxhash64(F.substring("b", 1, HELD)).alias("h"))
-    last = F.length("c") - HELD + 1
-    aligned = c.select("doc_id", "chunk_no", F.explode(_grams(F.col("c"), last, STEP)).alias("h"))
-    starts = b.where(F.length("b") >= ALIGNED).select("doc_id", "block_no", F.explode(_grams(F.substring("b", 1, ALIGNED), F.lit(STEP), 1)).alias("h"))
-    short = b.where(F.length("b") < ALIGNED)
-    every = c.join(short.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "chunk_no", F.explode(_grams(F.col("c"), last, 1)).alias("h"))
-    tails = short.select("doc_id", "block_no", F.xxhash64(F.substring("b", 1, HELD)).alias("h"))
-    alike = c.where(F.length("c") >= HELD).select("doc_id", "chunk_no", F.xxhash64(first).alias("h"))
-    pairs = aligned.join(starts, ["doc_id", "h"]).union(every.join(tails, ["doc_id", "h"])).union(alike.join(begin, ["doc_id", "h"]))
+    alike = c.where(F.length("c") >= HELD).select("doc_id", "chunk_no", F.xxhash64(F.substring("c", 1, HELD)).alias("h"))
+    pairs, below = alike.join(begin, ["doc_id", "h"]), None
+    for size, step in TIERS:
+        least = size + step - 1
+        own = b.where(F.length("b") >= least if below is None else F.length("b").between(least, below - 1))
+        starts = own.select("doc_id", "block_no", F.explode(_grams(F.substring("b", 1, least), size, 1)).alias("h"))
+        some = c if below is None else c.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+        held = some.select("doc_id", "chunk_no", F.explode(_grams(F.col("c"), size, step)).alias("h"))
+        pairs, below = pairs.union(held.join(starts, ["doc_id", "h"])), least
     met = pairs.select("doc_id", "chunk_no", "block_no").distinct().join(c, ["doc_id", "chunk_no"]).join(b, ["doc_id", "block_no"])
     shared = _shared_prefix(F.col("c"), F.col("b"))
     begins = F.when((shared >= PREFIX) | (shared >= F.greatest(F.lit(HELD), F.length("c"))), shared).otherwise(0)
@@ -64,7 +69,7 @@ def attribute_pages(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     found = judged.groupBy("doc_id", "chunk_no").agg(own, *held).where("own is not null")
     page = F.col("own.page")
     found = found.select("doc_id", "chunk_no", F.least(page, F.coalesce("lo", page)).alias("first_page"), F.greatest(page, F.coalesce("hi", page)).alias("last_page"))
-    return chunks.select("doc_id", "chunk_no").join(found, ["doc_id", "chunk_no"], "left").fillna(0, ["first_page", "last_page"])
+    return c.select("doc_id", "chunk_no").join(found, ["doc_id", "chunk_no"], "left").fillna(0, ["first_page", "last_page"])
 
 
 SIZE, LINES = 600, 3  # characters of a chunk and lines of a page in the query
@@ -88,7 +93,6 @@ def q_pages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
     blocks = lines.withColumn("page", F.floor(F.col("block_no") / LINES).cast("int") + 1)
-    count = F.greatest(F.lit(1), F.ceil(F.length("text") / SIZE).cast("int"))
-    chunks = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_no"))
-    chunks = chunks.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.substring("text", F.col("chunk_no") * SIZE + 1, F.lit(SIZE)).alias("content"))
-    return attribute_pages(chunks, blocks)
+    cut = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SIZE}}}"), F.lit(0)))
+    chunks = docs.select("doc_id", F.posexplode(cut).alias("chunk_no", "content"))
+    return attribute_pages(chunks.withColumn("chunk_no", F.col("chunk_no").cast("long")), blocks)

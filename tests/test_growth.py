@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from docloom.operators import ingest
+from docloom.operators import ingest, pages
+from docloom.operators.tables import page_of
 
 
 def plan(frame):
@@ -23,3 +24,21 @@ def test_near_fingerprints_are_paired_once(spark, tmp_path):
     spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     pairs = ingest.q_near_pairs(spark, str(tmp_path))
     assert "Python" not in plan(pairs) and pairs.where(F.col("same")).count() == 9  # fingerprints are made once
+
+
+def test_pages_of_blocks_around_every_tier(spark):
+    rng = random.Random(9)
+    blocks, chunks, want = [], [], {}
+    for d in range(30):
+        texts = ["".join(rng.choices("ab c😀é\n", k=rng.choice([4, 5, 7, 8, 9, 34, 35, 36, 39, 40, 41, 48, 300]))) for _ in range(20)]
+        whole = "".join(texts)
+        blocks += [(d, i, 1 + i // 3, t) for i, t in enumerate(texts)]
+        for n in range(15):
+            at = rng.randrange(len(whole))
+            c = rng.choice([whole[at : at + rng.randrange(200)], rng.choice(texts)[: rng.randrange(60)], rng.choice(texts) + "z" * rng.randrange(3)])
+            chunks.append((d, n, c))
+            want[d, n] = page_of(c, [(t, 1 + i // 3) for i, t in enumerate(texts)])
+    c = spark.createDataFrame(chunks, "doc_id long, chunk_no long, content string")
+    got = pages.attribute_pages(c, spark.createDataFrame(blocks, "doc_id long, block_no long, page int, text string"))
+    assert {(r.doc_id, r.chunk_no): (r.first_page, r.last_page) for r in got.collect()} == want and len(set(want.values())) > 12
+    assert "regexp_replace" not in plan(got)  # texts lose their white space once, not for each join
