@@ -18,6 +18,7 @@ from docloom.operators.retrieval import _bm25_sql, _dense_sql, bm25, dense, quer
 from docloom.operators.tables import page_label
 from docloom.plans.registry import query
 from docloom.session import table
+from docloom.sources.scratch import stored
 
 
 def rank_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -378,7 +379,7 @@ def q_diagnostics(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     evidence = located(items, docs.select("doc_id", "text")).select(F.col("item_id").alias("qid"), "doc_id").distinct()
-    pool = bm25(docs, items.select(F.col("item_id").alias("qid"), F.col("quote").alias("text")), 20)
+    pool = stored(bm25(docs, items.select(F.col("item_id").alias("qid"), F.col("quote").alias("text")), 20), "pool")  # read three times
     text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("资料来源："), "text")).otherwise(F.col("text")).alias("text")
     kind = F.when(F.col("doc_id") % 7 == 0, "image").when(F.col("doc_id") % 5 == 0, "table").otherwise("text").alias("block_type")
     return evidence_diagnostics(evidence, pool, docs.select("doc_id", "source", kind, text))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docloom.operators import ingest, pages
+from docloom.operators import evaluation, ingest, pages
 from docloom.operators.tables import page_of
 
 
@@ -42,3 +42,13 @@ def test_pages_of_blocks_around_every_tier(spark):
     got = pages.attribute_pages(c, spark.createDataFrame(blocks, "doc_id long, block_no long, page int, text string"))
     assert {(r.doc_id, r.chunk_no): (r.first_page, r.last_page) for r in got.collect()} == want and len(set(want.values())) > 12
     assert "regexp_replace" not in plan(got)  # texts lose their white space once, not for each join
+
+
+def test_diagnostics_search_once(spark, tmp_path):
+    texts = [(i, f"common words of text {i % 5} here", "s", "en") for i in range(30)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "common words of text 3 here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = evaluation.q_diagnostics(spark, str(tmp_path))
+    assert "MapInPandas" not in plan(found)  # the pool is scored before, not for each of its three uses
+    row = found.first()
+    assert (row.evidence, row.exact_hit, row.pool_hit, row.slots) == (6, 5, 6, 5)
