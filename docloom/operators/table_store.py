@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.tables import html_rows, to_markdown
 from docloom.plans.registry import query
-from docloom.session import table
+from docloom.session import small_batches, table
 
 #: Lines between bars that follow one another, and HTML tables; possessive, so that long tables need no stack.
 FOUND = r"(?d)((?:(?m:^)[ \t]*\|[^\n]*\|[ \t]*(?:\r?\n|\r?\z))++|(?is:<table\b.*?</table>))"
@@ -57,9 +57,14 @@ def stored_tables(sections: DataFrame) -> DataFrame:
     no tables; of tables within each other the outer one counts.
     """
 
-    @F.pandas_udf(PARTS)
-    def parts(whole: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([table_parts(x) for x in whole], columns=["markdown", "payload", "summary"])
+    small_batches(sections.sparkSession)
+
+    @F.arrow_udf(PARTS)
+    def parts(whole: pa.Array) -> pa.Array:
+        found = [table_parts(x) for x in whole.to_pylist()]
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        kinds = (pa.string(), pa.list_(pa.list_(pa.string())), pa.string())
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["markdown", "payload", "summary"])
 
     others = [c for c in sections.columns if c != "content"]
     found = sections.select(*others, F.posexplode(F.regexp_extract_all("content", F.lit(FOUND), F.lit(1))).alias("place", "whole"))
@@ -74,15 +79,27 @@ def without_tables(sections: DataFrame) -> DataFrame:
 
 
 _CELLS = "CAST(l_linenumber AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b, l_returnflag || ' & ' || l_linestatus AS c"
-_HTML_ROW = "concat('<tr class=x><td>', a, '</td><td></td><TD><b>', b, '</b></TD><td>', replace(c, '&', '&amp;'), '</td></tr>')"
-_PIPE_ROW = "concat('| ', a, ' | ', b, ' | ', c, ' |')"
+_CELL_OF = "string(x.l_linenumber) AS a, string(x.l_suppkey) AS b, concat(x.l_returnflag, ' & ', x.l_linestatus) AS c"
+
+
+def _html_row(x: str = "") -> str:
+    return f"concat('<tr class=x><td>', {x}a, '</td><td></td><TD><b>', {x}b, '</b></TD><td>', replace({x}c, '&', '&amp;'), '</td></tr>')"
+
+
+def _pipe_row(x: str = "") -> str:
+    return f"concat('| ', {x}a, ' | ', {x}b, ' | ', {x}c, ' |')"
+
+
+_HTML_ROW, _PIPE_ROW = _html_row(), _pipe_row()
 
 
 def _sections(spark, sf_dir):
     """The lines of each order as an HTML table, a table between bars, or both, amid words."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", *[x.strip() for x in _CELLS.replace("AS VARCHAR", "AS STRING").split(",")])
-    rows = rows.selectExpr("l_orderkey", "int(a) AS n", f"{_HTML_ROW} AS h", f"{_PIPE_ROW} AS p")
-    listed = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "h", "p"))).alias("r"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus").alias("x"))
+    made = lines.groupBy("l_orderkey").agg(F.collect_list("x").alias("x"))  # cells are written behind the shuffle
+    cells = F.expr(f"transform(x, x -> struct({_CELL_OF}))")
+    rows = F.expr(f"transform(cells, x -> struct(int(x.a) AS n, {_html_row('x.')} AS h, {_pipe_row('x.')} AS p))")
+    listed = made.select("l_orderkey", cells.alias("cells")).select("l_orderkey", F.array_sort(rows).alias("r"))
     k = F.col("l_orderkey") % 3
     html = F.concat(F.lit("<TABLE border=1><tr><td colspan=3>Lines</td></tr>\n<tr><th>no</th><th>by</th><th>state</th></tr>\n"), F.array_join("r.h", "\n"), F.lit("</table>"))
     pipe = F.concat(F.lit("| no | by | state |\n|---|:---:|---|\n"), F.array_join("r.p", "\n"), F.lit("\n"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluation, ingest, pages, retrieval, text_index
+from docloom.operators import evaluation, ingest, pages, retrieval, table_store, text_index
 from docloom.operators.tables import page_of
 
 
@@ -67,3 +67,15 @@ def test_index_search_makes_no_rows_of_queries_and_documents(spark, monkeypatch)
     monkeypatch.setattr(text_index, "TILE", 640)  # some queries at a time
     again = retrieval.ranked(text_index.search(index, terms, 4), 4)
     assert whole == sorted(map(tuple, again.select("qid", "pos", "doc_id", "score").collect())) and len(whole) == 160
+
+
+def test_sections_of_orders_are_written_behind_the_shuffle(spark, tmp_path):
+    lines = [(o, n, 7 * o + n, "A", "F") for o in range(1, 7) for n in (2, 1, 3)]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_linestatus string")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = table_store._sections(spark, str(tmp_path))
+    below = plan(made).split("Aggregate", 1)[1].split("\n", 1)[1]
+    assert "<tr" not in below and "| " not in below  # only keys and plain values are gathered
+    got = {(r.parent_id, r.place): r.payload for r in table_store.stored_tables(made).collect()}
+    assert len(got) == 8 and got[1, 0] == [["no", "by", "state"], ["1", "8", "A & F"], ["2", "9", "A & F"], ["3", "10", "A & F"]]
+    assert got[3, 0][:3] == [["Lines"], ["no", "by", "state"], ["1", "22", "A & F"]] and got[5, 0][1:] == got[5, 1][2:]
