@@ -1,75 +1,153 @@
-"""Pages of chunks, by a join of chunks with the parser's blocks of the same document through hashed anchors.
+"""Pages of chunks, by one pass over the chunks of each document behind the parser's blocks of the same document.
 
 A block speaks for a chunk if it lies in it, or if both begin alike; white space never counts. The page of the block that
-speaks loudest is the chunk's, widened by the pages of all blocks whose beginning the chunk holds. What holds the beginning
-of a block holds one of its first ``step`` grams at a place that is a multiple of ``step``, so only these places of a chunk
-are joined. Long blocks have long grams at few places; shorter ones are looked for at more places, down to every one, in
-documents that have such blocks. Found pairs are checked on the texts, so anchors lose nothing and invent nothing, and no
-chunk meets all blocks. Chunks and blocks without white space are written once, as each of the joins reads them.
+speaks loudest is the chunk's, widened by the pages of all blocks whose beginning the chunk holds. Chunks and blocks are
+dealt out by document, each text once, and sorted so that a task meets a document's blocks first and its chunks one by one
+after them. It holds the blocks of one document, by their beginnings and in order, and looks up the places of a chunk there,
+so no chunk meets all blocks and no pair of both is ever written.
 """
 
 from __future__ import annotations
 
+import os
+from bisect import bisect_left, bisect_right
+from itertools import groupby, islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from docloom.operators.tables import HELD, PREFIX, PROBE
 from docloom.plans.registry import query
-from docloom.session import table
+from docloom.session import small_batches, table
 from docloom.sources.scratch import stored
 
-#: Characters of a gram and the distance of its places, for blocks of at least their sum less one; PROBE reaches that far.
-TIERS = ((20, 16), (HELD, 4), (HELD, 1))
-
 
 def bare(text: Column) -> Column:
     """The text without white space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
 
 
-def _grams(text: Column, size: int, step: int) -> Column:
-    """Hashes of the runs of ``size`` characters that start at every ``step``-th place, found in one pass over the text."""
-    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}})).{{{step}}}"), F.lit(1))
-    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))
-
-
-def _shared_prefix(a: Column, b: Column) -> Column:
-    """How many characters both begin with, by halving; 0 where the first HELD differ."""
-    n = F.least(F.length(a), F.length(b))
-    steps = F.transform(F.sequence(F.ceil(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
-    same = lambda m: F.substring(a, F.lit(1), m) == F.substring(b, F.lit(1), m)
-    found = F.aggregate(steps, F.lit(0), lambda s, d: F.when((s + d <= n) & same(s + d), s + d).otherwise(s))
-    return F.when((n >= HELD) & same(F.lit(HELD)), found).otherwise(0)
+def _wider(a: tuple | None, b: tuple | None) -> tuple | None:
+    """The span of pages over both; None is none."""
+    return (min(a[0], b[0]), max(a[1], b[1])) if a and b else a or b
+
+
+def _slots(text: str, bits: int, step: int = 1) -> np.ndarray:
+    """For the HELD characters from every ``step``-th place on, a slot among 2 to the power of ``bits``."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    found = np.zeros(max(0, len(codes) - HELD + 1), np.uint32)
+    for k in range(HELD):
+        found = (found + codes[k : k + len(found)]) * np.uint32(0x9E3779B1)
+    return found[::step] >> np.uint32(32 - bits)
+
+
+class _Blocks:
+    """Blocks (text, block_no, page) of a document; equal texts are one, for which the smallest block_no decides."""
+
+    def __init__(self, rows) -> None:
+        self.texts, self.probes, self.heads, self.longer, self.least = {}, {}, {}, {}, {}
+        spans: dict = {}
+        for text, no, page in rows:
+            place = -no, page is not None, page
+            self.texts[text] = max(self.texts.get(text, place), place)
+            spans[text[:PROBE]] = _wider(spans.get(text[:PROBE]), None if page is None else (page, page))
+        self.order = sorted(self.texts)
+        for probe in sorted(spans, key=len):  # what holds a beginning holds the shorter ones that it begins with
+            sizes = self.heads.setdefault(probe[:HELD], [])
+            span, whole = next((self.probes[probe[:n]] for n in sizes if probe[:n] in self.probes), (None, (0,)))
+            whole = (len(probe), self.texts[probe]) if probe in self.texts else whole
+            self.probes[probe] = _wider(span, spans[probe]), whole
+            if not sizes or sizes[0] != len(probe):
+                sizes.insert(0, len(probe))  # longest first
+        self.bits = min(24, len(self.heads).bit_length() + 8)
+        self.taken = np.zeros(1 << self.bits, bool)  # the slots of the heads tell most places of a chunk apart from them at once
+        self.taken[_slots("".join(self.heads), self.bits, HELD)] = True
+        for text in sorted((t for t in self.texts if len(t) > PROBE), key=len):
+            sizes = self.longer.setdefault(text[:PROBE], [])
+            if not sizes or sizes[-1] != len(text):
+                sizes.append(len(text))
+
+    def speak(self, chunk: str) -> tuple[tuple, tuple | None]:
+        """(score, place) of the block that speaks loudest, (0,) if none does, and the span of those whose beginning is held."""
+        best, span, heads = self._alike(chunk), None, self.heads
+        for i in np.flatnonzero(self.taken[_slots(chunk, self.bits)]).tolist():
+            probe = next((p for n in heads.get(chunk[i : i + HELD], ()) if (p := chunk[i : i + n]) in self.probes), None)
+            if probe is None:
+                continue
+            held, whole = self.probes[probe]
+            best, span = max(best, whole), _wider(span, held)
+            sizes = self.longer.get(probe, ())
+            for n in reversed(sizes[: bisect_right(sizes, len(chunk) - i)]):
+                if n < best[0]:
+                    break
+                if (text := chunk[i : i + n]) in self.texts:
+                    best = max(best, (n, self.texts[text]))
+        return best, span
+
+    def _alike(self, chunk: str) -> tuple:
+        """(score, place) of the block that shares the longest beginning with the chunk; its neighbours in order tell how long."""
+        at = bisect_left(self.order, chunk)
+        shared = max((len(os.path.commonprefix([chunk, t])) for t in self.order[max(at - 1, 0) : at + 1]), default=0)
+        if shared < max(HELD, min(PREFIX, len(chunk))):
+            return (0,)
+        first = bisect_left(self.order, chunk[:shared])
+        last = bisect_right(self.order, chunk[:shared], first, key=lambda t: t[:shared])
+        if (first, last) not in self.least:
+            self.least[first, last] = max(self.texts[t] for t in islice(self.order, first, last))
+        return shared, self.least[first, last]
+
+
+def _attributed(batches):
+    """Rows (doc_id, chunk_no, text, block_no, page), the blocks of a document first: first and last page of its chunks."""
+    schema = None
+
+    def made(rows):
+        fields = [schema.field(n) for n in ("doc_id", "chunk_no", "page", "page")]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], ["doc_id", "chunk_no", "first_page", "last_page"])
+
+    def read():
+        nonlocal schema
+        for batch in batches:
+            schema = batch.schema
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    out = []
+    for doc_id, own in groupby(read(), lambda r: r[0]):
+        blocks = _Blocks(())
+        for (chunk, no), rows in groupby(own, lambda r: (r[3] is None, r[1])):
+            if not chunk:
+                blocks = _Blocks((text, block_no, page) for _, _, text, block_no, page in rows)
+                continue
+            best, span, n = (0,), None, 0
+            for _, _, text, _, _ in rows:  # rows of one number are one chunk
+                found, held = blocks.speak(text)
+                best, span, n = max(best, found), _wider(span, held), n + 1
+            pages = [p for p in (best[1][2], *(span or ())) if p is not None] if best[0] else []
+            out += [(doc_id, no, min(pages, default=0), max(pages, default=0))] * n
+            if len(out) >= 10_000:
+                yield made(out)
+                out = []
+    if out:
+        yield made(out)
 
 
 def attribute_pages(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, chunk_no, first_page, last_page for chunks (doc_id, chunk_no, content); 0 and 0 where no block speaks.
 
-    blocks: doc_id, block_no, page, text. Of equal scores the block with the smallest number decides.
+    blocks: doc_id, block_no, page, text. Of equal scores the block with the smallest number decides. The result is written
+    once, as reading it twice would match the texts twice.
     """
-    c = stored(chunks.select("doc_id", "chunk_no", bare(F.col("content")).alias("c")), "chunks")
-    b = stored(blocks.select("doc_id", "block_no", "page", bare(F.col("text")).alias("b")).where(F.length("b") >= HELD), "blocks")
-    begin = b.select("doc_id", "block_no", F.xxhash64(F.substring("b", 1, HELD)).alias("h"))
-    alike = c.where(F.length("c") >= HELD).select("doc_id", "chunk_no", F.xxhash64(F.substring("c", 1, HELD)).alias("h"))
-    pairs, below = alike.join(begin, ["doc_id", "h"]), None
-    for size, step in TIERS:
-        least = size + step - 1
-        own = b.where(F.length("b") >= least if below is None else F.length("b").between(least, below - 1))
-        starts = own.select("doc_id", "block_no", F.explode(_grams(F.substring("b", 1, least), size, 1)).alias("h"))
-        some = c if below is None else c.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
-        held = some.select("doc_id", "chunk_no", F.explode(_grams(F.col("c"), size, step)).alias("h"))
-        pairs, below = pairs.union(held.join(starts, ["doc_id", "h"])), least
-    met = pairs.select("doc_id", "chunk_no", "block_no").distinct().join(c, ["doc_id", "chunk_no"]).join(b, ["doc_id", "block_no"])
-    shared = _shared_prefix(F.col("c"), F.col("b"))
-    begins = F.when((shared >= PREFIX) | (shared >= F.greatest(F.lit(HELD), F.length("c"))), shared).otherwise(0)
-    score = F.when(F.contains("c", "b"), F.length("b")).otherwise(begins)
-    judged = met.withColumn("score", score).withColumn("holds", F.contains(F.col("c"), F.substring("b", 1, PROBE)))
-    own = F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("block_no")).alias("n"), "page"))).alias("own")
-    held = [f(F.when(F.col("holds"), F.col("page"))).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    found = judged.groupBy("doc_id", "chunk_no").agg(own, *held).where("own is not null")
-    page = F.col("own.page")
-    found = found.select("doc_id", "chunk_no", F.least(page, F.coalesce("lo", page)).alias("first_page"), F.greatest(page, F.coalesce("hi", page)).alias("last_page"))
-    return c.select("doc_id", "chunk_no").join(found, ["doc_id", "chunk_no"], "left").fillna(0, ["first_page", "last_page"])
+    small_batches(chunks.sparkSession)
+    c = chunks.select("doc_id", "chunk_no", bare(F.col("content")).alias("text"))
+    b = blocks.select("doc_id", "block_no", "page", bare(F.col("text")).alias("text")).where((F.length("text") >= HELD) & F.col("doc_id").isNotNull() & F.col("block_no").isNotNull())
+    rows = c.unionByName(b, allowMissingColumns=True).select("doc_id", "chunk_no", "text", "block_no", "page")
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", F.col("block_no").isNull(), "chunk_no")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = StructType([StructField(n, kinds[k]) for n, k in (("doc_id", "doc_id"), ("chunk_no", "chunk_no"), ("first_page", "page"), ("last_page", "page"))])
+    return stored(dealt.mapInArrow(_attributed, schema), "pages")
 
 
 SIZE, LINES = 600, 3  # characters of a chunk and lines of a page in the query

@@ -44,6 +44,41 @@ def test_pages_of_blocks_around_every_tier(spark):
     assert "regexp_replace" not in plan(got)  # texts lose their white space once, not for each join
 
 
+def disk(spark):
+    """Bytes that the stages so far have shuffled, spilled and written."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(x.shuffleWriteBytes() + x.diskBytesSpilled() + x.outputBytes() for x in (stages.apply(i) for i in range(stages.size())))
+
+
+def test_pages_of_chunks_put_each_text_on_disk_once(spark):
+    rng = random.Random(10)
+    lines = [(d, n, 1 + n // 3, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=60))) for d in range(40) for n in range(300)]
+    whole = {d: "".join(x[3] for x in lines[300 * d : 300 * d + 300]) for d in range(40)}
+    cut = [(d, n, t[600 * n : 600 * n + 600]) for d, t in whole.items() for n in range(30)]
+    chunks = spark.createDataFrame(cut, "doc_id long, chunk_no long, content string")
+    blocks = spark.createDataFrame(lines, "doc_id long, block_no long, page int, text string")
+
+    before, small = disk(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        got = pages.attribute_pages(chunks, blocks).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert sorted(map(tuple, got)) == [(d, n, 1 + 10 * n // 3, 1 + (10 * n + 9) // 3) for d, n, _ in cut]
+    assert disk(spark) - before < 3.5 * sum(map(len, whole.values()))  # as chunks, as blocks and what rows need besides
+
+
+def test_pages_of_rows_without_keys_and_of_equal_keys(spark):
+    line, other = "a line of some words", "another line of more words"
+    chunks = [(1, 0, line), (1, 0, other), (1, 1, line), (None, 0, line), (2, 0, line), (3, 0, None)]
+    blocks = [(1, 0, 4, line), (1, 1, 5, other), (1, 2, 6, line), (None, 0, 7, line), (1, None, 9, line), (3, 0, 8, line), (4, 0, None, line)]
+    got = pages.attribute_pages(spark.createDataFrame(chunks, "doc_id int, chunk_no int, content string"), spark.createDataFrame(blocks, "doc_id long, block_no int, page int, text string"))
+    want = [(1, 0, 4, 6), (1, 0, 4, 6), (1, 1, 4, 6), (None, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and got.columns == ["doc_id", "chunk_no", "first_page", "last_page"]
+
+
 def test_diagnostics_search_once(spark, tmp_path):
     texts = [(i, f"common words of text {i % 5} here", "s", "en") for i in range(30)]
     spark.createDataFrame(texts, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
